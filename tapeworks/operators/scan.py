@@ -115,6 +115,10 @@ def with_halo(df: DataFrame, index: str, reach: int, rows: int = 2048, ahead: in
     return out.withColumn(home, F.col(block) == F.floor(i / rows))
 
 
+def _decayed(weight: float) -> Callable[[Column, Column], Column]:
+    return lambda acc, v: acc * F.lit(weight) + v
+
+
 def linear_scan(df: DataFrame, keys: Sequence[str], index: str, block: str,
                 terms: dict[str, tuple[Column, float]], rows: int) -> DataFrame:
     """``y[t] = d*y[t-1] + c[t]`` for every term ``{name: (c, d)}``, with ``block = index div rows``.
@@ -136,7 +140,7 @@ def linear_scan(df: DataFrame, keys: Sequence[str], index: str, block: str,
         before = Window.partitionBy(*keys).orderBy(block).rowsBetween(-frame, -1)
         totals.append(F.sum(x * F.pow(F.lit(d), F.lit(rows - 1) - j)).alias(f"_c_{name}"))
         carries.append(F.aggregate(F.collect_list(c).over(before), F.lit(0.0),
-                                   lambda acc, v, w=d ** rows: acc * F.lit(w) + v).alias(f"_c_{name}"))
+                                   _decayed(d ** rows)).alias(f"_c_{name}"))
         local.append((F.pow(F.lit(d), j) * F.sum(x * F.pow(F.lit(1 / d), j)).over(here)).alias(f"_v_{name}"))
         out.append((F.col(f"_v_{name}") + c * F.pow(F.lit(d), j + 1)).alias(name))
     per_block = src.groupBy(*on).agg(*totals).select(*on, *carries)

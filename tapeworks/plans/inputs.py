@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.core import bar_open, epoch_us
 from tapeworks.operators.bars import resample, ticks_to_1m
 from tapeworks.operators.coverage import coverage_runs
+from tapeworks.operators.features import add_technicals, index_bars
 from tapeworks.operators.scan import block_no, ordinals
 from tapeworks.session import pin
 
@@ -83,6 +84,14 @@ class Inputs:
         ticks = self.ticks()
         return resample(ticks_to_1m(ticks, self.quotes()), coverage_runs(ticks), tf, NOW)
 
+    @stored
+    def indexed(self, tf: int) -> DataFrame:
+        return index_bars(self.bars(tf))
+
+    @stored
+    def features(self, tf: int) -> DataFrame:
+        return add_technicals(self.indexed(tf))
+
     @stored
     def daily(self) -> DataFrame:
         o = self.table("orders")
@@ -229,6 +238,66 @@ for _tf in (15, 60, 240, 1440):
     TABLES[f"bars_{_tf}"] = ("ticks m1", _bars_sql(_tf))
 
 
+def _feature_sql(tf: int) -> dict[str, tuple[str, str]]:
+    """Features of one timeframe: recurrences as explicit weighted sums over all earlier bars."""
+    def seeded(x: str, alpha: float, first: int = 0) -> str:
+        return (f"sum(CASE WHEN b.i < {first} THEN 0 WHEN b.i = {first} THEN 1 ELSE {alpha!r} END "
+                f"* pow({1 - alpha!r}, a.i - b.i) * {x})")
+
+    def wilder(x: str) -> str:
+        return f"sum(CASE WHEN b.i < 14 THEN pow({1 - 1 / 14!r}, a.i - 13) ELSE pow({1 - 1 / 14!r}, a.i - b.i) END * {x} / 14)"
+    emas = ", ".join(f"{seeded('b.close', 2 / (n + 1))} AS ema{n}" for n in (20, 50, 80, 100, 200))
+    w = "PARTITION BY symbol ORDER BY i ROWS BETWEEN"
+    prior = ", ".join(
+        f"CASE WHEN i >= {n} THEN max(high) OVER ({w} {n} PRECEDING AND 1 PRECEDING) END AS prior_high{n}, "
+        f"CASE WHEN i >= {n} THEN avg(volume) OVER ({w} {n} PRECEDING AND 1 PRECEDING) END AS prior_vol{n}" for n in (20, 55))
+    return {
+        f"lag_{tf}": (f"bars_{tf}", f"""SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr,
+            coalesce(greatest(close - pc, 0), 0) AS up, coalesce(greatest(pc - close, 0), 0) AS dn,
+            CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS pdm,
+            CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS mdm FROM (
+            SELECT *, lag(close) OVER o AS pc, lag(high) OVER o AS ph, lag(low) OVER o AS pl FROM bars_{tf}
+            WINDOW o AS (PARTITION BY symbol ORDER BY i))"""),
+        f"smooth_{tf}": (f"lag_{tf}", f"""SELECT a.symbol, a.i, {emas}, {seeded('b.up', 1 / 14, 1)} AS up,
+            {seeded('b.dn', 1 / 14, 1)} AS dn, {seeded('b.tr', 1 / 14)} AS atr, {wilder('b.tr')} AS wtr,
+            {wilder('b.pdm')} AS wpd, {wilder('b.mdm')} AS wmd
+            FROM lag_{tf} a JOIN lag_{tf} b ON b.symbol = a.symbol AND b.i <= a.i GROUP BY 1, 2"""),
+        f"dx_{tf}": (f"smooth_{tf}", f"""SELECT *, CASE WHEN i < 13 THEN 0 ELSE coalesce(100 * abs(100 * wpd / nullif(wtr, 0)
+            - 100 * wmd / nullif(wtr, 0)) / nullif(100 * wpd / nullif(wtr, 0) + 100 * wmd / nullif(wtr, 0), 0), 0) END AS dx,
+            CASE WHEN i < 1 THEN 50 ELSE coalesce(100 - 100 / (1 + up / nullif(dn, 0)), 50) END AS rsi FROM smooth_{tf}"""),
+        f"adx_{tf}": (f"dx_{tf}", f"""SELECT a.symbol, a.i, CASE WHEN a.i >= 13 THEN {wilder('b.dx')} END AS adx
+            FROM dx_{tf} a JOIN dx_{tf} b ON b.symbol = a.symbol AND b.i <= a.i GROUP BY 1, 2"""),
+        f"feat_{tf}": (f"lag_{tf} dx_{tf} adx_{tf}", f"""SELECT j.*,
+            CASE WHEN n200 >= 50 THEN (list_count_less + (list_count_same + 1) / 2.0) / n200 END AS atr_rank,
+            CASE WHEN j.i >= 9 THEN (volume - m20) / nullif(s20, 0) END AS vol_z,
+            CASE WHEN n50 >= 25 THEN (ofi - m50) / nullif(s50, 0) END AS ofi_z FROM (
+          SELECT *, len(list_filter(r200, lambda v: v < atr_pct)) AS list_count_less,
+            len(list_filter(r200, lambda v: v = atr_pct)) AS list_count_same, len(r200) AS n200 FROM (
+          SELECT *, list(atr_pct) OVER ({w} 199 PRECEDING AND CURRENT ROW) AS r200,
+            avg(volume) OVER ({w} 19 PRECEDING AND CURRENT ROW) AS m20, stddev_pop(volume) OVER ({w} 19 PRECEDING AND CURRENT ROW) AS s20,
+            avg(ofi) OVER ({w} 49 PRECEDING AND CURRENT ROW) AS m50, stddev_pop(ofi) OVER ({w} 49 PRECEDING AND CURRENT ROW) AS s50,
+            count(ofi) OVER ({w} 49 PRECEDING AND CURRENT ROW) AS n50,
+            CASE WHEN i >= 2 THEN sum(buy_vol - sell_vol) OVER ({w} 2 PRECEDING AND CURRENT ROW)
+              / nullif(sum(buy_vol + sell_vol) OVER ({w} 2 PRECEDING AND CURRENT ROW), 0) END AS flow3,
+            sum(buy_vol - sell_vol) OVER ({w} UNBOUNDED PRECEDING AND CURRENT ROW) AS cvd,
+            lag(ofi) OVER (PARTITION BY symbol ORDER BY i) AS prev_ofi,
+            max(high) OVER ({w} 21 PRECEDING AND CURRENT ROW) AS hh22, {prior},
+            coalesce(last_value(CASE WHEN adx > 25 THEN true WHEN adx < 20 THEN false END IGNORE NULLS)
+              OVER ({w} UNBOUNDED PRECEDING AND CURRENT ROW), false) AS adx_on25,
+            coalesce(last_value(CASE WHEN adx > 30 THEN true WHEN adx < 20 THEN false END IGNORE NULLS)
+              OVER ({w} UNBOUNDED PRECEDING AND CURRENT ROW), false) AS adx_on30 FROM (
+          SELECT l.symbol, l.tf, l.t, l.i, l.open, l.high, l.low, l.close, l.volume, l.buy_vol, l.sell_vol, l.trades,
+            (l.buy_vol - l.sell_vol) / nullif(l.buy_vol + l.sell_vol, 0) AS ofi, l.spread_bps, l.tr,
+            d.ema20, d.ema50, d.ema80, d.ema100, d.ema200, d.rsi, d.atr, d.atr / nullif(l.close, 0) AS atr_pct, x.adx
+          FROM lag_{tf} l JOIN dx_{tf} d ON d.symbol = l.symbol AND d.i = l.i
+          JOIN adx_{tf} x ON x.symbol = l.symbol AND x.i = l.i))) j"""),
+    }
+
+
+for _tf in (15, 60, 240):
+    TABLES.update(_feature_sql(_tf))
+
+
 def with_tables(names: list[str], body: str) -> str:
     """``WITH`` clause holding the named inputs and all they need, then ``body``."""
     seen: dict[str, str] = {}
