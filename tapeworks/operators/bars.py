@@ -64,14 +64,10 @@ def resample(m1: DataFrame, runs: DataFrame, tf_minutes: int, now_s: int) -> Dat
     bars = covered_buckets(runs, tf_minutes, now_s).join(traded, ["symbol", "t"], "left")
     bars = bars.withColumn("blk", F.floor(F.col("t") / (s * BARS_PER_BLOCK)).cast("long"))
     bars = running(bars, ["symbol"], "blk", ["t"], {"prev_close": ("last", F.col("close"))})
-    bars = bars.where(F.col("prev_close").isNotNull())
-    for c in ("open", "high", "low", "close"):
-        bars = bars.withColumn(c, F.coalesce(c, "prev_close"))
-    for c in BAR_FLOW:
-        bars = bars.withColumn(c, F.coalesce(c, F.lit(0)))
-    return (bars.withColumn("vwap", ratio("pq", "volume"))
-            .withColumn("ofi", ratio(F.col("buy_vol") - F.col("sell_vol"), "volume"))
-            .select("symbol", F.lit(tf_minutes).cast("long").alias("tf"), "t", *BAR))
+    flat = {c: F.coalesce(c, "prev_close") for c in ("open", "high", "low", "close")}
+    bars = bars.where(F.col("prev_close").isNotNull()).withColumns({**flat, **{c: F.coalesce(c, F.lit(0)) for c in BAR_FLOW}})
+    ofi = ratio(F.col("buy_vol") - F.col("sell_vol"), "volume")
+    return (bars.withColumns({"vwap": ratio("pq", "volume"), "ofi": ofi}).select("symbol", F.lit(tf_minutes).cast("long").alias("tf"), "t", *BAR))
 
 
 def plain_resample(bars: DataFrame, tf_minutes: int, now_s: int) -> DataFrame:

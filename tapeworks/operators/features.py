@@ -36,9 +36,8 @@ def previous_bar(bars: DataFrame, keys: Sequence[str] = SERIES, rows: int = SCAN
     """``prev_close, prev_high, prev_low`` and the scan block ``sblk = i div rows``."""
     h = with_halo(bars, "i", 1, rows, block="sblk")
     w = Window.partitionBy(*keys, "sblk").orderBy("i")
-    for c in ("close", "high", "low"):
-        h = h.withColumn(f"prev_{c}", F.lag(c).over(w))
-    return h.where("home").drop("home")
+    lags = {f"prev_{c}": F.lag(c).over(w) for c in ("close", "high", "low")}
+    return h.withColumns(lags).where("home").drop("home")
 
 
 def true_range() -> Column:
@@ -75,8 +74,8 @@ def add_smooth(bars: DataFrame, keys: Sequence[str] = SERIES, spans: Sequence[in
               "_wpd": wilder(plus, adx_n), "_wmd": wilder(minus, adx_n)}
     out = linear_scan(b, list(keys), "i", "sblk", terms, rows)
     rs = ratio("_up", F.when(F.col("_dn") != 0, F.col("_dn")))
-    out = out.withColumn("rsi", F.when(F.col("i") < 1, 50.0).otherwise(F.coalesce(100 - 100 / (1 + rs), F.lit(50.0))))
-    return out.withColumn("atr_pct", ratio("atr", "close")).drop("_up", "_dn")
+    rsi = F.when(F.col("i") < 1, 50.0).otherwise(F.coalesce(100 - 100 / (1 + rs), F.lit(50.0)))
+    return out.withColumns({"rsi": rsi, "atr_pct": ratio("atr", "close")}).drop("_up", "_dn")
 
 
 def add_adx(frame: DataFrame, keys: Sequence[str] = SERIES, n: int = 14, rows: int = SCAN_ROWS) -> DataFrame:
@@ -100,9 +99,8 @@ def add_state(frame: DataFrame, keys: Sequence[str] = SERIES, enters: Sequence[f
     specs = {f"adx_on{int(e)}": ("last", hysteresis_mark("adx", e, leave)) for e in enters}
     specs["cvd"] = ("sum", F.coalesce(net, F.lit(0.0)))
     out = running(frame, list(keys), "sblk", ["i"], specs)
-    for e in enters:
-        out = out.withColumn(f"adx_on{int(e)}", F.coalesce(f"adx_on{int(e)}", F.lit(False)))
-    return out.withColumn("cvd", F.when(net.isNotNull(), F.col("cvd")))
+    known_on = {f"adx_on{int(e)}": F.coalesce(f"adx_on{int(e)}", F.lit(False)) for e in enters}
+    return out.withColumns({**known_on, "cvd": F.when(net.isNotNull(), F.col("cvd"))})
 
 
 def frame_window(keys: Sequence[str] = SERIES) -> Callable[[int, int], Window]:

@@ -35,14 +35,15 @@ def block_no(number: str | Column, rows: int = BLOCK_ROWS) -> Column:
 
 
 def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 name: str = "blk") -> DataFrame:
+                 name: str = "blk", blocks: int | None = None) -> DataFrame:
     """Blocks from a range partitioning on keys plus a unique order.
 
     The partitioner samples its bounds, so the result is pinned: both passes of
-    a scan must see the same bounds.  A heavy key spans as many blocks as it needs.
+    a scan must see the same bounds.  A heavy key spans as many blocks as it
+    needs; without ``blocks`` adaptive execution sizes them by bytes.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *keys, *order).withColumn(name, F.spark_partition_id().cast("long"))
+    spread = [blocks] if blocks else []
+    cut = df.repartitionByRange(*spread, *keys, *order).withColumn(name, F.spark_partition_id().cast("long"))
     return pin(cut)
 
 
@@ -61,9 +62,7 @@ def running(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str]
     here = Window.partitionBy(*on).orderBy(*order).rowsBetween(_ALL_BEFORE, stop)
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(_ALL_BEFORE, -1)
 
-    src = df
-    for name, (_, expr) in specs.items():
-        src = src.withColumn(f"_x_{name}", expr)
+    src = df.select("*", *[expr.alias(f"_x_{name}") for name, (_, expr) in specs.items()])
     totals, carries, local, out = [], [], [], []
     for name, (kind, _) in specs.items():
         x, c, v = F.col(f"_x_{name}"), F.col(f"_c_{name}"), F.col(f"_v_{name}")
@@ -130,9 +129,7 @@ def linear_scan(df: DataFrame, keys: Sequence[str], index: str, block: str,
     on = _shared(keys, block)
     here = Window.partitionBy(*on).orderBy(index).rowsBetween(_ALL_BEFORE, Window.currentRow)
     j = F.col(index) - F.col(block) * rows
-    src = df
-    for name, (c, _) in terms.items():
-        src = src.withColumn(f"_x_{name}", c)
+    src = df.select("*", *[c.alias(f"_x_{name}") for name, (c, _) in terms.items()])
     totals, carries, local, out = [], [], [], []
     for name, (_, d) in terms.items():
         x, c = F.col(f"_x_{name}"), F.col(f"_c_{name}")
