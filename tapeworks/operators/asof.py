@@ -6,16 +6,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.operators.scan import running
+from tapeworks.operators.scan import range_blocks, running
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_on: str, right_on: str,
-              cols: Sequence[str], span: int) -> DataFrame:
+              cols: Sequence[str], span: int | None = None) -> DataFrame:
     """For each left row the last right row with ``right_on <= left_on`` (inclusive).
 
     Both sides are stacked on one time axis and the last right row is carried
     forward; on equal times the right row comes first.  ``span`` is the width
-    of a block on the time axis.
+    of a block on the time axis; without it the axis is cut into range blocks.
     """
     lrow, rrow = F.struct(*left.columns), F.struct(*cols)
     ltype = left.select(lrow.alias("x")).schema["x"].dataType
@@ -24,6 +24,10 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_on: s
                     F.lit(None).cast(rtype).alias("_r"))
     b = right.select(*keys, F.col(right_on).alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast(ltype).alias("_l"),
                      rrow.alias("_r"))
-    both = a.unionByName(b).withColumn("_blk", F.floor(F.col("_t") / span).cast("long"))
+    both = a.unionByName(b)
+    if span is None:
+        both = range_blocks(both, keys, ["_t", "_k"], "_blk")
+    else:
+        both = both.withColumn("_blk", F.floor(F.col("_t") / span).cast("long"))
     out = running(both, list(keys), "_blk", ["_t", "_k"], {"_hit": ("last", F.col("_r"))})
     return out.where(F.col("_l").isNotNull()).select("_l.*", *[F.col(f"_hit.{c}").alias(c) for c in cols])
