@@ -1,0 +1 @@
+"""Structured Streaming jobs over the same column functions as the batch side."""
