@@ -52,22 +52,29 @@ def lexicon_score(text: str | Column, lexicon: Mapping[str, float] = LEXICON, ne
     """
     words = F.regexp_extract_all(F.lower(col(text)), F.lit("([a-z.]+)"), 1)
     weights = F.create_map(*[F.lit(v) for kv in lexicon.items() for v in kv])
-    before = F.concat(F.array(F.lit("")), words)
-    hits = F.filter(F.arrays_zip(words.alias("w"), F.slice(before, F.lit(1), F.greatest(F.size(words), F.lit(0))).alias("p")), lambda v: v["w"].isin(*lexicon))
-    return F.aggregate(hits, F.lit(0.0), lambda a, v: a + F.try_element_at(weights, v["w"]) * F.when(v["p"].isin(*negations), -1.0).otherwise(1.0))
+
+    def score(ws: Column) -> Column:
+        sign = lambda i: F.when(F.get(ws, i - 1).isin(*negations), -1.0).otherwise(1.0)
+        each = F.transform(ws, lambda w, i: F.when(w.isin(*lexicon), F.try_element_at(weights, w) * sign(i)).otherwise(0.0))
+        return F.aggregate(each, F.lit(0.0), lambda a, v: a + v)
+
+    # the one-element array names the word list once, so that it is split once per text
+    return F.get(F.transform(F.array(words), score), F.lit(0))
 
 
 def mentions(text: str | Column, entities: Mapping[str, Sequence[str]] = ENTITIES, default: str = "BTC") -> Column:
     """Entities any of whose aliases occur in the text; the default one when none does."""
-    low = F.lower(col(text))
-    found = []
-    for name, aliases in entities.items():
-        hit = F.lit(False)
-        for a in aliases:
-            hit = hit | low.contains(a)
-        found.append(F.when(hit, F.lit(name)))
-    named = F.filter(F.array(*found), lambda v: v.isNotNull())
-    return F.when(F.size(named) > 0, named).otherwise(F.array(F.lit(default)))
+    def named(low: Column) -> Column:
+        found = []
+        for name, aliases in entities.items():
+            hit = low.contains(aliases[0])
+            for a in aliases[1:]:
+                hit = hit | low.contains(a)
+            found.append(F.when(hit, F.lit(name)))
+        return F.filter(F.array(*found), lambda v: v.isNotNull())
+
+    hits = F.get(F.transform(F.array(F.lower(col(text))), named), F.lit(0))
+    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(default)))
 
 
 def sentiment(docs: DataFrame, lexicon: Mapping[str, float] = LEXICON, negations: Sequence[str] = NEGATIONS,

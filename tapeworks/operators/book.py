@@ -4,12 +4,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.core import known, ratio
 from tapeworks.operators.asof import asof_join
-from tapeworks.operators.scan import block_no, ordered_fold, previous, range_blocks, running
+from tapeworks.operators.scan import block_no, ordered_fold, range_blocks, running, split_blocks
+from tapeworks.session import pin
 
 EXACT = "decimal(28,8)"
 
@@ -43,15 +44,24 @@ def inventory(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     """Quantity held before and after each fill; a sell beyond it closes only what is there.
 
     The floor at zero is a reflected walk: the running sum less its running
-    minimum below zero.
+    minimum below zero.  A block contributes its sum and its lowest prefix, so
+    both runs need one carry table.
     """
-    b = range_blocks(fills.withColumn("_d", F.when(F.col("side") == "buy", F.col("vol")).otherwise(-F.col("vol"))), keys, order)
-    b = running(b, keys, "blk", order, {"_s": ("sum", F.col("_d"))})
-    b = running(b, keys, "blk", order, {"_m": ("min", F.least("_s", F.lit(0)))})
-    b = b.withColumn("held", F.col("_s") - F.col("_m"))
-    b = previous(b, keys, "blk", order, {"held": "held_before"}).withColumn("held_before", F.coalesce("held_before", F.lit(0.0)))
+    b = range_blocks(fills, keys, order)
+    on, zero = [*keys, "blk"], F.lit(0.0)
+    here = Window.partitionBy(*on).orderBy(*order)
+    upto, past = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumn("_d", F.when(F.col("side") == "buy", F.col("vol")).otherwise(-F.col("vol"))).withColumn("_s", F.sum("_d").over(upto))
+    carry = b.groupBy(*on).agg(F.sum("_d").alias("_t"), F.min("_s").alias("_low"))
+    carry = carry.withColumn("_s0", F.coalesce(F.sum("_t").over(before), zero))
+    carry = carry.withColumn("_m0", F.coalesce(F.min(F.col("_s0") + F.col("_low")).over(before), zero)).select(*on, "_s0", "_m0")
+    b = b.withColumns({"_lo": F.min("_s").over(upto), "_lo_past": F.min("_s").over(past)}).join(carry, on)
+    floor = lambda low: F.least(zero, F.col("_m0"), F.col("_s0") + F.col(low))
+    after = F.col("_s0") + F.col("_s")
+    b = b.withColumns({"held": after - floor("_lo"), "held_before": after - F.col("_d") - floor("_lo_past")})
     closed = F.when(F.col("side") == "sell", F.col("held_before") - F.col("held")).otherwise(0.0)
-    return b.withColumn("closed", closed).drop("_d", "_s", "_m")
+    return pin(b.withColumn("closed", closed).drop("_d", "_s", "_lo", "_lo_past", "_s0", "_m0"))
 
 
 def fifo_pnl(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -85,7 +95,7 @@ def average_cost(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     affine in their previous value, so a block reduces to two pairs of numbers.
     ``exceeds`` marks sells larger than the lot.
     """
-    inv = inventory(fills, keys, order)
+    inv = split_blocks(inventory(fills, keys, order), keys, "blk", order)
     cols = ["basis", "entry_price", "pnl"]
 
     def steps(pdf: pd.DataFrame):
@@ -155,7 +165,7 @@ def risk_scale(trades: DataFrame, keys: Sequence[str], order: Sequence[str], sta
             out.append((x, w, lo))
         return pdf.assign(risk_scale=[o[0] for o in out], win_streak=[o[1] for o in out], loss_streak=[o[2] for o in out])
 
-    b = range_blocks(trades, keys, order)
+    b = split_blocks(range_blocks(trades, keys, order), keys, "blk", order)
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in b.schema)
     return ordered_fold(b, keys, "blk", order, summarize=summarize, summary_schema="d double, lo double, hi double, w int, l int, bw boolean, bl boolean",
                         step=carry, start={"scale": start, "wins": 0, "losses": 0}, state_schema="scale double, wins int, losses int",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.core import day_text, epoch_us
 from tapeworks.operators.scan import BLOCK_ROWS, block_no, previous
+from tapeworks.session import pin
 
 
 def id_gaps(ticks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -37,15 +38,16 @@ def coverage_runs(ticks: DataFrame, verified: DataFrame | None = None, status: D
 
     A run starts at the first trade and after every open gap; it ends at the
     trade before the next gap.  A feed heartbeat extends only the newest run,
-    and only while the feed is in sync and knows no newer trade.
+    and only while the feed is in sync and knows no newer trade.  The gap table
+    is kept: it is small next to the trades and read more than once.
     """
     gaps = open_gaps(id_gaps(ticks, block_rows), verified)
-    ends = store_ends(ticks)
+    ends = pin(store_ends(ticks))
     starts = gaps.select("symbol", F.col("hi").alias("at"), F.col("after_us").alias("start_us"), "before_us")
     heads = ends.select("symbol", F.col("first_id").alias("at"), F.col("first_us").alias("start_us"),
                         F.lit(None).cast("long").alias("before_us"))
     marks = starts.unionByName(heads).withColumn("rev", -F.col("at"))
-    marks = marks.withColumn("rblk", block_no("rev", block_rows))
+    marks = pin(marks.withColumn("rblk", block_no("rev", block_rows)))
     runs = previous(marks, ["symbol"], "rblk", ["rev"], {"before_us": "end_us", "at": "next_at"})
     runs = runs.join(ends.select("symbol", "last_us", "last_id"), "symbol")
     newest = F.col("next_at").isNull()

@@ -47,6 +47,17 @@ def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return pin(cut)
 
 
+def split_blocks(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], rows: int = 50_000) -> DataFrame:
+    """Cut blocks further, so that no block of a key holds more than ``rows`` rows.
+
+    For work that loads a block into Python: its size no longer depends on how
+    many range partitions there were.
+    """
+    w = Window.partitionBy(*keys, block).orderBy(*order)
+    part = F.floor((F.row_number().over(w) - 1) / rows)
+    return df.withColumn(block, (F.col(block) * (1 << 24) + part).cast("long"))
+
+
 def _shared(keys: Sequence[str], block: str) -> list[str]:
     return [*keys, block]
 

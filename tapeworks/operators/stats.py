@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.core import ratio
 from tapeworks.operators.scan import block_no, greedy_chain, ordinals, previous, range_blocks, running, with_halo
+from tapeworks.session import pin
 
 CONFIDENCE = 0.90
 MIN_SAMPLE, WINDOW, BENCH_HOURS = 30, 50, 72
@@ -195,8 +196,8 @@ def bench_states(trades: DataFrame, keys: Sequence[str], min_sample: int = MIN_S
     starts another.  Which verdicts start a bench is a greedy chain.
     """
     r = rolling_bounds(trades, keys, ["ts", "id"])
-    r = r.withColumn("_blk", block_no("i", rows))
-    r = r.withColumn("bad", F.coalesce((F.col("live_n") >= min_sample) & (F.col("live_upper") < 0), F.lit(False)))
+    bad = F.coalesce((F.col("live_n") >= min_sample) & (F.col("live_upper") < 0), F.lit(False))
+    r = pin(r.withColumns({"_blk": block_no("i", rows), "bad": bad}))
     span = bench_hours * 3600
     slim = r.where("bad").select(*keys, "_blk", "ts", "i", (F.col("ts") + span).alias("ready"))
     starts = greedy_chain(slim, keys, "_blk", "ts", "ready", ["i"]).where("accepted")
@@ -320,8 +321,9 @@ def suggestions(filters: DataFrame, quality: DataFrame, regime: DataFrame, setti
     """
     rates = [F.max(F.when(F.col("filter") == f, F.col("failure_rate"))).alias("regime_fail" if f == "regime" else f)
              for f in FILTERS]
-    one = filters.agg(*rates).join(quality.select("n", "wait_ratio"), how="inner")
-    one = one.join(regime.select("regime", "confidence"), how="inner")
+    one = filters.agg(*rates, F.lit(1).alias("_all"))
+    for other in (quality.select("n", "wait_ratio"), regime.select("regime", "confidence")):
+        one = one.join(other.withColumn("_all", F.lit(1)), "_all")
     s = {k: F.lit(float(v)) for k, v in settings.items()}
 
     def row(name: str, when: Column, value: Column, conf: Column) -> Column:

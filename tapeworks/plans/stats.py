@@ -241,7 +241,9 @@ def d21b(x: Inputs):
     FROM ticks WHERE us >= 1706486400000000 AND us < 1706572800000000 GROUP BY 1)""", "ticks")
 def d22(x: Inputs):
     w = S.watchlist(x.ticks().withColumn("us", epoch_us("ts")), 1_706_572_800_000_000)
-    lead = F.row_number().over(Window.orderBy(F.desc(F.abs("change_pct")), "symbol")) == 1
+    first = w.agg(F.min_by("symbol", F.struct(-F.abs(F.round("change_pct", 6)), "symbol")).alias("symbol")).withColumn("leader", F.lit(True))
+    w = w.join(first, "symbol", "left")
+    lead = F.coalesce("leader", F.lit(False))
     return w.select("symbol", *rounded(**{c: (c, 6) for c in ("price", "high_24h", "low_24h", "volume_24h", "change_pct")}), "trades_24h", lead.alias("leader"))
 
 
