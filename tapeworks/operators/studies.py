@@ -195,7 +195,7 @@ def folds_against(trades: DataFrame, baseline: str, empty: float | None = None)
     A fold without trades counts as ``empty`` basis points; with ``None`` it can
     neither beat nor, on the baseline side, be hard to beat.
     """
-    m = trades.groupBy("variant", "fold").agg(F.avg("net_bps").alias("m"))
+    m = trades.groupBy("variant", "fold").agg(F.round(F.avg("net_bps"), 6).alias("m"))
     b = m.where(F.col("variant") == baseline).select("fold", F.col("m").alias("bm"))
     variants = trades.select("variant").distinct()
     grid = variants.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(1, FOLDS + 1)])))
@@ -210,7 +210,8 @@ def filter_promotion(summary: DataFrame, folds: DataFrame, baseline: str) -> Dat
     s = summary.join(folds, "variant", "left")
     b = s.where(F.col("variant") == baseline).select(F.col("mean").alias("base_mean"))
     s = s.withColumn("_all", F.lit(1)).join(b.withColumn("_all", F.lit(1)), "_all", "left").drop("_all")
-    checks = [F.col("n") >= 30, (F.col("mean") > 0) & (F.col("base_mean").isNull() | (F.col("mean") > F.col("base_mean"))), F.col("folds_better") >= 3,
+    above = F.round("mean", 6) > F.round("base_mean", 6)
+    checks = [F.col("n") >= 30, (F.col("mean") > 0) & (F.col("base_mean").isNull() | above), F.col("folds_better") >= 3,
               F.col("ex_best2") > 0, F.col("stress_mean") > 0, F.col("coins_positive") >= 2, F.col("wf_mean") > 0]
     return _passed(s, checks, F.col("variant") != baseline)
 
@@ -381,7 +382,7 @@ def daily_filter_study(frame: DataFrame, specs: Sequence[G.Spec], costs: Costs,
     s = variant_summary(r["fixed"], r["stress"], r["selected"]).join(folds_against(r["fixed"], "none", 0.0), "variant", "left")
     b = s.where("variant = 'none'").select(F.col("total").alias("base_total"), F.lit(1).alias("_all"))
     s = s.withColumn("_all", F.lit(1)).join(b, "_all", "left").drop("_all")
-    return s.withColumn("clearly_hurts", known((F.col("variant") == "d1") & (F.col("total") < F.col("base_total")) & (F.col("folds_worse") >= 3)))
+    return s.withColumn("clearly_hurts", known((F.col("variant") == "d1") & (F.round("total", 6) < F.round("base_total", 6)) & (F.col("folds_worse") >= 3)))
 
 
 def time_edges(ends_frame: DataFrame, folds: int = FOLDS, warm: int = WARM) -> DataFrame:

@@ -538,12 +538,12 @@ STRESS_SQL = net_sql(STRESS, "lim")
 
 
 @query("k11_filter_study", wf_sql(FLT_SPECS, "feat_15", f"""SELECT a.variant, a.n, round(a.mean, 4) AS mean, round(a.ex, 4) AS ex_best2, round(a.stress, 4) AS stress_mean, c.coins AS coins_positive, b.better AS folds_better, round(w.wf, 4) AS wf_mean,
-      CAST(a.n >= 30 AS INT) + CAST(coalesce(a.mean > 0 AND a.mean > z.mean, false) AS INT) + CAST(b.better >= 3 AS INT) + CAST(coalesce(a.ex > 0, false) AS INT) + CAST(a.stress > 0 AS INT) + CAST(c.coins >= 2 AS INT) + CAST(coalesce(w.wf > 0, false) AS INT) AS checks_passed FROM (
+      CAST(a.n >= 30 AS INT) + CAST(coalesce(a.mean > 0 AND round(a.mean, 6) > round(z.mean, 6), false) AS INT) + CAST(b.better >= 3 AS INT) + CAST(coalesce(a.ex > 0, false) AS INT) + CAST(a.stress > 0 AS INT) + CAST(c.coins >= 2 AS INT) + CAST(coalesce(w.wf > 0, false) AS INT) AS checks_passed FROM (
       SELECT family AS variant, count(*) AS n, avg(net) * 1e4 AS mean, avg({STRESS_SQL}) * 1e4 AS stress, CASE WHEN count(*) > 2 THEN (sum(net) - sum(net) FILTER (rk <= 2)) * 1e4 / (count(*) - 2) END AS ex
       FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY net DESC) AS rk FROM sg WHERE seg >= 1 AND k % 2 = 0) GROUP BY 1) a
       JOIN (SELECT family AS variant, count(*) FILTER (round(m, 1) > 0) AS coins FROM (SELECT family, symbol, avg(net) * 1e4 AS m FROM sg WHERE seg >= 1 AND k % 2 = 0 GROUP BY 1, 2) GROUP BY 1) c USING (variant)
-      JOIN (SELECT m.family AS variant, count(*) FILTER (m.m > coalesce(n.m, -1e18)) AS better FROM (SELECT family, seg, avg(net) AS m FROM sg WHERE seg >= 1 AND k % 2 = 0 GROUP BY 1, 2) m
-        LEFT JOIN (SELECT seg, avg(net) AS m FROM sg WHERE seg >= 1 AND k = 0 GROUP BY 1) n USING (seg) GROUP BY 1) b USING (variant)
+      JOIN (SELECT m.family AS variant, count(*) FILTER (m.m > coalesce(n.m, -1e18)) AS better FROM (SELECT family, seg, round(avg(net) * 1e4, 6) AS m FROM sg WHERE seg >= 1 AND k % 2 = 0 GROUP BY 1, 2) m
+        LEFT JOIN (SELECT seg, round(avg(net) * 1e4, 6) AS m FROM sg WHERE seg >= 1 AND k = 0 GROUP BY 1) n USING (seg) GROUP BY 1) b USING (variant)
       LEFT JOIN (SELECT family AS variant, avg(net) * 1e4 AS wf FROM ({OOS_SQL}) GROUP BY 1) w USING (variant)
       CROSS JOIN (SELECT avg(net) * 1e4 AS mean FROM sg WHERE seg >= 1 AND k = 0) z"""), "feat_15")
 def k11(x: Inputs):
