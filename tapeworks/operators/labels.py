@@ -148,7 +148,8 @@ def label(cands: DataFrame, bars: DataFrame, costs: Costs = Costs(), trailing: b
     out = out.withColumn("lvl", level)
     first = F.when(F.col("lvl").isNotNull(), F.struct(h["i"].alias("i"), h["t"].alias("t"), F.col("lvl.px").alias("px"), F.col("lvl.reason").alias("reason")))
     if trailing:
-        out = out.join(trail_exits(c, bars), list(ID), "left")
+        held = out.withColumn("last_i", F.coalesce("hit.i", "last_i"))
+        out = out.join(trail_exits(held, bars), list(ID), "left")
         wins = F.col("tr").isNotNull() & (F.col("lvl").isNull() | (F.col("tr.i") < h["i"]) | ((F.col("tr.i") == h["i"]) & F.col("lvl.reason").isin("tp", "tp_gap")))
         first = F.when(wins, F.struct(F.col("tr.i").alias("i"), F.col("tr.t").alias("t"), F.col("tr.px").alias("px"), F.col("tr.reason").alias("reason"))).otherwise(first)
     signal = F.when(F.col("x").isNotNull(), F.struct(F.col("x.fill_i").alias("i"), F.col("x.fill_t").alias("t"), F.col("x.fill_px").alias("px"), F.col("x.reason").alias("reason")))

@@ -150,12 +150,12 @@ def c20(x: Inputs):
     return out.select("asset", *[F.round(F.col(c), 4).cast("double").alias(c) for c in ("ledger_sum", "balance")])
 
 
-@query("c20_unprotected", f"""WITH {LOTS}, p AS (SELECT symbol, max_by(held, ROW(ts, l_orderkey, l_linenumber)) AS qty FROM lots GROUP BY 1), s AS (SELECT symbol, sum(vol) - sum(CASE WHEN l_orderkey % 2 = 0 THEN vol ELSE 0 END) AS covered FROM fills WHERE side = 'sell' AND l_orderkey < 400 GROUP BY 1)
+@query("c20_unprotected", f"""WITH {LOTS}, p AS (SELECT symbol, max_by(held, ROW(ts, l_orderkey, l_linenumber)) AS qty FROM lots GROUP BY 1), s AS (SELECT symbol, sum(vol) - sum(CASE WHEN l_orderkey % 2 = 0 THEN vol ELSE 0 END) AS covered FROM fills WHERE side = 'sell' GROUP BY 1)
     SELECT p.symbol, CAST(qty AS DOUBLE) AS qty, CAST(coalesce(covered, 0) AS DOUBLE) AS covered FROM p LEFT JOIN s ON s.symbol = p.symbol WHERE qty > 0 AND coalesce(covered, 0) <> qty""", "fills")
 def c20b(x: Inputs):
     """Open lots against resting stop orders."""
     lots = B.inventory(x.fills(), ["symbol"], ORDER).groupBy("symbol").agg(F.max_by("held", F.struct(*ORDER)).alias("qty"))
-    stops = x.fills().where("side = 'sell' and l_orderkey < 400").select("symbol", "vol", F.when(F.col("l_orderkey") % 2 == 0, F.col("vol")).otherwise(0.0).alias("vol_exec"))
+    stops = x.fills().where("side = 'sell'").select("symbol", "vol", F.when(F.col("l_orderkey") % 2 == 0, F.col("vol")).otherwise(0.0).alias("vol_exec"))
     return B.unprotected_lots(lots, stops).select("symbol", F.col("qty").cast("double").alias("qty"), F.col("covered").cast("double").alias("covered"))
 
 
@@ -194,13 +194,12 @@ def g4(x: Inputs):
     return o.join(allow, "symbol", "left_semi").select("id")
 
 
-@query("c17_foreign_symbols", """WITH t AS (SELECT DISTINCT sleeve, 'S' || (id % 50) AS symbol, source FROM closed_trades) SELECT sleeve, symbol FROM t a WHERE source = 'fill' AND NOT EXISTS (
-    SELECT 1 FROM t b WHERE b.symbol = a.symbol AND b.sleeve <> a.sleeve AND b.source = 'sync' AND b.symbol IN (SELECT 'S' || (id % 50) FROM closed_trades WHERE id < 20))""", "closed_trades")
+@query("c17_foreign_symbols", """WITH t AS (SELECT DISTINCT sleeve, 'S' || (id // 10) AS symbol, source FROM closed_trades) SELECT DISTINCT sleeve, symbol FROM t a WHERE source = 'fill' AND NOT EXISTS (
+    SELECT 1 FROM t b WHERE b.symbol = a.symbol AND b.sleeve <> a.sleeve AND b.source = 'sync')""", "closed_trades")
 def c17(x: Inputs):
     """Candidates that no other sleeve holds: the owners of a symbol are counted first."""
-    t = x.closed_trades().select("id", "sleeve", F.concat(F.lit("S"), (F.col("id") % 50).cast("string")).alias("symbol"), "source")
-    few = t.where("id < 20").select("symbol").distinct()
-    owners = t.where("source = 'sync'").join(few, "symbol", "left_semi").groupBy("symbol").agg(F.min("sleeve").alias("lo"), F.max("sleeve").alias("hi"))
+    t = x.closed_trades().select("sleeve", F.concat(F.lit("S"), F.floor(F.col("id") / 10).cast("string")).alias("symbol"), "source")
+    owners = t.where("source = 'sync'").groupBy("symbol").agg(F.min("sleeve").alias("lo"), F.max("sleeve").alias("hi"))
     mine = t.where("source = 'fill'").select("sleeve", "symbol").distinct().join(owners, "symbol", "left")
     free = F.col("lo").isNull() | ((F.col("lo") == F.col("sleeve")) & (F.col("hi") == F.col("sleeve")))
     return mine.where(free).select("sleeve", "symbol")

@@ -215,13 +215,13 @@ def k3(x: Inputs):
     return label_out(L.trades(x.features(15), LABELLED, COSTS))
 
 
-@query("c9_first_touch", f"""WITH c AS (SELECT symbol, i, i + 1 AS e, least(i + 200, n) AS last, close * 0.7 AS stop, close * 1.6 AS target FROM (SELECT *, max(i) OVER (PARTITION BY symbol) AS n FROM bars_15) WHERE i % 5 = 0)
+@query("c9_first_touch", f"""WITH c AS (SELECT symbol, i, i + 1 AS e, least(i + 200, n) AS last, close * 0.7 AS stop, close * 1.6 AS target FROM (SELECT *, max(i) OVER (PARTITION BY symbol) AS n FROM bars_15))
     SELECT c.symbol, c.i AS s, min(b.i) AS hit_i FROM c JOIN bars_15 b ON b.symbol = c.symbol AND b.i BETWEEN c.e AND c.last AND (b.low <= c.stop OR b.high >= c.target) GROUP BY 1, 2""", "bars_15")
 def c9(x: Inputs):
-    """First bar within 200 that leaves a wide price band around every fifth close."""
+    """First bar within 200 that leaves a wide price band around each close."""
     b = x.indexed(15)
     end = b.groupBy(*X.SERIES).agg(F.max("i").alias("n"))
-    c = b.where("i % 5 = 0").join(end, list(X.SERIES)).select(
+    c = b.join(end, list(X.SERIES)).select(
         *X.SERIES, F.lit(0).alias("k"), F.col("i").alias("s"), (F.col("i") + 1).alias("entry_i"), F.least(F.col("i") + 200, F.col("n")).alias("last_i"),
         (F.col("close") * 0.7).alias("stop"), (F.col("close") * 1.6).alias("target"))
     return L.first_touch(c.where("entry_i <= last_i"), b).select("symbol", "s", F.col("hit.i").alias("hit_i"))
@@ -499,13 +499,13 @@ SCORE_NOW = 1_706_400_000
 
 
 def blocked_signals(x: Inputs):
-    """Every sixth 15-minute bar is a blocked signal of one of four rules; the fourth has no family."""
-    b = x.indexed(15).where("i % 6 = 0")
-    k = (F.floor(F.col("i") / 6) % 4).cast("int")
+    """Every 15-minute bar is a blocked signal of one of four rules in turn; the fourth has no family."""
+    b = x.indexed(15)
+    k = (F.col("i") % 4).cast("int")
     return b.select(F.concat_ws("|", "symbol", "t").alias("id"), "symbol", "tf", F.when(k < 3, k).alias("k"), F.col("t").alias("t0"))
 
 
-@query("k9_score_signals", f"""WITH {labels_sql([s.with_(warm=0) for s in SCORED], 'feat_15')}, g AS (SELECT symbol || '|' || t AS id, symbol, t, i, n, CASE WHEN i // 6 % 4 < 3 THEN i // 6 % 4 END AS k FROM f WHERE i % 6 = 0),
+@query("k9_score_signals", f"""WITH {labels_sql([s.with_(warm=0) for s in SCORED], 'feat_15')}, g AS (SELECT symbol || '|' || t AS id, symbol, t, i, n, CASE WHEN i % 4 < 3 THEN i % 4 END AS k FROM f),
     z AS (SELECT g.*, lab.reason, lab.net, CASE WHEN {SCORE_NOW} < g.t + 1800 THEN 'open' WHEN {SCORE_NOW} - g.t > 20 * 86400 THEN 'expired' WHEN g.k IS NULL THEN 'unscorable' WHEN g.i < 60 THEN 'not_reproduced'
       WHEN lab.reason = 'eod_mark' THEN 'open' WHEN lab.reason IS NOT NULL THEN 'scored' WHEN g.i + 1 >= g.n THEN 'open' WHEN g.k = 1 THEN 'no_fill' ELSE 'not_reproduced' END AS status
       FROM g LEFT JOIN lab ON lab.symbol = g.symbol AND lab.k = g.k AND lab.s = g.i)
