@@ -446,8 +446,9 @@ def rolling_optimisation(bars: DataFrame, specs: Sequence[G.Spec], params: Seque
 
     Every fold's in-sample and out-of-sample stretch becomes a series of its
     own, so indicators restart in it.  Each spec is replayed on all of them in
-    one job; the plateau of the best three in-sample scores is what the fold
-    deploys, and the parameter set most folds agree on is replayed on the hold-out.
+    one job.  A fold deploys the plateau of its best three in-sample scores; the
+    parameter set most folds agree on is replayed on the hold-out.  Deployed
+    parameters are columns of the slice they are replayed on.
     """
     ends = L.series_ends(bars)
     hold_n = F.greatest(F.floor(F.col("n") * holdout_frac), F.lit(oos_bars))
@@ -456,22 +457,38 @@ def rolling_optimisation(bars: DataFrame, specs: Sequence[G.Spec], params: Seque
     hold = ends.select(*SERIES, F.lit(0).cast("long").alias("fold"), (F.col("n") - hold_n).alias("lo"), F.col("n").alias("hi"))
     parts = slice_series(bars, splits, "is_start", "is_end", "is").unionByName(slice_series(bars, splits, "oos_start", "oos_end", "oos"))
     parts = L.pin(parts.unionByName(slice_series(bars, hold, "lo", "hi", "hold")))
-    flat = [s.with_(warm=0) for s in specs]
     sized = L.pin(position_share(featurize(parts)))
-    t = replay(sized, flat).join(sized.select(*SERIES, F.col("i").alias("s"), "share", "base", "fold", "part"), [*SERIES, "s"])
-    t = L.pin(t.withColumn("net", F.col("ret")).withColumn("gross", F.col("ret")).withColumn("stop_frac", F.lit(0.01) / F.greatest("share", F.lit(1e-9))).withColumn("strategy_k", F.col("k")))
+    grid = range(len(specs))
+    table = bars.sparkSession.createDataFrame([(k, s.name, *[float(s.get(p, 0.0)) for p in params]) for k, s in enumerate(specs)],
+                                              "k int, strategy string, " + ", ".join(f"{p} double" for p in params))
+    m = L.pin(graded_replay(sized, [s.with_(warm=0) for s in specs], grid, lam, gamma, periods))
+    scored = m.where("part = 'is'").join(F.broadcast(table), "k")
+    chosen = L.pin(plateau_pick(scored, ["base", "fold"], params))
+    agreed = consensus(chosen, ["base"], params)
+    named = [F.col(c).alias(f"p_{c}") for c in ("strategy", *params)]
+    oos = sized.where("part = 'oos'").join(chosen.select("base", "fold", *named), ["base", "fold"])
+    hold = sized.where("part = 'hold'").join(agreed.select("base", *named), "base")
+    deployed = L.pin(oos.unionByName(hold))
+    d = L.pin(graded_replay(deployed, [G.Spec("deployed", {"warm": 0})], range(1), lam, gamma, periods).drop("k"))
+    folds = S.fold_summary(d.where("part = 'oos'").withColumnRenamed("trades", "n_trades"), ["base"])
+    held = d.where("part = 'hold'").select("base", F.col("trades").alias("hold_trades"), F.col("score").alias("hold_score"))
+    report = folds.join(held, "base").join(agreed, "base")
+    report = report.withColumn("verdict", S.verdict(F.col("hold_trades"), F.col("hold_score")))
+    return {"metrics": m, "chosen": chosen, "deployed": d, "report": report, "splits": splits}
+
+
+def graded_replay(sized: DataFrame, specs: Sequence[G.Spec], grid: Sequence[int], lam: float, gamma: float, periods: int) -> DataFrame:
+    """Replay specs on every slice and grade them: Sharpe less penalties for drawdown and turnover; -10 under three trades."""
+    t = replay(sized, specs).join(sized.select(*SERIES, F.col("i").alias("s"), "share", "base", "fold", "part"), [*SERIES, "s"])
+    t = L.pin(t.withColumns({"net": F.col("ret"), "gross": F.col("ret"), "stop_frac": F.lit(0.01) / F.greatest("share", F.lit(1e-9))}))
     keys = ["base", "part", "fold", "k"]
     m = S.metrics(t, keys, ["s"], 1000.0, 0.01, 1.0).select(*keys, "trades", "win_rate", (F.col("total_return_pct") / 100).alias("total_return"), (F.col("max_dd_pct") / 100).alias("max_dd"))
     sh = t.groupBy(*keys).agg(S.sharpe("ret", periods).alias("sharpe"), F.avg("ret").alias("expectancy"))
     bars_in = sized.groupBy("base", "part", "fold").agg(F.count(F.lit(1)).alias("bars"))
-    ks = F.explode(F.array(*[F.lit(k) for k in range(len(specs))])).alias("k")
+    ks = F.explode(F.array(*[F.lit(k) for k in grid])).alias("k")
     m = bars_in.select("*", ks).join(m, keys, "left").join(sh, keys, "left").fillna(0, ["trades"]).fillna(0.0, ["win_rate", "total_return", "max_dd", "sharpe", "expectancy"])
     score = F.when(F.col("trades") < 3, -10.0).otherwise(F.col("sharpe") - lam * F.col("max_dd") - gamma * F.col("trades") / F.greatest("bars", F.lit(1)))
-    m = m.withColumn("score", score)
-    table = bars.sparkSession.createDataFrame([(k, s.name, *[float(s.get(p, 0.0)) for p in params]) for k, s in enumerate(specs)],
-                                              "k int, strategy string, " + ", ".join(f"{p} double" for p in params))
-    scored = m.where("part = 'is'").join(F.broadcast(table), "k")
-    return {"metrics": m, "chosen": plateau_pick(scored, ["base", "fold"], params), "specs": table, "splits": splits}
+    return m.withColumn("score", score)
 
 
 def bench_bootstrap(pool: DataFrame, sims: int, trades: int, value: str = "net_bps") -> DataFrame:

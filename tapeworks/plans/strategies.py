@@ -453,11 +453,18 @@ def optimised(x: Inputs):
 
 @query("k8_rolling_optimisation")
 def k8(x: Inputs):
-    """Per symbol and fold: what the plateau deploys, and how the grid did out of sample."""
+    """Per symbol and fold: what the plateau deploys, and how that did out of sample."""
     r = optimised(x)
-    oos = r["metrics"].where("part = 'oos'").groupBy("base", "fold").agg(F.max("score").alias("best_oos"), F.sum("trades").alias("oos_trades"))
-    c = r["chosen"].join(oos, ["base", "fold"])
-    return c.select("base", "fold", "strategy", *[F.round(p, 3).alias(p) for p in OPT_PARAMS], F.round("best_oos", 6).alias("best_oos"), "oos_trades")
+    oos = r["deployed"].where("part = 'oos'").select("base", "fold", "trades", *rounded(score=("score", 6), sharpe=("sharpe", 6), total_return=("total_return", 6)))
+    return r["chosen"].join(oos, ["base", "fold"]).select("base", "fold", "strategy", *[F.round(p, 3).alias(p) for p in OPT_PARAMS], "trades", "score", "sharpe", "total_return")
+
+
+@query("k8_deploy_report")
+def k8r(x: Inputs):
+    """Per symbol: the parameters most folds agree on, the out-of-sample folds, the hold-out and the verdict."""
+    r = optimised(x)["report"]
+    return r.select("base", "strategy", *[F.round(p, 3).alias(p) for p in OPT_PARAMS], "folds", "median_trades", *rounded(
+        thin_frac=("thin_frac", 6), median_sharpe=("median_sharpe", 6), p5_sharpe=("p5_sharpe", 6), win_frac=("win_frac", 6), hold_score=("hold_score", 6)), "hold_trades", "verdict")
 
 
 def scored_specs(x: Inputs):
