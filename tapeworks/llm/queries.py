@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import bottom_k, chat_schema, edit_counts, line_frequency, mixing, personal_data, secret_scan, templates
+from tapeworks.llm import bottom_k, chat_schema, edit_counts, katz, line_frequency, mixing, personal_data, secret_scan, templates
 from tapeworks.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = edit_counts.build_trees(table(spark, sf_dir, "documents"))
