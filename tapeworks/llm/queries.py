@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import bottom_k, chat_schema, edit_counts, katz, line_frequency, mixing, personal_data, secret_scan, templates
+from tapeworks.llm import bottom_k, chat_schema, compact_windows, edit_counts, katz, line_frequency, mixing, personal_data, secret_scan, templates
 from tapeworks.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottom_k.near_duplicates(table(spark, sf_dir, "documents")).drop("tag")
