@@ -36,6 +36,7 @@ gives an empty result. Extra columns are not read.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,9 @@ from tapeworks.llm.common import WordHashes, mix, settle, text_bytes
 K, TAIL = 5, 0.5
 END, START = np.uint64(0), np.uint64(1)
 MASK = np.uint64((1 << 56) - 1)
-PART, BATCH, HOT, SALT = 32 << 20, 1_500_000, 2500, 16
+PART, BATCH, HOT, SALT = 24 << 20, 2_500_000, 2500, 16
+SHORT = np.uint64((1 << 48) - 1)  # contexts are told apart by so many bits
+UNIT, LIFT = 1e9, 10  # sums of logarithms travel as whole billionths, lifted above 0
 _B = pa.binary()
 
 
@@ -90,11 +93,15 @@ class Unigrams:
         words = sorted(words)
         self.hot = np.array([w for w, _ in words], np.uint64)
         self.hot_counts = np.array([c for _, c in words], np.int64)
+        self.hot_contexts = np.sort(np.append(self.hot & SHORT, START))
 
     def is_hot(self, words: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hot, words), max(len(self.hot) - 1, 0))
         return self.hot[at] == words if len(self.hot) else np.zeros(len(words), bool)
 
+    def is_hot_context(self, contexts: np.ndarray) -> np.ndarray:
+        return self.hot_contexts[np.minimum(np.searchsorted(self.hot_contexts, contexts), len(self.hot_contexts) - 1)] == contexts
+
     def p(self, counts: np.ndarray) -> np.ndarray:
         kept = np.where(counts > K, counts - TAIL, self.r[np.minimum(counts, K)])
         return np.where(counts > 0, kept / max(self.tokens, 1), self.unknown)
@@ -168,7 +175,7 @@ def pair_table(docs: DataFrame, model: Unigrams, parts: int) -> DataFrame:
         for k, batch in enumerate(_batches(rows)):
             batch.sort(key=lambda d: not d[1])  # training documents first
             at = np.repeat(np.arange(len(batch), dtype=np.uint64), [len(w) + 1 for _, _, w in batch])
-            context = np.concatenate([np.append(START, w) for _, _, w in batch])
+            context = np.concatenate([np.append(START, w) for _, _, w in batch]) & SHORT
             word = np.concatenate([np.append(w, END) for _, _, w in batch])
             part = word % np.uint64(parts)
             hot = model.is_hot(word)
@@ -212,53 +219,68 @@ def _by_part(part: np.ndarray, parts: int):
             yield p, order[edges[p]:edges[p + 1]]
 
 
+class _Row:
+    """A row of an Arrow table whose binary values stay where they are."""
+
+    def __init__(self, table: pa.Table, i: int):
+        self.table, self.i = table, i
+
+    def __getitem__(self, name: str):
+        x = self.table.column(name)[self.i]
+        return (x.as_buffer() if x.is_valid else None) if pa.types.is_binary(x.type) else x.as_py()
+
+
+def held(r: _Row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, document, times) of a packed row."""
+    pair = np.repeat(np.arange(r["n_pairs"], dtype=np.int32), unpack(r["per_pair"], r["n_pairs"]).astype(np.int64))
+    return pair, unpack(r["at"], r["n_at"]).astype(np.int32), unpack(r["times"], r["n_at"]).astype(np.int32)
+
+
 def count_pairs(pairs: DataFrame, model: Unigrams, parts: int) -> DataFrame:
     """What each partition of the pair table knows: rows of kind documents, contexts and unseen."""
     def count(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        words, contexts, trained, keep = [], [], [], []
+        rows = [_Row(table, i) for i in range(table.num_rows)]
+        words, contexts, trained = [], [], []
         for r in rows:
-            w, per_word = unpack(r["words"], r["n_words"]), unpack(r["per_word"], r["n_words"])
-            per_pair = unpack(r["per_pair"], r["n_pairs"]).astype(np.int64)
-            at, times = unpack(r["at"], r["n_at"]).astype(np.int64), unpack(r["times"], r["n_at"]).astype(np.int64)
-            pair = np.repeat(np.arange(r["n_pairs"]), per_pair)
-            words.append(np.repeat(w, per_word.astype(np.int64)))
+            per_word = unpack(r["per_word"], r["n_words"]).astype(np.int64)
+            words.append(np.repeat(unpack(r["words"], r["n_words"]), per_word))
             contexts.append(unpack(r["contexts"], r["n_pairs"]))
-            trained.append(np.bincount(pair, times * (at < r["train"]), r["n_pairs"]).astype(np.int64))
-            keep.append((pair.astype(np.int32), at.astype(np.int32), times.astype(np.int32)))
-        word, context, n = np.concatenate(words), np.concatenate(contexts), np.concatenate(trained)
+            pair, at, times = held(r)
+            trained.append(np.bincount(pair, times * (at < r["train"]), r["n_pairs"]).astype(np.int32))
         edges = np.cumsum([0] + [len(w) for w in words])
+        word, context, n = np.concatenate(words), np.concatenate(contexts), np.concatenate(trained)
         del words, contexts, trained
-        order = np.lexsort((context, word))
+        order = np.lexsort((context, word)).astype(np.int32)
         word, context = word[order], context[order]
         s = _runs(word, context)
-        of = np.empty(len(order), np.int64)
-        of[order] = np.repeat(np.arange(len(s)), _sizes(s, len(order)))
-        counts = np.add.reduceat(n[order], s) if len(s) else n
+        of = np.empty(len(order), np.int32)
+        of[order] = np.repeat(np.arange(len(s), dtype=np.int32), _sizes(s, len(order)))
+        counts = np.add.reduceat(n[order], s, dtype=np.int64) if len(s) else n.astype(np.int64)
+        del order, n
         word, context = word[s], context[s]                        # distinct pairs from here on
         first = _runs(word)
-        in_word = np.repeat(np.arange(len(first)), _sizes(first, len(word)))
         word_counts = np.add.reduceat(counts, first) if len(first) else counts
         hot = model.is_hot(word[first])
         word_counts[hot] = model.hot_counts[np.searchsorted(model.hot, word[first][hot])]
-        total = word_counts[in_word]
+        total = np.repeat(word_counts, _sizes(first, len(word)))
         p = model.p(total)
         base = np.log10(total + 0.5)
         # All terms of a pair but the discounts and, for unseen ones, what hangs on the context.
-        safe = np.maximum(total, 1)
-        term = -np.where((total > 0) & (word != END), np.log10(safe), 0.0)
+        term = -np.where((total > 0) & (word != END), np.log10(np.maximum(total, 1)), 0.0)
         term += np.where(counts > K, np.log10(np.maximum(counts - TAIL, TAIL)), 0.0) + np.where(counts == 0, np.log10(p), 0.0)
+        del word
         out = []
         for i, r in enumerate(rows):
-            pair, at, times = keep[i]
+            pair, at, times = held(r)
             g, d = of[edges[i]:edges[i + 1]][pair], r["docs"]
             ints = [np.bincount(at, times, d), np.bincount(at, times * (total[g] > 0), d)]
             ints += [np.bincount(at, times * (counts[g] == k), d) for k in range(1, K + 1)]
-            floats = np.concatenate([np.bincount(at, times * base[g], d), np.bincount(at, times * term[g], d)])
-            out.append(("documents", 0, r["batch"], d, r["train"], r["ids"], d, None, pack(np.concatenate(ints)), floats.tobytes()))
+            sums = (np.bincount(at, times * (x[g] + LIFT), d) for x in (base, term))
+            sums = np.stack([np.rint(x * UNIT).astype(np.int64) for x in sums])
+            out.append(("documents", 0, r["batch"], d, r["train"], None if r["ids"] is None else r["ids"].to_pybytes(), d, None, zlib.compress(pack(np.concatenate(ints)), 1), pack(sums.ravel())))
             new = counts[g] == 0
             v, at, times = context[g[new]], at[new], times[new]
-            for q, x in _by_part(_context_part(v, model.is_hot(v) | (v == START), r["batch"] % SALT, parts), parts):
+            for q, x in _by_part(_context_part(v, model.is_hot_context(v), r["batch"] % SALT, parts), parts):
                 out.append(("unseen", q, r["batch"], d, 0, None, len(x), pack(v[x]), pack(at[x]), pack(times[x])))
         seen = counts > 0
         v, c, p = context[seen], counts[seen], p[seen]
@@ -269,7 +291,7 @@ def count_pairs(pairs: DataFrame, model: Unigrams, parts: int) -> DataFrame:
             follow = [np.add.reduceat((c == k).astype(np.int64), s) for k in range(1, K + 1)]
             follow += [np.add.reduceat((c > K).astype(np.int64), s), np.add.reduceat((c == K + 1).astype(np.int64), s)]
             follow, mass, v = np.stack(follow, 1), np.add.reduceat(p, s), v[s]
-            hot = model.is_hot(v) | (v == START)
+            hot = model.is_hot_context(v)
             sent = np.stack([_context_part(v, hot, salt, parts) for salt in range(SALT)])
             for salt in range(SALT):  # once to each partition that any salt leads to
                 some = np.flatnonzero(~(sent[:salt] == sent[salt]).any(0))
@@ -346,8 +368,9 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", tra
             if x["kind"] == "more":
                 score[unpack(x["ints"], x["n"]).astype(np.int64)] += np.frombuffer(x["floats"], np.float64)
                 continue
-            ints += unpack(x["ints"], d * _INTS).astype(np.int64).reshape(_INTS, d)
-            floats += np.frombuffer(x["floats"], np.float64).reshape(2, d)
+            n = unpack(zlib.decompress(x["ints"]), d * _INTS).astype(np.int64).reshape(_INTS, d)
+            ints += n
+            floats += unpack(x["floats"], 2 * d).astype(np.float64).reshape(2, d) / UNIT - LIFT * n[0]
             ids, trained = x["ids"] or ids, x["train"]
         names = np.frombuffer(ids[:8 * d], np.int64)
         unnamed = np.frombuffer(ids[8 * d:], np.uint8).astype(bool)
