@@ -7,8 +7,8 @@ turns; the fingerprints of the examples select the layout. No rule looks at fiel
 values, and a shape that nobody declared is reported, not guessed.
 
 Formatted text: ``### role: text</turn>\\n`` per turn. Inside roles and texts the
-characters ``\\``, ``#`` and ``<`` get a backslash in front, roles also ``:``, so
-control strings cannot occur there and the text can be read back exactly.
+characters ``\\``, ``<``, ``#`` and ``:`` become a backslash and a letter, so control
+strings cannot occur there and the text can be read back exactly.
 
 The loss mask has an entry per turn: how many characters of the turn to skip and how
 many to take. Assistant turns take their text, others nothing.
@@ -93,17 +93,25 @@ def canonical_turns(records: DataFrame, id: str = "conv_id", record: str = "reco
     return parsed.join(known, "fingerprint", "left").select("conv_id", "fingerprint", "layout", turns.cast(_TURNS).alias("turns"))
 
 
-def escape(text: Column, more: str = "") -> Column:
-    return F.regexp_replace(text, rf"([\\#<{more}])", r"\\$1")
+#: Characters that control strings need, and what stands for them. The backslash is escaped first and read back last.
+ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"), (":", "\\c"))
+
+
+def escape(text: Column) -> Column:
+    for plain, code in ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    return text
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    for plain, code in reversed(ESCAPES):
+        text = F.replace(text, F.lit(code), F.lit(plain))
+    return text
 
 
 def format_turns(canonical: DataFrame) -> DataFrame:
     """Adds ``formatted`` and ``loss_mask`` (skip and take per turn, in characters)."""
-    head = lambda t: F.concat(F.lit("### "), escape(t["role"], ":"), F.lit(": "))
+    head = lambda t: F.concat(F.lit("### "), escape(t["role"]), F.lit(": "))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(head(t), escape(t["text"]), F.lit(END))), "")
     mask = F.transform("turns", lambda t: F.struct(
         F.length(head(t)).alias("skip"), F.when(t["role"] == "assistant", F.length(escape(t["text"]))).otherwise(0).alias("take")))
@@ -112,10 +120,8 @@ def format_turns(canonical: DataFrame) -> DataFrame:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """The turns and the text under the mask, from ``formatted`` and ``loss_mask`` alone."""
-    pieces = F.when(F.col("formatted") == "", F.array().cast("array<string>")).otherwise(
-        F.split("formatted", END))  # the last piece is empty
-    pieces = F.filter(pieces, lambda p: p != "")
-    header = r"(?s)^### ((?:[^\\:]++|\\.)*+): "
+    pieces = F.filter(F.split("formatted", END), lambda p: p != "")  # the last one is empty
+    header = r"(?s)^### ([^:]*+): "
     turns = F.transform("pieces", lambda p: F.struct(
         unescape(F.regexp_extract(p, header, 1)).alias("role"), unescape(F.regexp_replace(p, header, "")).alias("text")))
     loss = F.transform(F.arrays_zip("pieces", "loss_mask"), lambda x: unescape(
