@@ -228,7 +228,8 @@ def test_templates(spark, hard, bench):
 
 def test_lines(spark):
     menu = "Home | About | Contact"
-    docs = [(i, f"{menu}\nThis page number {i} tells " + " ".join(f"x{i}y{k}" for k in range(30)), "h") for i in range(30)]
+    own = lambda i: " ".join(chr(97 + i % 26) * (k + 1) + chr(97 + i // 26) for k in range(30))  # noqa: E731  digits are alike in lines
+    docs = [(i, f"{menu}\nThis page tells {own(i)}", "h") for i in range(30)]
     docs += [(100 + i, f"{menu}\n{menu}", "h") for i in range(5)] + [(200 + i, "copied page " + PASSAGE, "h") for i in range(40)]
     got = {r.doc_id: r for r in line_frequency.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
     assert all(got[i].kept and got[i].n_boilerplate == 1 for i in range(30)) and not got[100].kept and got[100].depleted and got[220].kept
