@@ -63,8 +63,8 @@ def fingerprint(v: Column) -> Column:
 
 def layout_table(spark: SparkSession, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(fingerprint, layout): one row per declared shape."""
-    rows = [(x.name, json.dumps(e)) for x in layouts for e in x.examples]
-    shapes = spark.createDataFrame(rows, "layout string, example string")
+    rows = [F.struct(F.lit(x.name).alias("layout"), F.lit(json.dumps(e)).alias("example")) for x in layouts for e in x.examples]
+    shapes = spark.range(1).select(F.inline(F.array(*rows)))
     return shapes.select(fingerprint(F.parse_json("example")).alias("fingerprint"), "layout").distinct()
 
 

@@ -56,8 +56,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_chat_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([(-7, i, r, r"\### Assistant: </turn> ok") for i, r in enumerate(("user", "assistant"))],
-                                "conv_id long, turn long, role string, text string")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     turns = chat_schema.canonical_turns(chat_schema.records_of_rows(rows))
     return chat_schema.digests(chat_schema.read_back(chat_schema.format_turns(turns)))
