@@ -206,7 +206,7 @@ def reconcile_orders(orders: DataFrame, fills: DataFrame, ledger: DataFrame) ->
         F.count(F.lit(1)).alias("legs"), F.count_if(F.col("leg") == "base").alias("base_legs"), F.count_if(F.col("leg") == "quote").alias("quote_legs"),
         F.sum(F.when(F.col("leg") == "base", d("amount"))).alias("base_amount"), F.sum(F.when(F.col("leg") == "quote", d("amount"))).alias("quote_amount"),
         F.sum(F.when(F.col("leg") == "base", d("fee"))).alias("base_fee"), F.sum(F.when(F.col("leg") == "quote", d("fee"))).alias("quote_fee"))
-    ids = fills.groupBy("fill_id").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct("order_id", "symbol", "side", "vol", "cost", "fee")).alias("f"))
+    ids = fills.groupBy("fill_id").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("order_id", "symbol", "side", "vol", "cost", "fee")).alias("f"))
     o = orders.select("order_id", F.col("symbol").alias("o_symbol"), F.col("side").alias("o_side"))
     j = (ids.select("fill_id", "copies", "f.*").join(legs, F.col("fill_id") == F.col("refid"), "full_outer").join(o, "order_id", "left"))
     has, sign = F.col("fill_id").isNotNull(), F.when(F.col("side") == "buy", 1).otherwise(-1)

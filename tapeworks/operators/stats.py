@@ -28,7 +28,7 @@ def count_where(cond: Column) -> Column:
 
 
 def median(c: str) -> Column:
-    return F.percentile(F.round(c, 2), 0.5)
+    return F.percentile(c, 0.5)
 
 
 def trade_stats() -> list[Column]:

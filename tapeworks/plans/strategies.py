@@ -215,14 +215,14 @@ def k3(x: Inputs):
     return label_out(L.trades(x.features(15), LABELLED, COSTS))
 
 
-@query("c9_first_touch", f"""WITH c AS (SELECT symbol, i, i + 1 AS e, least(i + 200, n) AS last, close * 0.7 AS stop, close * 1.6 AS target FROM (SELECT *, max(i) OVER (PARTITION BY symbol) AS n FROM bars_15))
+@query("c9_first_touch", f"""WITH c AS (SELECT symbol, i, i + 1 AS e, n AS last, close * 0.7 AS stop, close * 1.6 AS target FROM (SELECT *, max(i) OVER (PARTITION BY symbol) AS n FROM bars_15))
     SELECT c.symbol, c.i AS s, min(b.i) AS hit_i FROM c JOIN bars_15 b ON b.symbol = c.symbol AND b.i BETWEEN c.e AND c.last AND (b.low <= c.stop OR b.high >= c.target) GROUP BY 1, 2""", "bars_15")
 def c9(x: Inputs):
-    """First bar within 200 that leaves a wide price band around each close."""
+    """First later bar that leaves a wide price band around each close."""
     b = x.indexed(15)
     end = b.groupBy(*X.SERIES).agg(F.max("i").alias("n"))
     c = b.join(end, list(X.SERIES)).select(
-        *X.SERIES, F.lit(0).alias("k"), F.col("i").alias("s"), (F.col("i") + 1).alias("entry_i"), F.least(F.col("i") + 200, F.col("n")).alias("last_i"),
+        *X.SERIES, F.lit(0).alias("k"), F.col("i").alias("s"), (F.col("i") + 1).alias("entry_i"), F.col("n").alias("last_i"),
         (F.col("close") * 0.7).alias("stop"), (F.col("close") * 1.6).alias("target"))
     return L.first_touch(c.where("entry_i <= last_i"), b).select("symbol", "s", F.col("hit.i").alias("hit_i"))
 
@@ -439,9 +439,13 @@ def k6(x: Inputs):
     return t.select("symbol", "k", "s", "exit_i", *rounded(entry_px=("entry_px", 6), exit_px=("exit_px", 6), ret=("ret", 8)))
 
 
-OPT_GRID = [G.Spec("meanrev", dict(zip(("rsi_os", "rsi_exit", "lookback", "rsi_min", "rsi_max"), p)), "opt") for p in ((32.0, 52.0, 20, 35, 75), (35.0, 55.0, 20, 35, 75), (38.0, 55.0, 20, 35, 75), (38.0, 58.0, 14, 35, 75))] + [
-    G.Spec("momentum", {"rsi_os": 38.0, "rsi_exit": 55.0, "rsi_min": lo, "rsi_max": hi, "lookback": n}, "opt") for lo, hi, n in ((35, 70, 20), (38, 72, 20), (32, 75, 14), (35, 75, 24))]
+# Fixed values of the rolling optimisation: strategy, rsi_min, rsi_max, rsi_os, rsi_exit, lookback.
+OPT_TABLE = (
+    ("meanrev", 35, 75, 32.0, 52.0, 20), ("meanrev", 35, 75, 35.0, 55.0, 20), ("meanrev", 35, 75, 38.0, 55.0, 20), ("meanrev", 35, 75, 38.0, 58.0, 14),
+    ("momentum", 35, 70, 38.0, 55.0, 20), ("momentum", 38, 72, 38.0, 55.0, 20), ("momentum", 32, 75, 38.0, 55.0, 14), ("momentum", 35, 75, 38.0, 55.0, 24),
+)
 OPT_PARAMS = ("rsi_min", "rsi_max", "rsi_os", "rsi_exit", "lookback")
+OPT_GRID = [G.Spec(name, dict(zip(OPT_PARAMS, values)), "opt") for name, *values in OPT_TABLE]
 
 
 def optimised(x: Inputs):

@@ -1,6 +1,7 @@
 """Session settings and reliable storage for intermediate tables."""
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -29,16 +30,19 @@ def build_session(cores: str = "*", app: str = "tapeworks") -> SparkSession:
     return spark
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="tapeworks-")
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only in local mode."""
+    """The shared folder the cluster names; without one, a local session gets a temporary folder of its own."""
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="tapeworks-")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    return _local_dir()
 
 
 def pin(df: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def rebuild_covered_bars(trades: DataFrame, store: str, out: str, checkpoint: st
         touched = rows.select("symbol", F.to_date("ts").alias("d")).distinct()
         around = lambda n: touched.select("symbol", F.explode(F.sequence(F.date_sub("d", n), F.date_add("d", n))).alias("d")).distinct()
         have = read_ingested(spark, store).where(F.col("batch") <= batch_id).withColumn("d", F.to_date("day")).join(around(2), ["symbol", "d"], "left_semi")
-        once = pin(have.groupBy("symbol", "trade_id").agg(F.first(F.struct("ts", "price", "qty", "side", "ord_type")).alias("r")).select("symbol", "trade_id", "r.*"))
+        once = pin(have.groupBy("symbol", "trade_id").agg(F.min(F.struct("ts", "price", "qty", "side", "ord_type")).alias("r")).select("symbol", "trade_id", "r.*"))
         bars = B.resample(B.ticks_to_1m(once), C.coverage_runs(once), tf_minutes, now_s)
         day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("t") / 86_400).cast("int"))
         fresh = bars.withColumn("d", day).join(around(1), ["symbol", "d"], "left_semi").withColumn("day", F.col("d").cast("string")).drop("d")
