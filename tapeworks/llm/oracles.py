@@ -1,2 +1,40 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
-ORACLES: dict[str, str] = {}
+
+W = r"'[^\x20\x09-\x0D]+'"
+LOW = "translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+CODED = r"(length({0}) + length(regexp_replace({0}, '[^\\<#:]', '', 'g')))"
+
+OP7 = rf"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+    g AS (SELECT conv_id, string_agg(role, ',' ORDER BY turn, role, text) AS roles, count(*) AS n_turns,
+      string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+      coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+      count(*) FILTER (role IN ('human', 'gpt')) AS other, sum({CODED.format('role')} + {CODED.format('text')} + 14) AS formatted_chars FROM r GROUP BY 1)
+    SELECT conv_id, CASE WHEN roles = 'user,assistant' THEN 'prompt' WHEN roles = 'system,user,assistant' THEN 'instruction'
+      WHEN conv_id % 2 = 0 OR other > 0 THEN 'messages' ELSE 'from_value' END AS layout, n_turns, sha256(said) AS turns_sha256,
+      length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g"""
+
+OP10 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT rid, regexp_extract_all(t, {W}) AS ws FROM d),
+    pos AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+    win AS (SELECT rid, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS k
+      FROM pos WINDOW o AS (PARTITION BY rid ORDER BY i)),
+    rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM win WHERE k IS NOT NULL) WHERE c > 1),
+    rw AS (SELECT rid, count(DISTINCT i + o) AS n FROM rep CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(o) GROUP BY 1),
+    lines AS (SELECT rid, host, unnest(string_split(t, chr(10))) AS l FROM d),
+    filled AS (SELECT rid, host, l, len(regexp_extract_all(l, {W})) AS n FROM lines WHERE regexp_matches(l, {W})),
+    dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM filled GROUP BY 1),
+    nl AS (SELECT rid, host, array_to_string(regexp_extract_all(regexp_replace({LOW}, '[1-9]', '0', 'g'), {W}), ' ') AS k, sum(n) AS words FROM filled GROUP BY 1, 2, 3),
+    h AS (SELECT *, substr(md5(k), 1, 16) AS x FROM nl), h1 AS (SELECT *, min(x) OVER (PARTITION BY rid) AS m1 FROM h),
+    h2 AS (SELECT *, min(CASE WHEN x > m1 THEN x END) OVER (PARTITION BY rid) AS m2 FROM h1),
+    c AS (SELECT host, k, CASE WHEN x = m1 THEN coalesce(m2, '') ELSE m1 END AS mark, count(*) AS n FROM h2 GROUP BY 1, 2, 3),
+    b AS (SELECT host, k FROM c GROUP BY 1, 2 HAVING sum(n) > 20 AND max(n) <= 0.5 * sum(n)),
+    hit AS (SELECT rid, count(*) AS nb, sum(words) AS bw FROM nl JOIN b ON nl.host IS NOT DISTINCT FROM b.host AND nl.k = b.k GROUP BY 1),
+    o AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(length(array_to_string(ws, '')), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+      coalesce(dup.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words, coalesce(nb, 0) AS n_boilerplate, coalesce(bw, 0) AS boilerplate_words
+      FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rw USING (rid) LEFT JOIN hit USING (rid)),
+    v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words - boilerplate_words < 0.2 * n_words AS depleted FROM o)
+    SELECT CAST(doc_id AS BIGINT) AS doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_boilerplate,
+      CAST(boilerplate_words AS BIGINT) AS boilerplate_words, base_failed, depleted, NOT base_failed AND NOT depleted AS kept FROM v"""
+
+ORACLES: dict[str, str] = {"op7_chat_schema": OP7, "op10_line_frequency": OP10}

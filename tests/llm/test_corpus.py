@@ -271,3 +271,10 @@ def test_pipeline(spark, sf):
 def test_queries_are_registered():
     import __spark_entry__ as entry
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and len(queries.QUERIES) == 10
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, sf, name):
+    from tests import oracle
+    msg, _ = oracle.compare(spark, oracle.connect(sf), sf, queries.QUERIES[name], queries.ORACLES[name])
+    assert not msg, msg
