@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks import schemas
-from tapeworks.functions.core import col, finite, ratio
+from tapeworks.functions.core import col, epoch_us, finite, ratio
 from tapeworks.functions.gates import canonical_symbol
 
 
@@ -106,8 +106,8 @@ def priors(results: DataFrame, strategy_key: str, value: str = "value") -> DataF
 def log_state(lines: DataFrame, value: str = "value") -> DataFrame:
     """Newest cycle and start times of a process log and the lock flags of the newest start."""
     pattern = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})\S*\s+(CYCLE|START)"
-    us = F.try_to_timestamp(F.nullif(F.regexp_extract(value, pattern, 1), F.lit("")), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    l = lines.select(value, F.unix_seconds(us).alias("ts"), F.regexp_extract(value, pattern, 2).alias("kind")).where("ts is not null")
+    at = F.regexp_extract(value, pattern, 1).try_cast("timestamp_ntz")
+    l = lines.select(value, F.floor(epoch_us(at) / 1_000_000).cast("long").alias("ts"), F.regexp_extract(value, pattern, 2).alias("kind")).where("ts is not null")
     s = l.agg(F.max(F.when(F.col("kind") == "CYCLE", F.col("ts"))).alias("last_cycle"), F.max(F.when(F.col("kind") == "START", F.col("ts"))).alias("last_start"),
               F.max_by(F.when(F.col("kind") == "START", F.col(value)), F.when(F.col("kind") == "START", F.struct("ts", value))).alias("line"))
     flag = lambda k: F.nullif(F.regexp_extract("line", rf"\b{k}=(\w+)", 1), F.lit(""))
