@@ -12,13 +12,20 @@ At the threshold a shared list is missed with probability below 1e-7: neighbours
 union both shared have probability 0.72, and 20 neighbourhoods are kept. Sets of up to
 21 shingles are kept whole, so nothing can be missed there.
 
-Exact copies have one set and are one node. Every list is first linked to one of its
-members, which joins groups of near copies in as many pairs as they have members. Then
-only lists with more than one component are looked at again, and only between
-components: members are dealt by size class (similar sets differ by one class at most)
-and into cells of bounded size, and cells are compared by a matrix product that emits
-the pairs that may be linked. No list is compared in one task and no pair list of a
-group is written out.
+Exact copies have one set and are one node. Every list is first linked to its most
+central member, the one whose other lists are longest, so all lists of a group of near
+copies agree on a member near the text they come from. What can be linked at all mostly
+is linked to that one, in as many pairs as the group has members. Members of lists with
+one pivot make a block. A block with more than one component is linked to a second
+pivot, the member with the fewest shingles that no other open document has, now counted
+on full sets. What is still apart is compared between components, and only pairs that
+counts do not rule out: with D the symmetric difference of x and y, a link at p percent
+needs (100 - p)(|x| + |y|) >= (100 + p) D, and D is at least the shingles that no other
+open document has, counted in x and y, plus the difference of what x and y share with
+the pivot (or with the pivot of the largest block of both). All counts are exact, so no
+link is lost. Members are dealt by size class (similar sets differ by one class at most)
+and into cells of bounded size that hold these numbers only. The number of these
+comparisons still grows with the square of what a block leaves apart.
 
 Defined cases: a text of fewer than five words is one shingle of all its words; null,
 empty and blank texts have the empty set, which is linked with nothing; rows with equal
@@ -39,9 +46,9 @@ from pyspark.sql import functions as F
 from tapeworks.llm.common import WordHashes, only, per_row, settle, shingle_hashes, text_bytes, without
 from tapeworks.llm.components import components
 
-SKETCH, RUNS, HEAD, CELL = 64, 20, 24, 64
+SKETCH, RUNS, CELL = 64, 20, 1024
 _READ = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("set_hash", pa.binary()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
-_SETS = pa.schema([("doc_id", pa.int64()), ("set_hash", pa.binary()), ("shingles", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("set_hash", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
 
 def _hashes(made: dict = {}) -> WordHashes:  # noqa: B006  one per worker
@@ -84,69 +91,101 @@ def _may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("u", union).where(shared >= estimated(percent) * F.size("u")).select("a", "b")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int, max_broadcast: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are linked; only documents of these pairs are read again."""
-    pairs = settle(pairs)
-    ids = nodes.select(F.col("node"), F.col("doc_id"), F.col("set_hash"))
-    used = settle(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(ids, "node"))
+def _full_sets(used: DataFrame, docs: DataFrame, width: int, max_broadcast: int) -> DataFrame:
+    """(node, shingles) of the nodes in ``used`` (node, doc_id, set_hash); only their documents are read again."""
     wanted = used.select("doc_id").distinct()
     wanted = F.broadcast(wanted) if used.count() <= max_broadcast else wanted
 
     def sets(row: dict) -> tuple:
         s = shingle_set(row["text"], width)
-        return row["doc_id"], _digest(s), s.tobytes()
+        return row["doc_id"], _digest(s), s.view(np.int64)
 
     again = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
-    full = again.mapInArrow(per_row(sets, _SETS, 128), "doc_id long, set_hash binary, shingles binary")
-    full = (used.alias("u").join(full.alias("f"), (F.col("u.set_hash") == F.col("f.set_hash")) & F.col("u.doc_id").eqNullSafe(F.col("f.doc_id")))
-            .select("node", "shingles").dropDuplicates(["node"]))
+    full = again.mapInArrow(per_row(sets, _SETS, 128), "doc_id long, set_hash binary, shingles array<long>")
+    return (used.alias("u").join(full.alias("f"), (F.col("u.set_hash") == F.col("f.set_hash")) & F.col("u.doc_id").eqNullSafe(F.col("f.doc_id")))
+            .select("node", "shingles"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int, max_broadcast: int) -> DataFrame:
+    """(a, b, shared, linked) of pairs (a, b), from their full sets."""
+    pairs = settle(pairs)
+    ids = nodes.select("node", "doc_id", "set_hash")
+    used = settle(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(ids, "node"))
+    full = _full_sets(used, docs, width, max_broadcast).dropDuplicates(["node"])
     side = lambda x: full.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            shared, linked = [], []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return settle(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(linked, "a long, b long"))
-
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                shared.append(both)
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())],
+                                             names=["a", "b", "shared", "linked"])
+
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
+    return settle(both.mapInArrow(compare, "a long, b long, shared long, linked boolean"))
+
+
+def _open_blocks(members: DataFrame) -> DataFrame:
+    """Rows of ``members`` (p, node, c) whose block has more than one component."""
+    several = members.groupBy("p").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("p")
+    return members.join(several, "p")
+
+
+def _across(members: DataFrame, nodes: DataFrame, known: DataFrame, docs: DataFrame, percent: int, width: int, max_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of a block from different components that their counts allow to be linked, found cell by cell; and ``known`` with what was compared here.
+
+    ``members``: p, node, c of all blocks; ``known``: a, b, shared of pairs compared before.
+    """
+    members = settle(_open_blocks(members))
+    used = settle(members.select("node").distinct().join(nodes.select("node", "n", "doc_id", "set_hash"), "node"))
+    # Equal sets are one node and rows may repeat an id, so a shingle counts once per node.
+    each = _full_sets(used, docs, width, max_broadcast).select("node", F.explode("shingles").alias("s"))
+    lone = each.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("most")).where("node = most").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    alive = used.select("node", "n").join(lone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0))).where((100 - percent) * F.col("n") >= percent * F.col("u"))
+    own = settle(_open_blocks(members.join(alive, "node")))
+    centre = own.groupBy("p").agg(F.min_by("node", F.struct("u", "node")).alias("q"))
+    own = settle(own.join(centre, "p").select(F.col("q").alias("p"), "node", "n", "u").where("p <> node").distinct()
+                 .withColumns({"a": F.least("p", "node"), "b": F.greatest("p", "node")}))
+    rest = _verified(own.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), nodes, docs, percent, width, max_broadcast)
+    known = known.unionByName(rest)
+    seen = components(known.where("linked"))
+    own = own.join(known.select("a", "b", F.col("shared").alias("near")), ["a", "b"]).drop("a", "b").join(seen, "node", "left")
+    own = settle(_open_blocks(own.withColumn("c", F.coalesce("component", "node")).drop("component")))
+
+    # A node is also measured against the pivot of its largest block, which small blocks beside that one would miss.
+    large = own.groupBy("p").agg(F.count(F.lit(1)).alias("m"))
+    most = F.max_by(F.struct(F.col("p").alias("home"), F.col("near").alias("from_home")), F.struct("m", "p")).alias("h")
+    own = settle(own.join(own.join(large, "p").groupBy("node").agg(most).select("node", "h.home", "h.from_home"), "node"))
 
-def _across(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list from different components that share enough of their smallest values, found cell by cell."""
     step = math.log(100 / percent)
-    heads = nodes.select("node", "n", F.slice("sketch", 1, HEAD).alias("head"))
-    own = lists.join(heads, "node").withColumn("cls", F.floor(F.log("n") / step + 1e-9))
+    own = own.withColumn("cls", F.floor(F.log("n") / step + 1e-9))
     homes = own.select("*", F.explode(F.array(F.struct(F.lit(0).alias("guest"), F.col("cls").alias("at")),
-                                              F.struct(F.lit(1).alias("guest"), (F.col("cls") - 1).alias("at")))).alias("h")).select(
-        "key", "node", "n", "c", "head", "h.guest", "h.at")
-    sizes = homes.groupBy("key", "at").agg(F.count(F.lit(1)).alias("m"), F.min("guest").alias("host")).where("m > 1 AND host = 0")
-    dealt = homes.join(sizes, ["key", "at"]).withColumn("cells", F.ceil(F.col("m") / CELL).cast("int"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("o")
-    spread = dealt.select("key", "at", "node", "n", "c", "head", "guest", "mine", other)
-    cell = spread.groupBy("key", "at", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j")).agg(
-        F.collect_list("node").alias("node"), F.collect_list("n").alias("n"), F.collect_list("c").alias("c"),
-        F.collect_list("head").alias("head"), F.collect_list("guest").alias("guest"), F.collect_list("mine").alias("mine"))
+                                              F.struct(F.lit(1).alias("guest"), (F.col("cls") - 1).alias("at")))).alias("h"))
+    numbers = ["node", "n", "c", "u", "near", "home", "from_home", "guest", "mine"]
+    homes = homes.select("p", *numbers[:-2], "h.guest", "h.at")
+    sizes = homes.groupBy("p", "at").agg(F.count(F.lit(1)).alias("m"), F.min("guest").alias("host"), F.min("c").alias("x"), F.max("c").alias("y"))
+    sizes = sizes.where("host = 0 AND x <> y").select("p", "at", F.ceil(F.col("m") / CELL).cast("int").alias("cells"))
+    dealt = homes.join(sizes, ["p", "at"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    spread = dealt.select("p", "at", *numbers, F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("o"))
+    cell = spread.groupBy("p", "at", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j")).agg(*(F.collect_list(x).alias(x) for x in numbers))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             firsts, seconds = [], []
-            for r in batch.to_pylist():
-                node, n, c, guest, mine = (np.array(r[k]) for k in ("node", "n", "c", "guest", "mine"))
-                if len(node) < 2 or (c == c[0]).all():
+            for at in range(batch.num_rows):
+                node, n, c, u, near, home, from_home, guest, mine = (batch.column(x)[at].values.to_numpy() for x in numbers)
+                if (c == c[0]).all():
                     continue
-                lens = np.array([len(h) for h in r["head"]])
-                _, col = np.unique(np.concatenate(r["head"]), return_inverse=True)
-                hold = np.zeros((len(node), col.max() + 1), np.float32)
-                hold[np.repeat(np.arange(len(node)), lens), col] = 1
-                shared, full = hold @ hold.T, np.minimum.outer(lens, lens)
-                # Enough of the shorter head is shared: 9 of 24 values are over six deviations below what links share.
-                may = (shared >= 0.375 * full) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
+                apart = np.abs(np.subtract.outer(near, near))
+                apart = np.maximum(apart, np.abs(np.subtract.outer(from_home, from_home)) * (home[:, None] == home[None, :])) + np.add.outer(u, u)
+                may = (100 - percent) * np.add.outer(n, n) >= (100 + percent) * apart
+                may &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
                 may &= (c[:, None] != c[None, :]) & (node[:, None] < node[None, :]) & ~((guest[:, None] == 1) & (guest[None, :] == 1))
-                if r["i"] != r["j"]:
+                if batch.column("i")[at].as_py() != batch.column("j")[at].as_py():
                     may &= mine[:, None] != mine[None, :]
                 x, y = np.nonzero(may)
                 firsts.append(node[x])
@@ -154,7 +193,7 @@ def _across(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             if firsts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts), pa.int64()), pa.array(np.concatenate(seconds), pa.int64())], names=["a", "b"])
 
-    return cell.mapInArrow(compare, "a long, b long").distinct()
+    return cell.mapInArrow(compare, "a long, b long").distinct().join(known, ["a", "b"], "left_anti"), known
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 85, width: int = 5,
@@ -167,18 +206,20 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     nodes = settle(read.join(of.where("rid = node").select("rid"), "rid", "left_semi").withColumnRenamed("rid", "node"))
 
     lists = settle(nodes.select("node", F.explode("keys").alias("key")))
-    first = lists.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    stars = lists.withColumnRenamed("node", "b").join(first, "key").where("a <> b").select("a", "b").distinct()
-    links = _linked(_may_link(stars, nodes, percent), nodes, own, percent, width, max_broadcast)
-
-    seen = components(links)
-    labelled = lists.join(first.select("key"), "key").join(seen, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    labelled = settle(labelled)
-    open_lists = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    pairs = _across(labelled.join(open_lists, "key"), nodes, percent).join(stars, ["a", "b"], "left_anti")
-    more = _linked(_may_link(pairs, nodes, percent), nodes, own, percent, width, max_broadcast)
-
-    seen = components(links.unionByName(more))
+    long = lists.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = settle(lists.join(long, "key"))
+    ranked = shared.join(shared.groupBy("node").agg(F.sum("m").alias("rank")), "node")
+    pivots = ranked.groupBy("key").agg(F.max_by("node", F.struct("rank", -F.col("node"))).alias("p"))
+    members = settle(shared.select("key", "node").join(pivots, "key").select("p", "node").distinct())
+    stars = settle(members.where("p <> node").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct())
+    known = _verified(_may_link(stars, nodes, percent), nodes, own, percent, width, max_broadcast)
+
+    seen = components(known.where("linked"))
+    labelled = members.join(seen, "node", "left").select("p", "node", F.coalesce("component", "node").alias("c"))
+    pairs, known = _across(labelled, nodes, known, own, percent, width, max_broadcast)
+    more = _verified(_may_link(pairs, nodes, percent), nodes, own, percent, width, max_broadcast)
+
+    seen = components(known.unionByName(more).where("linked"))
     of = of.join(seen, "node", "left").withColumn("component", F.coalesce("component", "node", "rid"))
     whole = of.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
     out = of.join(whole, "component").withColumn("component_id", F.when(~F.col("unnamed"), F.col("component_id")))

@@ -62,13 +62,14 @@ def test_bottom_k_links(hard):
     assert got[5].component_id == 5 and got[9].n_shingles == 1
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("families, copies, edits", [(12, 9, 6), (1, 140, 9)])
+def test_near_duplicates_against_brute_force(spark, families, copies, edits):
     rng, docs = np.random.default_rng(3), []
-    for f in range(12):
+    for f in range(families):
         base = [f"v{x}" for x in rng.integers(0, 4000, 120)]
-        for _ in range(9):
-            w = list(base)
-            for i in rng.integers(0, 120, rng.integers(0, 6)):
+        for k in range(copies):
+            w = list(docs[-1][1].split()) if k % 7 == 6 else list(base)  # some are copies of copies
+            for i in rng.integers(0, 120, rng.integers(0, edits)):
                 w[i] = f"e{rng.integers(0, 10 ** 6)}"
             docs.append((len(docs), " ".join(w)))
     got = {r.doc_id: r.component_id for r in bottom_k.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
