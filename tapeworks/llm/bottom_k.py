@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from tapeworks.llm.common import WordHashes, only, per_row, settle, shingle_hashes, text_bytes, without
 from tapeworks.llm.components import components
 
-SKETCH, RUNS, CELL = 64, 20, 1024
+SKETCH, RUNS, CELL, BROADCAST = 64, 20, 1024, 16 << 20
 _READ = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("set_hash", pa.binary()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 _SETS = pa.schema([("doc_id", pa.int64()), ("set_hash", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
@@ -82,12 +82,25 @@ def estimated(percent: int) -> float:
     return p - 5 * math.sqrt(p * (1 - p) / SKETCH)
 
 
+def _sides(pairs: DataFrame, values: DataFrame, long: str) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``values`` (node, ...) of both, named by column and side.
+
+    Only nodes of these pairs are taken; they are broadcast if their arrays ``long`` hold up to BROADCAST bytes, else all is shuffled.
+    """
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    own = settle(values.join(used, "node"))
+    few = 8 * (own.agg(F.sum(F.size(long) + 8)).first()[0] or 0) <= BROADCAST
+    for x in "ba":
+        side = own.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}{x}") for c in own.columns if c != "node"))
+        pairs = pairs.join(F.broadcast(side) if few else side, x)
+    return pairs
+
+
 def _may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and union sketch allow a link."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
+    both = _sides(settle(pairs), nodes.select("node", "n", "sketch"), "sketch").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    union = F.slice(F.array_sort(F.array_union("sketcha", "sketchb")), 1, SKETCH)
+    shared = F.size(F.array_intersect(F.array_intersect("sketcha", "sketchb"), F.col("u")))
     return both.withColumn("u", union).where(shared >= estimated(percent) * F.size("u")).select("a", "b")
 
 
@@ -112,12 +125,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     ids = nodes.select("node", "doc_id", "set_hash")
     used = settle(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(ids, "node"))
     full = _full_sets(used, docs, width, max_broadcast).dropDuplicates(["node"])
-    side = lambda x: full.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared, linked = [], []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
+            for x, y in zip(batch.column("shinglesa"), batch.column("shinglesb")):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 shared.append(both)
@@ -125,7 +137,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())],
                                              names=["a", "b", "shared", "linked"])
 
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
+    both = _sides(pairs, full, "shingles").select("a", "b", "shinglesa", "shinglesb")
     return settle(both.mapInArrow(compare, "a long, b long, shared long, linked boolean"))
 
 
