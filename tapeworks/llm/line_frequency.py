@@ -2,10 +2,10 @@
 
 Each document is read once: its own counts, and a hash for every distinct normalised
 line (ASCII lower case, digits as 0, runs of white space as one blank). Lines are then
-counted per host by documents that hold them. A line above the limit is boilerplate,
-unless most of its documents are copies of one page: those agree in their other lines
-too, and a page that was copied often has done nothing wrong by it. To tell the two
-apart each document brings a mark per line, the smallest hash among its *other* lines.
+counted per host by the distinct pages that hold them, and a line above the limit is
+boilerplate. A page is the set of a document's normalised lines: copies of one page
+count once, for a page that was copied often has done nothing wrong by it, while pages
+of one template with any line of their own count each, however much they share.
 
 Removing boilerplate may leave little of a document; a depleted document is rejected.
 
@@ -32,9 +32,9 @@ LONG = 50_000  # words from which windows are compared by 64-bit hashes in flat
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 _READ = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("tag", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()),
                    ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
-                   ("lines", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
+                   ("page", pa.int64()), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
 _READ_DDL = ("doc_id long, host string, tag long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-             "n_repeat_words long, lines array<long>, marks array<long>, line_words array<int>")
+             "n_repeat_words long, page long, lines array<long>, line_words array<int>")
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -78,23 +78,21 @@ def read_document(row: dict) -> tuple:
     for line in full:
         key = line_hash(normal_line(line))
         found[key] = found.get(key, 0) + len(line.split())
-    least = sorted(found)[:2] + [0, 0]  # 0: the document has no other line
-    lines = list(found)
+    page = line_hash(b"".join(x.to_bytes(8, "big") for x in sorted(found)))
     return (row["doc_id"], row["host"], row["tag"], len(words), len(row["text"] or "") - len(raw) + sum(map(len, words)),
             len(raw) - len(raw.translate(None, SYMBOLS)), len(full) - len(set(full)), repeat_words(words),
-            [_signed(x) for x in lines], [_signed(least[1] if x == least[0] else least[0]) for x in lines], list(found.values()))
+            _signed(page), [_signed(x) for x in found], list(found.values()))
 
 
 def _lines(read: DataFrame) -> DataFrame:
-    return (read.select("rid", "host", F.explode(F.arrays_zip("lines", "marks", "line_words")).alias("x"))
-            .select("rid", "host", F.col("x.lines").alias("line"), F.col("x.marks").alias("mark"), F.col("x.line_words").alias("words")))
+    return (read.select("rid", "host", "page", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
+            .select("rid", "host", "page", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words")))
 
 
-def boilerplate(read: DataFrame, max_docs: int = 20, copy_share: float = 0.5) -> DataFrame:
-    """(host, line) of lines in more than ``max_docs`` documents of a host that are not mostly copies of one page."""
-    return (_lines(read).groupBy("host", "line", "mark").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("host", "line").agg(F.sum("n").alias("docs"), F.max("n").alias("alike"))
-            .where((F.col("docs") > max_docs) & (F.col("alike") <= copy_share * F.col("docs"))).select("host", "line", "docs"))
+def boilerplate(read: DataFrame, max_docs: int = 20) -> DataFrame:
+    """(host, line, pages) of lines in more than ``max_docs`` distinct pages of a host."""
+    return (_lines(read).select("host", "line", "page").distinct()
+            .groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") > max_docs))
 
 
 def read_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -104,13 +102,13 @@ def read_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", host
 
 
 def quality_rules(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20,
-                  copy_share: float = 0.5, min_left: float = 0.2) -> DataFrame:
+                  min_left: float = 0.2) -> DataFrame:
     """One row per document: its counts, what boilerplate it holds and whether it is kept. ``tag`` tells rows of an id apart."""
     read = read_documents(docs, id, text, host)
-    hits = (_lines(read).alias("a").join(boilerplate(read, max_docs, copy_share).alias("b"),
+    hits = (_lines(read).alias("a").join(boilerplate(read, max_docs).alias("b"),
                                          F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.line") == F.col("b.line")))
             .groupBy("rid").agg(F.count(F.lit(1)).alias("n_boilerplate"), F.sum("words").alias("boilerplate_words")))
-    n, out = F.col("n_words"), read.drop("lines", "marks", "line_words").join(hits, "rid", "left")
+    n, out = F.col("n_words"), read.drop("page", "lines", "line_words").join(hits, "rid", "left")
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_boilerplate", "boilerplate_words")})
     out = out.withColumn("base_failed", (n < 10) | (100 * F.col("n_repeat_words") > 20 * n))
     depleted = (n - F.col("boilerplate_words")) < min_left * n
@@ -123,11 +121,10 @@ def without_rejected(docs: DataFrame, id: str = "doc_id", text: str = "text", ho
     return without(docs, bad, id, F.xxhash64(F.col(f"d.`{text}`"), F.col(f"d.`{host}`")))
 
 
-def strip_boilerplate(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20,
-                      copy_share: float = 0.5) -> DataFrame:
+def strip_boilerplate(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20) -> DataFrame:
     """(doc_id, clean_text) with boilerplate lines removed; ``id`` must be unique here."""
     read = read_documents(docs, id, text, host)
-    bad = (_lines(read).alias("a").join(boilerplate(read, max_docs, copy_share).alias("b"),
+    bad = (_lines(read).alias("a").join(boilerplate(read, max_docs).alias("b"),
                                         F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.line") == F.col("b.line")))
            .groupBy("rid").agg(F.collect_list("a.line").alias("bad")))
     bad = read.select("doc_id", "rid").join(bad, "rid").select("doc_id", "bad")

@@ -239,6 +239,16 @@ def test_lines(spark):
     assert menu not in clean.clean_text
 
 
+@pytest.mark.parametrize("shared, own", [(3, 1), (8, 1), (10, 3), (20, 5)])
+def test_shared_lines_of_many_pages_are_boilerplate(spark, shared, own):
+    said = lambda *x: " ".join(hashlib.md5(f"{x}{k}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) for k in range(6))
+    docs = [(1000 * h + i, "\n".join([said("shared", h, k) for k in range(shared)] + [said(h, i, k) for k in range(own)]), f"h{h}") for h in range(6) for i in range(30)]
+    docs += [(90000 + i, "\n".join(said("copied", k) for k in range(9)), "h0") for i in range(40)]
+    got = line_frequency.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert {r.n_boilerplate for r in got if r.doc_id < 90000} == {shared} and all(r.kept and not r.n_boilerplate for r in got if r.doc_id >= 90000)
+    assert {r.depleted for r in got if r.doc_id < 90000} == {5 * own < shared + own}
+
+
 def test_passages_repeat(spark):
     rng = np.random.default_rng(5)
     fresh = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 10 ** 9, n))
