@@ -2,10 +2,11 @@
 
 Patterns give the base spans: assignments to telling names, access key ids, long hex
 runs. The second way needs no pattern of a vendor: a byte-pair vocabulary packs words
-into few tokens, random strings into many. A run of key characters with letters and
-digits is reported when it has few characters per token, after known digests and
-identifiers are taken out: hex digests of the usual lengths, UUIDs, numbers, dates,
-versions, hyphenated words, camel or snake case names whose parts are word-like.
+into few tokens, random strings into many. A run of key characters, with or without
+digits, is reported when it has few characters per token, after known digests and
+identifiers are taken out: hex digests of the usual lengths, UUIDs, rulers, and what
+consists of parts that the vocabulary itself packs well: camel, snake or hyphenated
+names of words, grouped numbers. No shape alone makes a run known.
 Spans that overlap a base span are not reported twice. Runs longer than ``PIECE``
 characters are judged by pieces of that length, the run by its best piece, so texts of
 any length are scanned whole in bounded steps.
@@ -41,6 +42,7 @@ _UUID = re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4
 _DIGEST = re.compile(rb"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|[0-9A-F]{128})")
 _PARTS = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 PIECE = 256
+WORDLIKE = 4  # characters per token of a part that reads as words
 
 
 @functools.lru_cache(maxsize=2)
@@ -63,20 +65,16 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in _HEX.finditer(raw)]
 
 
-def is_known(run: bytes) -> bool:
-    """Digests, UUIDs and identifiers: names that read as words, with or without numbers."""
+def is_known(run: bytes, path: str | None, max_ratio: float) -> bool:
+    """Digests, UUIDs, rulers, and identifiers whose parts the vocabulary packs well: names made of its words, grouped numbers."""
     core = run.strip(b"+/_=-")
-    if _DIGEST.fullmatch(core) or _UUID.fullmatch(core):
+    if not core or _DIGEST.fullmatch(core) or _UUID.fullmatch(core):
         return True
-    letters, digits = sum(x in _LETTERS for x in core), sum(0x30 <= x <= 0x39 for x in core)
-    if not letters or not digits:
-        return True  # words, numbers, rulers
-    parts = _PARTS.findall(core)
-    longest = [p for p in parts if p.isalpha() and len(p) >= 4]
-    return sum(map(len, longest)) >= 0.6 * (letters + digits) or len(parts) <= 2 and parts[-1].isdigit()
-
-
-_LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    enc, parts = encoding(path), [p.decode("ascii") for p in _PARTS.findall(core)]
+    if len(parts) > 1 and all(p.isdigit() for p in parts):
+        return sum(map(len, parts)) >= max_ratio * sum(len(enc.encode_ordinary(p)) for p in parts)
+    words = sum(len(p) for p in parts if p.isalpha() and len(p) >= 4 and len(p) >= WORDLIKE * len(enc.encode_ordinary(p)))
+    return words >= 0.6 * sum(map(len, parts))
 
 
 def characters_per_token(run: bytes, path: str | None) -> float:
@@ -91,9 +89,9 @@ def characters_per_token(run: bytes, path: str | None) -> float:
 def random_spans(raw: bytes, taken: list[tuple[int, int, int]], path: str | None, max_ratio: float) -> list[tuple[int, int, int]]:
     out = []
     for m in _RUN.finditer(raw):
-        if any(s < m.end() and m.start() < e for s, _, e in taken) or is_known(m.group()):
+        if any(s < m.end() and m.start() < e for s, _, e in taken):
             continue
-        if characters_per_token(m.group(), path) <= max_ratio:
+        if characters_per_token(m.group(), path) <= max_ratio and not is_known(m.group(), path, max_ratio):
             out.append((m.start(), 3, m.end()))
     return out
 

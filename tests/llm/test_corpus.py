@@ -184,6 +184,17 @@ def test_secrets(spark, hard, sf):
     assert "[assign]" in clean[10] and clean[11] == "key [random] stays" and clean[2] is None
 
 
+def test_random_strings_of_every_alphabet_are_secrets():
+    rng, up, low, digits = np.random.default_rng(8), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    found = lambda raw: bool(secret_scan.random_spans(raw, secret_scan.base_spans(raw), None, 2.0))
+    for letters in (up + "234567", low + digits, up + digits, low, up, low + up, low + up + digits):
+        for n in (20, 32, 64):
+            assert sum(found(f"use {''.join(rng.choice(list(letters), n))} now".encode()) for _ in range(100)) >= 97
+    for known in ("getUserAccountByIdentifier", "MAX_RETRY_COUNT_BEFORE_FAIL", "state-of-the-art-mother-in-law", "user_profile_settings_v2_2023", "-" * 40,
+                  "123E4567-E89B-12D3-A456-426614174000", "2023-01-01-00-00-00-2024", "Geschwindigkeitsbegrenzung", "A94A8FE5CCB19BA61C4C0873D391E987982FBBD3"):
+        assert not found(f"use {known} now".encode()), known
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a \\### b </turn>\n### user: x"), (1, 1, "assistant", "\\"), (2, 0, "system", None), (2, 1, "user", ""), (2, 2, "assistant", "é😀#<"),
             (3, 0, "human", "h"), (3, 0, "human", "h"), (4, 0, "a:\\b", "t"), (4, 1, None, "n"), (5, 0, "user", "q" * 40000), (7, 1, "gpt", "g"), (None, 0, "user", "z")]
