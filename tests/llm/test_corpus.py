@@ -250,6 +250,18 @@ def test_lines(spark):
     assert menu not in clean.clean_text
 
 
+def test_short_numeric_and_embedded_items_are_found(spark):
+    items = ["A 5 km by 12 km field costs 300 dollars per acre.", "Compute 12 + 7 * 3 - 45 / 9 + 8 - 16 / 4 and 2 * 7", "What is the capital of France and its largest river?",
+             "Which planet is closest to the Sun?", "Who wrote Hamlet?", "Add 3 4 5 6 7 then tell which of these old ships Anna Maria saw leaving"]
+    around = lambda k, t: ["", "Question: ", "well, so ", "He asked. "][k] + t + ["", " And so on", " 17", ". Then"][k]
+    docs = [(10 * i + k, around(k, t)) for i, t in enumerate(items) for k in range(4)]
+    docs += [(100 + k, around(k, items[5].replace("Anna", "Berta").replace("4", "9"))) for k in range(4)]  # the first windows say nothing
+    docs += [(200, "Compute 12 + 7 * 3 - 45 / 9 + 8 - 16 / 4 and 2 * 8"), (201, "Who wrote about Hamlet?"), (202, "closest to the Sun which planet is"), (203, None), (204, "")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in templates.contaminated(d, b).collect()}
+    assert got == {(10 * i + k, i) for i in range(6) for k in range(4)} | {(100 + k, 5) for k in range(4)}
+
+
 @pytest.mark.parametrize("shared, own", [(3, 1), (8, 1), (10, 3), (20, 5)])
 def test_shared_lines_of_many_pages_are_boilerplate(spark, shared, own):
     said = lambda *x: " ".join(hashlib.md5(f"{x}{k}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) for k in range(6))
