@@ -6,7 +6,10 @@ matched. Labelers vote on each candidate (1: personal, -1: not, 0: no opinion):
 (regex), lists of words near it (gazetteers) and its surroundings (context).
 Expectation-maximisation estimates from the votes alone how reliable each labeler is.
 With the resulting probabilities a naive Bayes classifier over features of the span is
-trained; candidates outside the base spans that it accepts are added as kind ``other``.
+trained; the gazetteers' votes enter it with the weight of their estimated reliability,
+the other labelers see what the features hold and act through the probabilities.
+Its score alone decides on candidates outside the base spans, no single vote does; those
+that it accepts are added as kind ``other``.
 
 Votes are aggregated to vote patterns first, at most 3 to the power of the number of
 labelers, so estimation works on a table of bounded size, in one expression. What comes
@@ -42,6 +45,7 @@ GROUPS = r"(?:\G|(?<![0-9A-Za-z]))\(?[0-9]{2,}+(?:[\x20./()-]{1,2}[0-9]{2,}+)++"
 FOR = "phone|tel|call|fax|mobile|cell|contact|ssn|social security|card|visa|account|iban|passport|email|e-mail|mail|reach"
 AGAINST = "isbn|issn|doi|version|page|pages|figure|table|section|chapter|total|price|usd|eur|items|count|sum|order"
 LABELERS = ("base", "shape", "gazetteer_for", "gazetteer_against", "context", "plain")
+WORDS = (2, 3)  # the labelers that see what no feature holds
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 _BLOCK = 256
 
@@ -154,17 +158,22 @@ def features(c: Column) -> Column:
 def reliabilities(patterns: DataFrame, rounds: int = 25) -> DataFrame:
     """(prior, acc): one row from (v, n), the vote patterns and their counts.
 
-    ``acc[j]`` is how often labeler j is right when it votes, with a start of 0.8 that counts as eight votes.
+    ``acc[j]`` is how often labeler j is right when it votes, both classes weighing the same, with a start of 0.8 that counts as
+    eight votes. Weighed by their numbers, one that always says no would pass for reliable wherever most candidates are no.
     """
     table = patterns.agg(F.collect_list(F.struct("v", F.col("n").cast("double").alias("n"))).alias("p"))
     m = len(LABELERS)
     odds = "ln(s.prior / (1 - s.prior)) + aggregate(zip_with(x.v, s.acc, (v, a) -> v * ln(a / (1 - a))), 0D, (t, y) -> t + y)"
     judged = f"transform(p, x -> struct(x.v as v, x.n as n, 1 / (1 + exp(-greatest(-30D, least(30D, {odds})))) as q))"
-    right = "aggregate(g, 6.4D, (t, x) -> t + x.n * CASE x.v[j] WHEN 1 THEN x.q WHEN -1 THEN 1 - x.q ELSE 0D END)"
-    heard = "aggregate(g, 8D, (t, x) -> t + CASE WHEN x.v[j] <> 0 THEN x.n ELSE 0D END)"
+    ones, zeros = "aggregate(g, 1D, (t, x) -> t + x.n * x.q)", "aggregate(g, 1D, (t, x) -> t + x.n * (1 - x.q))"
+    right = "aggregate(g, 0D, (t, x) -> t + x.n * CASE x.v[j] WHEN 1 THEN x.q / c.ones WHEN -1 THEN (1 - x.q) / c.zeros ELSE 0D END)"
+    wrong = "aggregate(g, 0D, (t, x) -> t + x.n * CASE x.v[j] WHEN 1 THEN (1 - x.q) / c.zeros WHEN -1 THEN x.q / c.ones ELSE 0D END)"
+    heard = "aggregate(g, 0D, (t, x) -> t + CASE WHEN x.v[j] <> 0 THEN x.n ELSE 0D END)"
+    share = f"coalesce(({heard}) * ({right}) / nullif(({right}) + ({wrong}), 0D), 0D)"
     prior = "(aggregate(g, 1D, (t, x) -> t + x.n * x.q) / aggregate(g, 2D, (t, x) -> t + x.n))"
     step = (f"element_at(transform(array({judged}), g -> struct(greatest(0.02D, least(0.98D, {prior})) as prior, "
-            f"transform(sequence(0, {m - 1}), j -> greatest(0.55D, least(0.99D, {right} / {heard}))) as acc)), 1)")
+            f"element_at(transform(array(struct({ones} as ones, {zeros} as zeros)), c -> "
+            f"transform(sequence(0, {m - 1}), j -> greatest(0.55D, least(0.99D, ({share} + 6.4D) / ({heard} + 8D))))), 1) as acc)), 1)")
     start = f"struct(0.5D as prior, array_repeat(0.8D, {m}) as acc)"
     return table.select(F.expr(f"aggregate(sequence(1, {rounds}), {start}, (s, i) -> {step})").alias("s")).select("s.prior", "s.acc")
 
@@ -204,9 +213,9 @@ def find_personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text",
         score = F.lit(math.log((total[0] + 1) / (total[1] + 1)))
         for k in range(len(FEATURES)):
             score = score + F.coalesce(table[F.concat(F.lit(f"{k}:"), c["f"][k])], F.lit(0.0))
-        for_it = F.exists(F.slice(c["v"], 2, len(LABELERS) - 1), lambda v: v > 0)
-        against = F.exists(c["v"], lambda v: v < 0)
-        return (c["v"][0] == 0) & for_it & ~against & (score >= _log_odds(threshold))
+        for j in WORDS:
+            score = score + c["v"][j] * weight[j]
+        return (c["v"][0] == 0) & (score >= _log_odds(threshold))
 
     more = F.transform(F.filter("c", accepted), lambda c: F.struct(c["start"].alias("start"), F.lit(4).alias("kind"), c["end"].alias("end")))
     out = read.withColumn("all", F.array_sort(F.array_distinct(F.concat("base", more))))

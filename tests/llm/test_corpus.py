@@ -167,6 +167,19 @@ def test_personal_data_estimation(spark):
     assert sum(got[i] for _, i in said) >= 55 and sum(got[i] for _, i in junk) == 0
 
 
+def test_no_labeler_alone_decides_on_personal_data(spark):
+    many = range(200, 260)
+    said = {0: [f"Call our office, phone {n}-555-{1000 + n} today" for n in many], 1: [f"the order desk phone {n}-555-{1000 + n} today" for n in many],
+            2: [f"Please call {n}555{1000 + n} today" for n in many], 3: [f"The total was 12 {n} 77 items on page {n}" for n in many],
+            4: [f"In the year {1700 + n} there were {n} people" for n in many], 5: [f"a sum of {n}45 items was" for n in many],
+            6: [f"his phone: {n}555{2000 + n} or mobile {n}555{3000 + n}" for n in many], 7: [f"her ssn {n}45{6000 + n}" for n in many]}
+    df = spark.createDataFrame([(100 * k + i, t) for k, ts in said.items() for i, t in enumerate(ts)], "doc_id long, text string")
+    got = Counter()
+    for r in personal_data.find_personal_data(df).collect():
+        got[r.doc_id // 100] += r.n_other
+    assert [got[k] for k in range(8)] == [60, 60, 60, 0, 0, 0, 120, 60]
+
+
 def base_secrets(t):
     pats = [("assign", r"""(?:(?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
     ok = [lambda m: len(m.group(1)) >= 12, lambda m: len(m.group()) >= 18, lambda m: len(m.group()) >= 16]
