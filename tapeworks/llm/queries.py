@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import bottom_k, chat_schema, compact_windows, edit_counts, katz, line_frequency, mixing, personal_data, secret_scan, templates
+from tapeworks.llm import bottom_k, chat_schema, compact_windows, dominance_packing, edit_counts, katz, line_frequency, mixing, personal_data, secret_scan, templates
 from tapeworks.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.quality_rules(table(spark, sf_dir, "documents")).drop("host", "tag")
+
+
+@query
+def op11_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance_packing.pack_documents(table(spark, sf_dir, "documents"))
