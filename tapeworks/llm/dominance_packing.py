@@ -34,6 +34,7 @@ from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,12 @@ class WordIds(dict):
         self.model, self.older = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json")), {}
 
     def encode(self, run: bytes) -> bytes:
-        return np.asarray(self.model.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        text = run.decode("utf-8", "replace")
+        if run.isalpha() and run.islower():  # one pre-token that no normalisation changes: its merges alone
+            ids = [t.id for t in self.model.model.tokenize(text)]
+        else:
+            ids = self.model.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, run: bytes) -> bytes:
         if len(run) > self.LONGEST:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import bottom_k, chat_schema, compact_windows, dominance_packing, edit_counts, katz, line_frequency, mixing, personal_data, secret_scan, templates
+from tapeworks.llm import bottom_k, chat_schema, compact_windows, dominance_packing, edit_counts, feast_whitening, katz, line_frequency, mixing, personal_data, prefix_trie, secret_scan, templates
 from tapeworks.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,13 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
+@query
+def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feast_whitening.components_of(feast_whitening.whiten(table(spark, sf_dir, "embeddings")))
