@@ -37,4 +37,26 @@ OP10 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS hos
     SELECT CAST(doc_id AS BIGINT) AS doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_boilerplate,
       CAST(boilerplate_words AS BIGINT) AS boilerplate_words, base_failed, depleted, NOT base_failed AND NOT depleted AS kept FROM v"""
 
-ORACLES: dict[str, str] = {"op7_chat_schema": OP7, "op10_line_frequency": OP10}
+#: CRC-32 of a decimal, byte by byte and bit by bit: -1 stands for one shift.
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(c::VARCHAR) + 1), lambda k: [ascii(substr(c::VARCHAR, k::BIGINT, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+
+OP12 = rf"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) - 1 AS i, m, w FROM (
+      SELECT conv_id, turn, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+        len(regexp_extract_all(coalesce(text, ''), {W})) AS w FROM conversations WHERE conv_id IS NOT NULL)),
+    z AS MATERIALIZED (SELECT c, {CRC} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+    heads AS (SELECT z.c, b.i + 1 AS pos, b.m, b.w FROM z JOIN t b ON b.c = z.c - z.c % 20 AND b.i < z.h),
+    lent AS (SELECT c, count(*) AS n FROM heads GROUP BY 1),
+    rows AS (SELECT * FROM heads UNION ALL SELECT z.c, coalesce(lent.n, 0) + t.i - z.h + 1, t.m, t.w FROM z JOIN t ON t.c = z.c AND t.i >= z.h LEFT JOIN lent ON lent.c = z.c),
+    p AS MATERIALIZED (SELECT c, 0 AS pos, '' AS k, 0 AS w FROM z UNION ALL
+      SELECT c, pos, string_agg(m, '') OVER (PARTITION BY c ORDER BY pos) AS k, w FROM rows),
+    n AS MATERIALIZED (SELECT k, pos, min(c) AS c, count(*) AS members, max(w) AS w FROM p GROUP BY 1, 2),
+    kids AS (SELECT left(k, length(k) - 32) AS k, count(*) AS n FROM n WHERE pos > 0 GROUP BY 1),
+    below AS (SELECT a.k, count(*) FILTER (kids.n IS NULL) AS leaves, sum((y.members - 1) * y.w) AS saved
+      FROM n y LEFT JOIN kids ON kids.k = y.k JOIN p a ON a.c = y.c AND a.pos <= y.pos GROUP BY 1),
+    ends AS (SELECT k, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS sha FROM p JOIN (SELECT c, max(pos) AS pos FROM p GROUP BY 1) e USING (c, pos) GROUP BY 1)
+    SELECT CAST(n.c AS BIGINT) AS conv_id, CAST(n.pos AS BIGINT) AS depth, CAST(u.c AS BIGINT) AS parent_conv_id, n.members AS n_convs, coalesce(kids.n, 0) AS n_children,
+      below.leaves AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, coalesce(ends.sha, sha256('')) AS ends_sha256
+    FROM n JOIN below USING (k) LEFT JOIN kids USING (k) LEFT JOIN ends USING (k) LEFT JOIN n u ON n.pos > 0 AND u.k = left(n.k, length(n.k) - 32)"""
+
+ORACLES: dict[str, str] = {"op7_chat_schema": OP7, "op10_line_frequency": OP10, "op12_prefix_trie": OP12}

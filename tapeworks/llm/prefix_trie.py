@@ -125,7 +125,7 @@ def singleton_depths(rows: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
             yield b.select([0, 1]).filter(pa.array(once))
 
     alone = probes.select("conv_id", "pos", "k1", "k2").mapInArrow(run, probes.select("conv_id", "pos").schema)
-    return alone.groupBy("conv_id").agg(F.min("pos").alias("tail"))
+    return settle(alone.groupBy("conv_id").agg(F.min("pos").alias("tail")))  # as with nodes, for a conversation of very many turns
 
 
 def digest_of_ends(ends: DataFrame) -> DataFrame:
@@ -183,6 +183,7 @@ def prefix_trie(paths: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     shared, tails = marked.where(~lone), marked.where(lone)
 
     nodes = shared.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("entry"), F.count_if(F.col("pos") == F.col("len")).alias("n_ends"))
+    nodes = settle(nodes)  # dealt out on its own for the join, which lets adaptive execution split a prefix that very many share
     own, end = c == F.col("entry"), F.col("pos") == F.col("len")
     seen = settle(shared.join(nodes, list(NODE)).select(
         "conv_id", *NODE, "len", "tail", "entry", own.cast("int").alias("enters"), F.when(own, (F.col("n") - 1) * F.col("words")).otherwise(0).alias("saved"),
