@@ -1,26 +1,24 @@
 """Trade labelling as joins: every candidate entry gets its first exit, then overlaps are thinned.
 
 A candidate knows the next bar on which its family wants out (one reverse scan
-per exit rule).  Its stop or target is looked up in bars of 64: the entry block
-is searched bar by bar, later blocks first by their low and high, and only the
-first block that can hold a hit is opened.  The work per candidate is bounded
-by its holding period in blocks, not in bars.
+per exit rule).  Its stop, target or trail is looked up through levels of block
+summaries (``operators.levels``), one row per candidate and level.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.core import known
 from tapeworks.functions.costs import Costs
 from tapeworks.operators import signals as G
 from tapeworks.operators.features import FRAME_ROWS, SERIES
+from tapeworks.operators.levels import first_fall, first_hit
 from tapeworks.operators.scan import block_no, greedy_chain, running, with_halo
 from tapeworks.session import pin
 
-BLOCK_BARS = 64
 WARM = 210
 ID = (*SERIES, "k", "s")
 
@@ -91,47 +89,30 @@ def candidates(frame: DataFrame, specs: Sequence[G.Spec]) -> DataFrame:
                     F.element_at("exits", F.col("k") + 1).alias("x"), F.element_at("regimes", F.col("k") + 1).alias("regime"))
 
 
-def _blocks(lo: Column, hi: Column) -> Column:
-    return F.explode(F.sequence(lo, hi))
-
-
 def first_touch(cands: DataFrame, bars: DataFrame) -> DataFrame:
     """The first bar of each holding period that reaches the stop or the target.
 
     ``cands`` has ``entry_i, last_i, stop, target``; levels may be NULL (never reached).
     """
-    bars = bars.select(*SERIES, "i", "t", "open", "high", "low").withColumn("b", block_no("i", BLOCK_BARS))
-    spans = bars.groupBy(*SERIES, "b").agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
-    slim = cands.select(*ID, "entry_i", "last_i", "stop", "target", block_no("entry_i", BLOCK_BARS).alias("b0"), block_no("last_i", BLOCK_BARS).alias("b1"))
-    reach = lambda low, high: known(F.col(low) <= F.col("stop")) | known(F.col(high) >= F.col("target"))
-    later = (slim.where(F.col("b1") > F.col("b0")).withColumn("b", _blocks(F.col("b0") + 1, F.col("b1")))
-             .join(spans, [*SERIES, "b"]).where(reach("lo", "hi"))
-             .groupBy(*ID, "entry_i", "last_i", "stop", "target").agg(F.min("b").alias("b")))
-    pairs = slim.withColumn("b", F.col("b0")).drop("b0", "b1").unionByName(later)
-    hit = (pairs.join(bars, [*SERIES, "b"])
-           .where((F.col("i") >= F.col("entry_i")) & (F.col("i") <= F.col("last_i")) & reach("low", "high")))
-    return hit.groupBy(*ID).agg(F.min(F.struct("i", "t", "open", "high", "low")).alias("hit"))
+    return first_hit(cands, bars.select(*SERIES, "i", "t", "open", "high", "low"), SERIES, ID)
 
 
 def trail_exits(cands: DataFrame, bars: DataFrame) -> DataFrame:
     """First bar on which an armed ATR trail is broken.
 
     The peak is the highest high before the bar, so the bar that arms the trail
-    cannot be stopped by its own wick.
+    cannot be stopped by its own wick.  Arming is a first touch; from the next bar
+    on the trail breaks at the first fall of its width below the peak so far.
     """
-    bars = bars.select(*SERIES, "i", "t", "open", "high", "low").withColumn("b", block_no("i", BLOCK_BARS))
+    bars = bars.select(*SERIES, "i", "t", "open", "high", "low")
     on = cands.where((F.col("trail_activate") > 0) & (F.col("atr") > 0))
-    slim = on.select(*ID, "entry_i", "last_i", "entry_px", "atr", "trail_activate", "trail_atr",
-                     _blocks(block_no("entry_i", BLOCK_BARS), block_no("last_i", BLOCK_BARS)).alias("b"))
-    held = slim.join(bars, [*SERIES, "b"]).where((F.col("i") >= F.col("entry_i")) & (F.col("i") <= F.col("last_i")))
-    before = Window.partitionBy(*ID).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    peak = F.greatest("entry_px", F.max("high").over(before))
-    held = held.withColumn("peak", peak).withColumn("trail", F.col("peak") - F.col("trail_atr") * F.col("atr"))
-    armed = F.col("peak") - F.col("entry_px") + 1e-12 >= F.col("trail_activate") * F.col("atr")
-    out = held.where(armed & ((F.col("open") <= F.col("trail")) | (F.col("low") <= F.col("trail"))))
-    px = F.when(F.col("open") <= F.col("trail"), F.col("open")).otherwise(F.col("trail"))
-    why = F.when(F.col("open") <= F.col("trail"), "trail_gap").otherwise("trail")
-    return out.groupBy(*ID).agg(F.min(F.struct("i", "t", px.alias("px"), why.alias("reason"))).alias("tr"))
+    arm = on.withColumns({"stop": F.lit(None).cast("double"), "target": F.col("entry_px") + F.col("trail_activate") * F.col("atr") - 1e-12})
+    armed = on.select(*ID, "last_i", (F.col("trail_atr") * F.col("atr")).alias("drop")).join(first_touch(arm, bars), list(ID))
+    out = first_fall(armed.select(*ID, (F.col("hit.i") + 1).alias("from_i"), "last_i", F.col("hit.high").alias("peak"), "drop"), bars, SERIES, ID)
+    out = out.join(armed.select(*ID, "drop"), list(ID)).withColumn("trail", F.col("peak") - F.col("drop"))
+    gap = F.col("peak") - F.col("fall_open") >= F.col("drop")
+    px, why = F.when(gap, F.col("fall_open")).otherwise(F.col("trail")), F.when(gap, "trail_gap").otherwise("trail")
+    return out.select(*ID, F.struct(F.col("fall_i").alias("i"), F.col("fall_t").alias("t"), px.alias("px"), why.alias("reason")).alias("tr"))
 
 
 def label(cands: DataFrame, bars: DataFrame, costs: Costs = Costs(), trailing: bool = False) -> DataFrame:

@@ -200,36 +200,74 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], block: str, order: Sequence
 
 def greedy_chain(df: DataFrame, keys: Sequence[str], block: str, start: str, ready: str,
                  tie: Sequence[str] = (), name: str = "accepted") -> DataFrame:
-    """Walk rows in ``start`` order; accept one if ``start >= ready`` of the last accepted row."""
-    order = [start, *tie]
-    never = -(2 ** 62)
-
-    def leave(pdf: pd.DataFrame) -> dict:
-        s, r = pdf[start].to_numpy(), pdf[ready].to_numpy()
-        nxt = s.searchsorted(r, side="left")
-        out = r.copy()
-        for k in range(len(s) - 1, -1, -1):
-            if nxt[k] < len(s):
-                out[k] = out[max(nxt[k], k + 1)] if nxt[k] <= k else out[nxt[k]]
-        keep = [k for k in range(len(s)) if k + 1 == len(s) or out[k] != out[k + 1]]
-        return {"at": [s[k].item() for k in keep], "to": [out[k].item() for k in keep]}
-
-    def step(state: dict, block_row: dict) -> dict:
-        for at, to in zip(block_row["at"], block_row["to"]):
-            if state["free"] <= at:
-                return {"free": int(to)}
-        return state
-
-    def mark(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
-        free, flags = int(state["free"]), []
+    """Walk rows in ``start`` order; accept one if ``start >= ready`` of the last accepted row.
+
+    Inside a block every row knows when it is free again after the chain that
+    begins with it has left the block; the first start at or after that time is
+    the next block's entry.  These pointers are doubled by self-joins until the
+    entries of all visited blocks are known, so the work is a few joins per
+    doubling and no task walks a whole key.  Then the blocks are finished side by
+    side.  A row that is ready again by its own start stops nobody and is left
+    out of the pointers.
+    """
+    keys, order, never = list(keys), [start, *tie], -(2 ** 62)
+    on = _shared(keys, block)
+    df = pin(df)
+    spread = df.groupBy(*keys).agg(F.count_distinct(block).alias("n")).agg(F.max("n")).first()[0] or 0
+    key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*on).schema)
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        free, flags = int(pdf["_free"].iloc[0]), []
         for s, r in zip(pdf[start].to_numpy(), pdf[ready].to_numpy()):
             ok = s >= free
             flags.append(ok)
             free = int(r) if ok else free
-        return pdf.assign(**{name: flags})
+        return pdf.drop(columns="_free").assign(**{name: flags})
 
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return ordered_fold(df, keys, block, order, summarize=leave,
-                        summary_schema="at array<bigint>, to array<bigint>", step=step,
-                        start={"free": never}, state_schema="free bigint",
-                        apply=mark, out_schema=f"{ddl}, {name} boolean")
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(start)  # sorted: the first row of a start is the one that the chain meets
+        s, out = pdf[start].to_numpy(), pdf[ready].to_numpy().copy()
+        nxt = s.searchsorted(out, side="left")
+        for k in range(len(s) - 1, -1, -1):
+            if nxt[k] < len(s):
+                out[k] = out[nxt[k]]
+        return pdf[on].assign(_at=s, _out=out)
+
+    if spread <= 1:
+        state = df.withColumn("_free", F.lit(never))
+    else:
+        stops = df.where(F.col(ready) > F.col(start)).select(*on, *order, ready)
+        exits = stops.groupBy(*on).applyInPandas(lambda pdf: leave(pdf.sort_values(order, kind="stable")), f"{key_ddl}, _at bigint, _out bigint")
+        exits = exits.groupBy(*keys, "_at").agg(F.min(F.struct(block, "_out")).alias("_e"))  # equal starts may straddle blocks: the first counts
+        exits = pin(exits.select(*keys, f"_e.{block}", "_at", "_e._out"))
+        visited = chain_entries(exits, keys, block)
+        before = Window.partitionBy(*keys).orderBy(block).rowsBetween(_ALL_BEFORE, -1)
+        per_block = df.select(*on).distinct().join(visited.groupBy(*on).agg(F.max("_out").alias("_out")), on, "left")
+        per_block = per_block.select(*on, F.coalesce(F.max("_out").over(before), F.lit(never)).alias("_free"))
+        state = df.join(per_block, on)
+    return state.groupBy(*on).applyInPandas(mark, f"{ddl}, {name} boolean")
+
+
+def chain_entries(exits: DataFrame, keys: Sequence[str], block: str) -> DataFrame:
+    """Rows of ``exits`` (keys, block, _at, _out) at which the chain of a key enters its blocks, from the key's first row on.
+
+    ``_out`` is the time a chain that enters at ``_at`` is free again beyond the block.
+    """
+    from tapeworks.operators.asof import asof_join
+
+    keys = list(keys)
+    wanted = exits.select(*keys, "_out", (-F.col("_out")).alias("_x")).distinct()
+    starts = exits.select(*keys, F.col("_at").alias("_to"), (-F.col("_at")).alias("_y"))
+    ahead = asof_join(wanted, starts, keys, "_x", "_y", ["_to"])  # negated times: the first start at or after _out
+    jump = exits.join(ahead.where(F.col("_to").isNotNull()).select(*keys, "_out", "_to"), [*keys, "_out"], "left")
+    first = exits.groupBy(*keys).agg(F.min("_at").alias("_at"))
+    entries = ahead.where(F.col("_to").isNotNull()).select(*keys, F.col("_to").alias("_at")).unionByName(first).distinct()
+    jump = pin(jump.join(entries, [*keys, "_at"]).select(*keys, "_at", "_to").where(F.col("_to").isNotNull()))
+    reached = pin(first)
+    while jump.limit(1).count():  # twice as far each time: reached covers 2^k blocks, jump skips as many
+        reached = pin(reached.unionByName(reached.join(jump, [*keys, "_at"]).select(*keys, F.col("_to").alias("_at"))).distinct())
+        onward = jump.select(*keys, F.col("_at").alias("_to"), F.col("_to").alias("_next"))
+        jump = pin(jump.join(onward, [*keys, "_to"]).select(*keys, "_at", F.col("_next").alias("_to")))
+    return exits.join(reached, [*keys, "_at"])

@@ -2,9 +2,8 @@
 
 Groups are reduced by partial aggregates.  Anything that needs the order of a
 log (equity curves, rolling windows, last quarter) runs over range blocks, so
-one sleeve may hold most of the log.  Exact medians use ``percentile`` on basis
-points rounded to cents: the state holds one entry per distinct value, and the
-range of such values is bounded.
+one sleeve may hold most of the log.  Exact medians are selected by counting
+(``operators.select``); ``percentile`` is left for folds, of which there are few.
 """
 from __future__ import annotations
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.core import ratio
 from tapeworks.operators.scan import block_no, greedy_chain, ordinals, previous, range_blocks, running, with_halo
+from tapeworks.operators.select import exact_quantile
 from tapeworks.session import pin
 
 CONFIDENCE = 0.90
@@ -27,15 +27,11 @@ def count_where(cond: Column) -> Column:
     return F.count_if(cond)
 
 
-def median(c: str) -> Column:
-    return F.percentile(c, 0.5)
-
-
 def trade_stats() -> list[Column]:
     """Aggregates of a group of closed trades."""
     return [F.count(F.lit(1)).alias("trades"), count_where(F.col("pnl") > 0).alias("wins"),
             (100.0 * F.avg((F.col("pnl") > 0).cast("double"))).alias("win_pct"), F.sum("pnl").alias("net_pnl"),
-            F.avg("net_bps").alias("avg_bps"), median("net_bps").alias("median_bps"),
+            F.avg("net_bps").alias("avg_bps"),
             F.max("net_bps").alias("best_bps"), F.min("net_bps").alias("worst_bps"), F.max("ts").alias("last_ts")]
 
 
@@ -44,9 +40,16 @@ def scorecard(trades: DataFrame, now_s: int) -> DataFrame:
     cube = trades.rollup("sleeve", "symbol").agg(F.grouping_id().alias("g"), *trade_stats())
     scope = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "sleeve").otherwise("sleeve_symbol")
     out = cube.withColumn("scope", scope).drop("g")
-    day = trades.where(F.col("ts") >= now_s - 86_400).agg(*trade_stats())
+    recent = F.col("ts") >= now_s - 86_400
+    day = trades.where(recent).agg(*trade_stats())
     none = F.lit(None).cast("string")
-    return out.unionByName(day.select(none.alias("sleeve"), none.alias("symbol"), "*", F.lit("last_24h").alias("scope")))
+    out = out.unionByName(day.select(none.alias("sleeve"), none.alias("symbol"), "*", F.lit("last_24h").alias("scope")))
+    of = lambda name, sleeve, symbol: F.struct(F.lit(name).alias("m_scope"), sleeve.alias("m_sleeve"), symbol.alias("m_symbol"))
+    scopes = F.array(of("all", none, none), of("sleeve", F.col("sleeve"), none), of("sleeve_symbol", F.col("sleeve"), F.col("symbol")), F.when(recent, of("last_24h", none, none)))
+    each = trades.select("net_bps", F.explode(scopes).alias("s")).where("s is not null").select("net_bps", "s.*")
+    mid = exact_quantile(each, ["m_scope", "m_sleeve", "m_symbol"], "net_bps", "median_bps")
+    same = (F.col("scope") == F.col("m_scope")) & F.col("sleeve").eqNullSafe(F.col("m_sleeve")) & F.col("symbol").eqNullSafe(F.col("m_symbol"))
+    return out.join(mid, same, "left").drop("m_scope", "m_sleeve", "m_symbol")
 
 
 def fill_detail(trades: DataFrame) -> DataFrame:
@@ -74,8 +77,8 @@ def study_stats(df: DataFrame, keys: Sequence[str], value: str = "net_bps", tie:
     """n, win share, mean, median, mean without the best two, their share, and the sum."""
     base = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg((F.col(value) > 0).cast("double")).alias("win"), F.avg(value).alias("mean"),
-        median(value).alias("median"), F.sum(value).alias("total"))
-    out = base.join(best_two(df, keys, value, tie), list(keys))
+        F.sum(value).alias("total"))
+    out = base.join(best_two(df, keys, value, tie), list(keys)).join(exact_quantile(df, keys, value, "median"), list(keys), "left")
     return (out.withColumn("ex_best2", F.when(F.col("n") > 2, (F.col("total") - F.col("top2")) / (F.col("n") - 2)))
             .withColumn("top2_share", F.when((F.col("total") > 0) & (F.col("n") >= 2), F.col("top2") / F.col("total")))
             .drop("top2"))

@@ -3,12 +3,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeworks import schemas
 from tapeworks.functions.core import epoch_us, rounded
 from tapeworks.plans.feeds import PLAIN, feed_lines
 from tapeworks.plans.inputs import NOW, Inputs
 from tapeworks.plans.market_data import new_folder
 from tapeworks.plans.registry import query
 from tapeworks.session import pin
+from tapeworks.sources.snapshots import SnapshotStore
+from tapeworks.streaming import held as H
 from tapeworks.streaming import ingest as I
 from tapeworks.streaming import stateful as Z
 
@@ -30,21 +33,31 @@ def stream_of(x: Inputs, df, order: str, name: str, parts: int = 3):
 
 
 def message_files(x: Inputs) -> str:
-    """Feed messages as text files in arrival order; every seventh trade is sent twice."""
+    """Feed messages as text files in arrival order: every seventh trade is sent twice, and every eleventh comes after all others, weeks late."""
     path = new_folder(x, "messages")
     lines = feed_lines(x).withColumn("no", F.coalesce(F.get_json_object("value", "$.data[0].trade_id").cast("bigint"), F.lit(0)))
-    twice = lines.unionByName(lines.where("no % 7 = 3"))
-    twice.select("value", F.get_json_object("value", "$.data[0].timestamp").alias("o")).repartitionByRange(2, "o").select("value").write.text(path)
+    lines = lines.withColumn("o", F.concat(F.when(F.col("no") % 11 == 5, "late ").otherwise("in time "), F.get_json_object("value", "$.data[0].timestamp")))
+    twice = lines.unionByName(lines.where("no % 7 = 3").withColumn("o", F.concat(F.lit("replay "), "o")))
+    write_lines(twice, path)
     return path
 
 
+def write_lines(lines, path: str) -> None:
+    """One file per kind of arrival, the oldest first: in time, then late, then the replays."""
+    for kind in ("in time", "late", "replay"):
+        lines.where(F.col("o").startswith(kind)).coalesce(1).sortWithinPartitions("o").select("value").write.mode("append").text(path)
+
+
+def tick_store(x: Inputs, name: str, schema: str = schemas.TICK) -> SnapshotStore:
+    return SnapshotStore(x.spark, new_folder(x, name), schema, ["trade_id"])
+
+
 @query("t1_ingest", "SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows, sum(trade_id) AS ids, round(sum(price), 4) AS price_sum FROM ticks GROUP BY 1, 2", "ticks")
 def t1(x: Inputs):
-    """Messages to trades, replays dropped, appended by symbol and day."""
-    trades = I.drop_replays(I.trade_stream(I.message_stream(x.spark, message_files(x)), PLAIN), "40 days")
-    root = new_folder(x, "ingested")
-    I.ingest(trades, root, new_folder(x, "cp"))
-    return I.read_ingested(x.spark, root).groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("rows"), F.sum("trade_id").alias("ids"), F.round(F.sum("price"), 4).alias("price_sum"))
+    """Messages to trades, merged into the store by symbol and day; late trades reach their day, replays do not."""
+    store = tick_store(x, "ingested")
+    I.ingest(I.trade_stream(I.message_stream(x.spark, message_files(x)), PLAIN), store, new_folder(x, "cp"))
+    return store.read().groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("rows"), F.sum("trade_id").alias("ids"), F.round(F.sum("price"), 4).alias("price_sum"))
 
 
 def tick_rows(x: Inputs):
@@ -53,11 +66,12 @@ def tick_rows(x: Inputs):
 
 @query("t2_drop_replays", "SELECT symbol, trade_id, us FROM ticks", "ticks")
 def t2(x: Inputs):
-    """Every third trade arrives a second time."""
-    t = tick_rows(x).select("symbol", "trade_id", "us", "at")
-    twice = t.withColumn("seq", F.col("us")).unionByName(t.where("trade_id % 3 = 0").withColumn("seq", F.col("us") + 1))
-    s = I.drop_replays(stream_of(x, twice, "seq", "replays"), "2 hours")
-    return I.run_to_table(s.select("symbol", "trade_id", "us"), new_folder(x, "out"), new_folder(x, "cp"))
+    """Every third trade arrives a second time, up to weeks later; every arrival counts once."""
+    t = tick_rows(x).select("symbol", "trade_id", "us")
+    twice = t.withColumn("seq", F.col("us")).unionByName(t.where("trade_id % 3 = 0").withColumn("seq", F.col("us") + F.col("trade_id") % 20 * 86_400_000_000))
+    store = tick_store(x, "once", "symbol string, trade_id bigint, ts timestamp_ntz")
+    I.ingest(stream_of(x, twice, "seq", "replays").drop("seq"), store, new_folder(x, "cp"))
+    return store.arrivals().select("symbol", "trade_id", epoch_us("ts").alias("us"))
 
 
 @query("t3_gaps", """SELECT symbol, lo, hi, 'open' AS status FROM gaps UNION ALL SELECT g.symbol, g.lo, g.hi, 'filled' FROM gaps g WHERE lo % 2 = 0 AND hi = lo""", "gaps")
@@ -88,19 +102,26 @@ def positions(x: Inputs):
                     (px * 0.2).alias("atr"), F.lit(1.5).alias("activate_atr"), F.lit(1.0).alias("trail_atr"))
 
 
+def feed(x: Inputs, name: str, **kinds):
+    """Rows of several kinds as one stream in time order; columns that a kind lacks are NULL."""
+    rows = None
+    for kind, df in kinds.items():
+        df = df.withColumn("kind", F.lit(kind))
+        rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
+    return stream_of(x, rows, "us", name)
+
+
 @query("t5_exit_alerts", """WITH p AS (SELECT symbol || '|' || trade_id AS position_id, symbol, us AS opened, price AS entry FROM ticks WHERE trade_id % 200 = 1),
     j AS (SELECT p.position_id, p.entry, t.us, t.trade_id, t.price, greatest(p.entry, max(t.price) OVER (PARTITION BY p.position_id ORDER BY t.us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS peak
-      FROM p JOIN ticks t ON t.symbol = p.symbol AND t.us > p.opened AND t.us <= p.opened + 86400000000),
+      FROM p JOIN ticks t ON t.symbol = p.symbol AND t.us > p.opened),
     r AS (SELECT *, CASE WHEN price <= entry * 0.6 THEN 'stop' WHEN price >= entry * 2.5 THEN 'target' WHEN peak - entry + 1e-12 >= 1.5 * (entry * 0.2) AND price <= peak - entry * 0.2 THEN 'trail' END AS reason FROM j)
     SELECT position_id, reason, us, price FROM (SELECT *, row_number() OVER (PARTITION BY position_id ORDER BY us) AS rk FROM r WHERE reason IS NOT NULL) WHERE rk = 1""", "ticks")
 def t5(x: Inputs):
-    """Prints against open positions (a static table), one alert each, within a day of opening."""
-    Z.use_rocksdb(x.spark)
-    prints = stream_of(x, tick_rows(x).select("symbol", "trade_id", "us", "price"), "us", "prints")
-    near = pin(positions(x).withColumn("hour", F.explode(F.sequence(F.expr("opened_us div 3600000000"), F.expr("(opened_us + 86400000000) div 3600000000")))))
-    j = prints.withColumn("hour", F.expr("us div 3600000000")).join(near, ["symbol", "hour"]).where("us > opened_us and us <= opened_us + 86400000000")
-    s = Z.apply(j, ["position_id"], Z.ExitAlert())
-    return I.run_to_table(s, new_folder(x, "out"), new_folder(x, "cp"))
+    """Opens and prints as one feed; every position is followed to its exit."""
+    opens = positions(x).withColumnRenamed("opened_us", "us")
+    prints = tick_rows(x).select("symbol", "trade_id", "us", "price")
+    tables, out, step = H.exit_alerts()
+    return H.TableStream(x.spark, new_folder(x, "held"), tables, out).run(feed(x, "opens-prints", open=opens, print=prints), new_folder(x, "cp"), step)
 
 
 @query("t6_bench_stream")
@@ -133,32 +154,30 @@ def t8(x: Inputs):
     return out.where("status = 'live'").groupBy("symbol").agg(F.max("last_us").alias("last_us"))
 
 
-@query("t9_funding_accrual", """WITH p AS (SELECT symbol || '|' || trade_id AS position_id, symbol, us AS opened FROM ticks WHERE trade_id % 200 = 1),
-    j AS (SELECT p.position_id, p.opened, q.us, (q.event_id % 21 - 10) * 1e-5 AS rate, (q.us - p.opened) // 3600000000 AS h FROM p JOIN quotes q ON q.symbol = p.symbol AND q.us > p.opened AND q.us <= p.opened + 86400000000)
+@query("t9_funding_accrual", """WITH p AS (SELECT symbol || '|' || trade_id AS position_id, symbol, us AS opened, CASE WHEN trade_id % 400 = 1 THEN us + 432000000000 END AS closed FROM ticks WHERE trade_id % 200 = 1),
+    j AS (SELECT p.position_id, p.opened, q.us, (q.event_id % 21 - 10) * 1e-5 AS rate, (q.us - p.opened) // 3600000000 AS h FROM p JOIN quotes q ON q.symbol = p.symbol AND q.us > p.opened AND (closed IS NULL OR q.us <= closed))
     SELECT position_id, us, h - prev AS hours, round(rate * 100 * (h - prev), 8) AS cash FROM (SELECT *, coalesce(lag(h) OVER (PARTITION BY position_id ORDER BY us), 0) AS prev FROM j) WHERE h > prev""", "ticks quotes")
 def t9(x: Inputs):
-    """Short positions of 100 dollars, funding in whole hours for a day."""
-    Z.use_rocksdb(x.spark)
-    q = x.quotes().select("symbol", epoch_us("ts").alias("us"), ((F.col("event_id") % 21 - 10) * 1e-5).alias("rate"))
-    near = pin(positions(x).select("position_id", "symbol", "opened_us", F.lit("short").alias("side"), F.lit(100.0).alias("notional"))
-               .withColumn("hour", F.explode(F.sequence(F.expr("opened_us div 3600000000"), F.expr("(opened_us + 86400000000) div 3600000000")))))
-    j = stream_of(x, q, "us", "rates").withColumn("hour", F.expr("us div 3600000000")).join(near, ["symbol", "hour"]).where("us > opened_us and us <= opened_us + 86400000000")
-    out = I.run_to_table(Z.apply(j, ["position_id"], Z.FundingAccrual()), new_folder(x, "out"), new_folder(x, "cp"))
-    return out.select("position_id", "us", "hours", F.round("cash", 8).alias("cash"))
-
-
-@query("t10_limit_orders", """WITH o AS (SELECT symbol || '|' || trade_id AS order_id, symbol, us AS placed, price * 0.9 AS lim FROM ticks WHERE trade_id % 25 = 1 AND us < (SELECT max(us) FROM ticks) - 10800000000)
-    SELECT o.order_id, CASE WHEN min(t.us) IS NULL THEN 'expired' ELSE 'filled' END AS status, min(t.us) AS filled_us FROM o LEFT JOIN ticks t ON t.symbol = o.symbol AND t.us >= o.placed AND t.us < o.placed + 2700000000 AND t.price <= o.lim GROUP BY 1""", "ticks")
+    """Short positions of 100 dollars, funding in whole hours; every other one is closed after five days, the rest stay open."""
+    rates = x.quotes().select("symbol", epoch_us("ts").alias("us"), ((F.col("event_id") % 21 - 10) * 1e-5).alias("rate"))
+    opens = positions(x).select("position_id", "symbol", F.col("opened_us").alias("us"), F.lit("short").alias("side"), F.lit(100.0).alias("notional"))
+    closes = opens.where("cast(split(position_id, '[|]')[1] as bigint) % 400 = 1").select("position_id", "symbol", (F.col("us") + 5 * 24 * H.HOUR_US).alias("us"))
+    tables, out, step = H.funding_accrual()
+    paid = H.TableStream(x.spark, new_folder(x, "funded"), tables, out).run(feed(x, "opens-rates", open=opens, close=closes, rate=rates), new_folder(x, "cp"), step)
+    return paid.select("position_id", "us", "hours", F.round("cash", 8).alias("cash"))
+
+
+@query("t10_limit_orders", """WITH o AS (SELECT symbol || '|' || trade_id AS order_id, symbol, us AS placed, price * 0.9 AS lim FROM ticks WHERE trade_id % 25 = 1),
+    m AS (SELECT o.order_id, o.placed, min(t.us) AS filled_us FROM o LEFT JOIN ticks t ON t.symbol = o.symbol AND t.us >= o.placed AND t.us < o.placed + 14400000000 AND t.price <= o.lim GROUP BY 1, 2)
+    SELECT order_id, CASE WHEN filled_us IS NOT NULL THEN 'filled' WHEN placed + 14400000000 <= (SELECT max(us) FROM ticks) THEN 'expired' ELSE 'open' END AS status, filled_us FROM m""", "ticks")
 def t10(x: Inputs):
-    """Resting buys ten percent under a print, good for 45 minutes; orders of the last three hours are still undecided."""
+    """Resting buys ten percent under a print, good for four hours; what is undecided in the end is open."""
     t = tick_rows(x)
-    o = t.where("trade_id % 25 = 1").select(F.concat_ws("|", "symbol", "trade_id").alias("order_id"), "symbol", (F.col("price") * 0.9).alias("limit_px"), F.col("at").alias("placed_at"),
-                                            (F.col("at") + F.expr("INTERVAL 45 MINUTES")).alias("expires_at"))
-    m = I.limit_fills(stream_of(x, o, "placed_at", "orders"), stream_of(x, t.select("symbol", "at", "price"), "at", "prints"))
-    out = I.fill_outcomes(I.run_to_table(m, new_folder(x, "out"), new_folder(x, "cp")))
-    old = o.select("order_id", "placed_at", F.lit(1).alias("_a")).join(t.agg(F.max("at").alias("end"), F.lit(1).alias("_a")), "_a")
-    done = old.where(F.col("placed_at") < F.col("end") - F.expr("INTERVAL 3 HOURS")).select("order_id")
-    return out.join(done, "order_id", "left_semi").select("order_id", "status", F.unix_micros("filled_at").alias("filled_us"))
+    orders = t.where("trade_id % 25 = 1").select(F.concat_ws("|", "symbol", "trade_id").alias("order_id"), "symbol", (F.col("price") * 0.9).alias("limit_px"), "us", (F.col("us") + 4 * H.HOUR_US).alias("expires_us"))
+    tables, out, step = H.limit_orders(late_us=2 * H.HOUR_US)
+    stream = H.TableStream(x.spark, new_folder(x, "resting"), tables, out)
+    done = stream.run(feed(x, "orders-prints", order=orders, print=t.select("symbol", "us", "price")), new_folder(x, "cp"), step)
+    return done.unionByName(H.still_open(stream)).select("order_id", "status", "filled_us")
 
 
 @query("t11_late_bars", "SELECT symbol, t, round(open, 6) AS open, round(close, 6) AS close, round(volume, 6) AS volume FROM bars_60", "bars_60")

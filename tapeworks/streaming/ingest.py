@@ -9,7 +9,7 @@ from tapeworks.operators import bars as B
 from tapeworks.operators import coverage as C
 from tapeworks.session import pin
 from tapeworks.sources import payloads as P
-from tapeworks.sources import store as S
+from tapeworks.sources.snapshots import SnapshotStore
 
 
 def to_timestamp(us: str) -> Column:
@@ -31,27 +31,23 @@ def quote_stream(messages: DataFrame, aliases: dict[str, str] | None = None) ->
     return q.withColumn("us", F.round(F.col("ts") * 1e6).cast("bigint")).withColumn("at", to_timestamp("us"))
 
 
-def drop_replays(trades: DataFrame, late: str = "2 hours") -> DataFrame:
-    """One row per trade id; a replay inside the watermark is dropped."""
-    return trades.withWatermark("at", late).dropDuplicatesWithinWatermark(["symbol", "trade_id"])
-
-
 def run(query) -> None:
     query.awaitTermination()
 
 
-def ingest(trades: DataFrame, root: str, checkpoint: str) -> None:
-    """Append each batch to the tick store, by symbol and day.
+def stored(trades: DataFrame) -> DataFrame:
+    """Trades as the tick store holds them, with their UTC day."""
+    rows = trades.withColumn("ts", F.timestamp_add("MICROSECOND", F.col("us"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))).drop("us", "at")
+    return rows.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+
+
+def ingest(trades: DataFrame, store: SnapshotStore, checkpoint: str) -> None:
+    """Merges each batch into the tick store: a stored id is a replay however late it comes, and a late trade still gets in.
 
-    A batch that is retried after a failure writes the same folder again, so
-    every trade is stored once.
+    A batch is one snapshot: when it fails half-way the one before stays in place, and the
+    retry writes the same folders.
     """
-    def store(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("ts", F.timestamp_add("MICROSECOND", F.col("us"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))).drop("us", "at")
-        daily = rows.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-        (daily.repartitionByRange("symbol", "day", "trade_id").sortWithinPartitions("symbol", "day", "trade_id")
-         .write.mode("overwrite").partitionBy("symbol", "day").parquet(f"{root}/batch={batch_id}"))
-    run(trades.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    run(trades.writeStream.foreachBatch(lambda batch, n: store.merge(stored(batch), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def read_ingested(spark: SparkSession, root: str) -> DataFrame:
@@ -93,18 +89,3 @@ def rebuild_covered_bars(trades: DataFrame, store: str, out: str, checkpoint: st
         fresh = bars.withColumn("d", day).join(around(1), ["symbol", "d"], "left_semi").withColumn("day", F.col("d").cast("string")).drop("d")
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "day").parquet(out)
     run(trades.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-
-
-def limit_fills(orders: DataFrame, trades: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Resting limits joined with prints between placement and expiry at or below the limit; left outer, so an order without one expires."""
-    o = orders.withWatermark("placed_at", late).alias("o")
-    t = trades.select(F.col("symbol").alias("t_symbol"), F.col("at").alias("t_at"), F.col("price").alias("t_price")).withWatermark("t_at", late).alias("t")
-    cond = ((F.col("symbol") == F.col("t_symbol")) & (F.col("t_at") >= F.col("placed_at")) & (F.col("t_at") < F.col("expires_at"))
-            & (F.col("t_at") <= F.col("placed_at") + F.expr("INTERVAL 1 HOUR")) & (F.col("t_price") <= F.col("limit_px")))
-    return o.join(t, cond, "leftOuter").select("order_id", "symbol", "limit_px", "placed_at", "t_at", "t_price")
-
-
-def fill_outcomes(matches: DataFrame) -> DataFrame:
-    """Per order: filled at its limit at the first touching print, else expired."""
-    return matches.groupBy("order_id", "symbol", "limit_px").agg(F.min("t_at").alias("filled_at")).withColumn(
-        "status", F.when(F.col("filled_at").isNotNull(), "filled").otherwise("expired"))

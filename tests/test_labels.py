@@ -87,13 +87,6 @@ def test_trades_match_the_walk(frame):
     assert total > 60 and {"stop", "tp", "reverted", "trail"} <= set(got.reason)
 
 
-def test_small_blocks_give_the_same_first_touch(frame, monkeypatch):
-    base = {tuple(r) for r in L.label(L.candidates(frame, SPECS[:3]), frame).select("symbol", "k", "s", "exit_i", "reason").collect()}
-    monkeypatch.setattr(L, "BLOCK_BARS", 5)
-    small = {tuple(r) for r in L.label(L.candidates(frame, SPECS[:3]), frame).select("symbol", "k", "s", "exit_i", "reason").collect()}
-    assert base == small
-
-
 def test_daily_filter_gates_entries_only(frame):
     spec = G.Spec("trendhold", {"ema_slow": 100, "warm": 100, "d1": True}, "t")
     unknown = frame.withColumn("d1_riskon", F.lit(None).cast("boolean"))
