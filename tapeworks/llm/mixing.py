@@ -51,8 +51,13 @@ def tempered(cells: DataFrame, axis: str, power: float) -> DataFrame:
     return own.select("value", (F.pow(F.col("n").cast("double"), power) / total).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 24, tolerance: float = 1e-9) -> DataFrame:
-    """Adds ``weight`` (sums to 1) that meets the targets of every axis, from ``tokens`` of the cells."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-9) -> DataFrame:
+    """Adds ``weight`` (sums to 1), scaled to the targets of every axis from ``tokens`` of the cells, and ``deviation``.
+
+    Sweeps go on until no axis misses a target by ``tolerance``, or until the largest miss
+    no longer falls: targets that contradict each other cannot all be met. ``deviation`` is
+    that largest miss, the same in every row.
+    """
     out = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
     for axis in AXES:
         goal = targets[axis].groupBy(F.col("value").alias(axis)).agg(F.sum("share").alias(f"goal_{axis}"))
@@ -61,22 +66,23 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 24, tole
         out = out.withColumn(f"goal_{axis}", F.coalesce(F.col(f"goal_{axis}"), own))
     ends = {a: out.groupBy(a).agg(F.first(f"goal_{a}").alias("g")).agg(F.sum("g")).scalar() for a in AXES}
     out = settle(out.withColumns({f"goal_{a}": F.col(f"goal_{a}") / ends[a] for a in AXES}))
-    for _ in range(0, sweeps, 4):
+    worst, falls = float("inf"), True
+    while falls:
         for _ in range(4):
             for a in AXES:
                 out = out.withColumn("weight", F.col("weight") * F.col(f"goal_{a}") / F.sum("weight").over(Window.partitionBy(a)))
         out = settle(out)
         off = [out.groupBy(a).agg(F.abs(F.sum("weight") - F.first(f"goal_{a}")).alias("d")).agg(F.max("d").alias("d")) for a in AXES]
-        worst = reduce(DataFrame.unionAll, off).agg(F.max("d")).first()[0]
-        if worst is None or worst < tolerance:
-            break
-    return out
+        now = reduce(DataFrame.unionAll, off).agg(F.max("d")).first()[0]
+        now = 0.0 if now is None else now
+        falls, worst = tolerance < now < 0.99 * worst, now
+    return out.withColumn("deviation", F.lit(float(worst)))
 
 
 def mix_to_targets(docs: DataFrame, targets=None, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
                    topic: Column | None = None, share: float = 0.5, power: float = 0.5, seed: str = "mix", keep: tuple[str, ...] = (),
                    max_broadcast: int = 100_000) -> DataFrame:
-    """One row per document: cell, ``weight``, ``expected`` copies, ``copies`` drawn and ``kept``.
+    """One row per document: cell, ``weight``, ``expected`` copies, ``copies`` drawn, ``kept``, and how far the weights miss the targets (``deviation``).
 
     ``targets``: function from the cell table to {axis: DataFrame(value, share)}; by default every axis is tempered by
     ``power``. ``share``: wanted tokens as a part of all tokens. ``keep``: columns of ``docs`` to carry along.
@@ -87,7 +93,7 @@ def mix_to_targets(docs: DataFrame, targets=None, id: str = "doc_id", text: str
                       n_words(txt).alias("n_words"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
     cells = settle(own.groupBy(*AXES).agg(F.sum("n_words").alias("tokens"), F.count(F.lit(1)).alias("n_docs")))
     goals = targets(cells) if targets else {a: tempered(cells, a, power) for a in AXES}
-    raked = rake(cells, goals).select(*AXES, "weight", "tokens")
+    raked = rake(cells, goals).select(*AXES, "weight", "tokens", "deviation")
     size = raked.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")).first()
     total = float(size["tokens"] or 0)
     raked = F.broadcast(raked) if size["n"] <= max_broadcast else raked
@@ -98,4 +104,4 @@ def mix_to_targets(docs: DataFrame, targets=None, id: str = "doc_id", text: str
     whole = F.floor("expected")
     out = out.withColumn("copies", (whole + F.when(draw < F.col("expected") - whole, 1).otherwise(0)).cast("long"))
     return out.select("doc_id", *AXES, "n_words", F.coalesce("weight", F.lit(0.0)).alias("cell_weight"), "expected", "copies",
-                      (F.col("copies") > 0).alias("kept"), *(F.col(f"kept_{c}") for c in keep))
+                      (F.col("copies") > 0).alias("kept"), F.coalesce("deviation", F.lit(0.0)).alias("deviation"), *(F.col(f"kept_{c}") for c in keep))

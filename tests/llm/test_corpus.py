@@ -227,14 +227,36 @@ def test_chat_round_trip(spark):
     assert {r.conv_id: (r.layout, r.turns) for r in chat_schema.canonical_turns(odd).collect()} == {1: (None, None), 2: (None, None), 3: (None, None), 4: ("messages", [])}
 
 
-def test_mixing_meets_targets(spark, sf):
+def misses(out, goals):
+    rows = [out.groupBy(a).agg(F.sum("weight").alias("w")).join(goals[a].withColumnRenamed("value", a), a).collect() for a in mixing.AXES]
+    return max(abs(r.w - r.share) for part in rows for r in part)
+
+
+def test_mixing_meets_targets(spark):
+    """Every combination occurs, so the targets can all be met."""
+    cells = spark.createDataFrame([(f"s{i % 3}", f"l{i // 3 % 2}", f"t{i // 6}", 10 + i * i) for i in range(24)], "source string, lang string, topic string, tokens long")
+    goals = {a: mixing.tempered(cells, a, 0.3) for a in mixing.AXES}
+    out = mixing.rake(cells, goals)
+    assert misses(out, goals) < 1e-8 and out.first().deviation < 1e-8
+
+
+def test_mixing_reports_targets_that_contradict_each_other(spark):
+    """The topic fixes the language, and the language's share is not the sum of its topics' shares."""
     cells = spark.createDataFrame([(f"s{i % 3}", f"l{i % 2}", f"t{i % 4}", 10 + i) for i in range(24)], "source string, lang string, topic string, tokens long")
     cells = cells.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
     goals = {a: mixing.tempered(cells, a, 0.3) for a in mixing.AXES}
     out = mixing.rake(cells, goals)
-    for a in mixing.AXES:
-        off = out.groupBy(a).agg(F.sum("weight").alias("w")).join(goals[a].withColumnRenamed("value", a), a)
-        assert all(abs(r.w - r.share) < 1e-6 for r in off.collect())
+    said = {r.deviation for r in out.collect()}
+    assert len(said) == 1 and 1e-6 < said.pop() == pytest.approx(misses(out, goals), rel=1e-6)
+
+
+def test_mixing_draw_has_the_expected_size(spark):
+    docs = spark.createDataFrame([(i, "word " * (5 + i % 40), f"l{i % 2}", f"s{i % 7}") for i in range(4000)], DDL)
+    rows = mixing.mix_to_targets(docs).collect()
+    assert all(r.copies in (math.floor(r.expected), math.floor(r.expected) + 1) for r in rows)
+    spread = sum((r.expected % 1) * (1 - r.expected % 1) for r in rows) ** 0.5
+    assert abs(sum(r.copies for r in rows) - sum(r.expected for r in rows)) < 4 * spread
+    assert sum(r.expected * r.n_words for r in rows) == pytest.approx(0.5 * sum(r.n_words for r in rows))
 
 
 def test_templates(spark, hard, bench):
