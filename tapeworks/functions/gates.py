@@ -5,6 +5,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeworks.functions.core import col, known
 from tapeworks.functions.costs import spread_bps
@@ -38,9 +39,23 @@ def gate_name(reason: str | Column) -> Column:
     return out.otherwise("other")
 
 
-def redact(payload: str | Column) -> Column:
-    """Secret-looking keys of a string map, blanked."""
-    return F.transform_values(col(payload), lambda k, v: F.when(F.lower(k).isin(*SECRET_KEYS), "[REDACTED]").otherwise(v))
+def redact(payload: str | Column, kind: T.DataType | None = None) -> Column:
+    """Secret-looking keys and fields blanked, also inside records, lists and maps; ``kind`` is the payload's type, a string map by default.
+
+    A secret field becomes text, whatever it held; a secret key of a map whose values are
+    not text becomes NULL.
+    """
+    kind = kind or T.MapType(T.StringType(), T.StringType())
+    c = col(payload)
+    if isinstance(kind, T.StructType):
+        fields = [(F.lit("[REDACTED]") if f.name.lower() in SECRET_KEYS else redact(c[f.name], f.dataType)).alias(f.name) for f in kind]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda v: redact(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        blank = F.lit("[REDACTED]" if isinstance(kind.valueType, T.StringType) else None)
+        return F.transform_values(c, lambda k, v: F.when(F.lower(k.cast("string")).isin(*SECRET_KEYS), blank).otherwise(redact(v, kind.valueType)))
+    return c
 
 
 def market_quality(bid: str, ask: str, dollar_volume: str, max_spread_bps: float, min_volume: float) -> Column:

@@ -3,16 +3,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.core import known, ratio
 from tapeworks.operators.asof import asof_join
-from tapeworks.operators.scan import block_no, ordered_fold, range_blocks, running, split_blocks
+from tapeworks.operators.scan import block_no, compose_scan, range_blocks, running, split_blocks
 from tapeworks.session import pin
 
 EXACT = "decimal(28,8)"
+MAP_ROWS = 1024
 
 
 # ---- excursions --------------------------------------------------------------------------
@@ -91,41 +91,24 @@ def fifo_pnl(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
 def average_cost(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Average-cost lots: fee-inclusive basis, fee-free entry price and realised profit per sell.
 
-    Quantities come from the reflected walk.  Basis and entry price are then
-    affine in their previous value, so a block reduces to two pairs of numbers.
-    ``exceeds`` marks sells larger than the lot.
+    Quantities come from the reflected walk.  Basis and entry price are then affine in
+    their previous value, and so is the basis before the fill: three affine maps of the
+    lot, composed in a scan.  ``exceeds`` marks sells larger than the lot.
     """
-    inv = split_blocks(inventory(fills, keys, order), keys, "blk", order)
-    cols = ["basis", "entry_price", "pnl"]
-
-    def steps(pdf: pd.DataFrame):
-        for side, vol, cost, fee, was, now in zip(pdf["side"], pdf["vol"], pdf["cost"], pdf["fee"], pdf["held_before"], pdf["held"]):
-            if side == "buy":
-                yield 1.0, cost + fee, was / now, cost / now
-            else:
-                yield (now / was if was > 0 else 0.0), 0.0, 1.0, 0.0
-
-    def summarize(pdf: pd.DataFrame) -> dict:
-        a1, b1, a2, b2 = 1.0, 0.0, 1.0, 0.0
-        for r, c, g, h in steps(pdf):
-            a1, b1, a2, b2 = a1 * r, b1 * r + c, a2 * g, b2 * g + h
-        return {"a1": a1, "b1": b1, "a2": a2, "b2": b2}
-
-    def step(state: dict, row: dict) -> dict:
-        return {"s_basis": row["a1"] * state["s_basis"] + row["b1"], "s_entry": row["a2"] * state["s_entry"] + row["b2"]}
-
-    def finish(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
-        basis, entry, out = float(state["s_basis"]), float(state["s_entry"]), []
-        sells = zip(pdf["side"], pdf["closed"], pdf["price"], pdf["fee"])
-        for (r, c, g, h), (side, closed, price, fee) in zip(steps(pdf), sells):
-            before, basis, entry = basis, basis * r + c, entry * g + h
-            out.append((basis, entry, closed * price - fee - (before - basis) if side == "sell" and closed > 0 else 0.0))
-        return pdf.assign(**dict(zip(cols, map(list, zip(*out)))))
-
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inv.schema)
-    out = ordered_fold(inv, keys, "blk", order, summarize=summarize, summary_schema="a1 double, b1 double, a2 double, b2 double",
-                       step=step, start={"s_basis": 0.0, "s_entry": 0.0}, state_schema="s_basis double, s_entry double",
-                       apply=finish, out_schema=f"{ddl}, basis double, entry_price double, pnl double")
+    inv = split_blocks(inventory(fills, keys, order), keys, "blk", order, MAP_ROWS)
+    buy, was, now, zero, one = F.col("side") == "buy", F.col("held_before"), F.col("held"), F.lit(0.0), F.lit(1.0)
+    affine = {"basis": (F.when(buy, one).when(was > 0, now / was).otherwise(zero), F.when(buy, F.col("cost") + F.col("fee")).otherwise(zero)),
+              "entry": (F.when(buy, was / now).otherwise(one), F.when(buy, F.col("cost") / now).otherwise(zero)), "before": (one, zero)}
+    pairs = [(f"{n}_{part}", c) for n, ab in affine.items() for part, c in zip("ab", ab)]
+
+    def compose(p: Column, q: Column) -> Column:
+        over = {"basis": "basis", "entry": "entry", "before": "basis"}  # what stood before a fill is the basis up to the one before
+        return F.struct(*[x for n, src in over.items() for x in ((p[f"{src}_a"] * q[f"{n}_a"]).alias(f"{n}_a"), (q[f"{n}_a"] * p[f"{src}_b"] + q[f"{n}_b"]).alias(f"{n}_b"))])
+
+    out = compose_scan(inv, keys, "blk", order, F.struct(*[c.cast("double").alias(n) for n, c in pairs]), compose, "_lot", MAP_ROWS)
+    out = out.withColumns({"basis": F.col("_lot.basis_b"), "entry_price": F.col("_lot.entry_b")})  # a lot starts at zero
+    gain = F.col("closed") * F.col("price") - F.col("fee") - (F.col("_lot.before_b") - F.col("basis"))
+    out = out.withColumn("pnl", F.when((F.col("side") == "sell") & (F.col("closed") > 0), gain).otherwise(0.0)).drop("_lot")
     return out.withColumn("exceeds", (F.col("side") == "sell") & (F.col("vol") > F.col("held_before")))
 
 
@@ -133,43 +116,19 @@ def risk_scale(trades: DataFrame, keys: Sequence[str], order: Sequence[str], sta
                low: float = 0.5, high: float = 2.0) -> DataFrame:
     """Risk scale that moves up on a win and down on a loss, clamped at every step, with streaks.
 
-    A run of clamped steps is itself one clamped step, so a block reduces to
-    three numbers plus its trailing streak.
+    A run of clamped steps is itself one clamped step: a shift, then a floor and a ceiling.
+    Streaks are differences of counts since the last trade of the other kind.
     """
-    def moves(pdf: pd.DataFrame):
-        for p in pdf["pnl"]:
-            yield 1 if p > 0 else (-1 if p < 0 else 0)
-
-    def summarize(pdf: pd.DataFrame) -> dict:
-        d, lo, hi, wins, losses, broke_w, broke_l = 0.0, float("-inf"), float("inf"), 0, 0, False, False
-        for m in moves(pdf):
-            if m > 0:
-                d, lo, hi = d + step, min(lo + step, high), min(hi + step, high)
-                wins, losses, broke_l = wins + 1, 0, True
-            elif m < 0:
-                d, lo, hi = d - step, max(lo - step, low), max(hi - step, low)
-                losses, wins, broke_w = losses + 1, 0, True
-        return {"d": d, "lo": lo, "hi": hi, "w": wins, "l": losses, "bw": broke_w, "bl": broke_l}
-
-    def carry(state: dict, row: dict) -> dict:
-        return {"scale": min(row["hi"], max(row["lo"], state["scale"] + row["d"])), "wins": int(row["w"]) + (0 if row["bw"] else state["wins"]),
-                "losses": int(row["l"]) + (0 if row["bl"] else state["losses"])}
-
-    def finish(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
-        x, w, lo, out = float(state["scale"]), int(state["wins"]), int(state["losses"]), []
-        for m in moves(pdf):
-            if m > 0:
-                x, w, lo = min(high, x + step), w + 1, 0
-            elif m < 0:
-                x, w, lo = max(low, x - step), 0, lo + 1
-            out.append((x, w, lo))
-        return pdf.assign(risk_scale=[o[0] for o in out], win_streak=[o[1] for o in out], loss_streak=[o[2] for o in out])
-
-    b = split_blocks(range_blocks(trades, keys, order), keys, "blk", order)
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in b.schema)
-    return ordered_fold(b, keys, "blk", order, summarize=summarize, summary_schema="d double, lo double, hi double, w int, l int, bw boolean, bl boolean",
-                        step=carry, start={"scale": start, "wins": 0, "losses": 0}, state_schema="scale double, wins int, losses int",
-                        apply=finish, out_schema=f"{ddl}, risk_scale double, win_streak int, loss_streak int").drop("blk")
+    b = split_blocks(range_blocks(trades, keys, order), keys, "blk", order, MAP_ROWS)
+    won, lost, inf = F.col("pnl") > 0, F.col("pnl") < 0, F.lit(float("inf"))
+    move = F.struct(F.when(won, step).when(lost, -step).otherwise(0.0).alias("d"), F.when(lost, F.lit(low)).otherwise(-inf).alias("lo"), F.when(won, F.lit(high)).otherwise(inf).alias("hi"))
+    clamp = lambda x, m: F.least(m["hi"], F.greatest(m["lo"], x + m["d"]))
+    both = lambda p, q: F.struct((p["d"] + q["d"]).alias("d"), clamp(p["lo"], q).alias("lo"), clamp(p["hi"], q).alias("hi"))
+    out = compose_scan(b, keys, "blk", order, move, both, "_move", MAP_ROWS).withColumn("risk_scale", clamp(F.lit(start), F.col("_move"))).drop("_move")
+    out = running(out, keys, "blk", order, {"_w": ("sum", F.coalesce(won, F.lit(False)).cast("int")), "_l": ("sum", F.coalesce(lost, F.lit(False)).cast("int"))})
+    out = running(out, keys, "blk", order, {"_w0": ("last", F.when(lost, F.col("_w"))), "_l0": ("last", F.when(won, F.col("_l")))})
+    streak = lambda n, n0: (F.col(n) - F.coalesce(n0, F.lit(0))).cast("int")
+    return out.withColumns({"win_streak": streak("_w", "_w0"), "loss_streak": streak("_l", "_l0")}).drop("blk", "_w", "_l", "_w0", "_l0")
 
 
 # ---- valuation ---------------------------------------------------------------------------
@@ -289,6 +248,12 @@ def regime_penalty(regime_pnl: Column, trades: Column, min_trades: int = 3) -> C
     return F.when((F.coalesce(trades, F.lit(0)) >= min_trades) & (F.coalesce(regime_pnl, F.lit(0.0)) < 0), 0.6).otherwise(1.0)
 
 
+def off_cooldown(candidates: DataFrame, exits: DataFrame, minutes: int) -> DataFrame:
+    """Candidates whose symbol was not left within the last ``minutes``: ``exits`` (symbol, sold_us) as of ``ts_us``."""
+    last = asof_join(candidates, exits, ["symbol"], "ts_us", "sold_us", ["sold_us"])
+    return last.where(F.col("sold_us").isNull() | (F.col("ts_us") - F.col("sold_us") >= minutes * 60_000_000)).drop("sold_us")
+
+
 def best_candidate(candidates: DataFrame, keys: Sequence[str], threshold: float = 25.0) -> DataFrame:
     """The candidate with the best effective score per key; the first symbol wins ties."""
     best = candidates.groupBy(*keys).agg(F.max(F.struct(F.col("effective"), (-F.col("place")).alias("neg"), F.col("symbol"))).alias("b"))

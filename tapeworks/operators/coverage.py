@@ -79,11 +79,9 @@ def day_summary(ticks: DataFrame, verified: DataFrame | None = None,
 def continuity(ticks: DataFrame, verified: DataFrame | None = None,
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Whole-store check per symbol: days, rows, id range, open and verified gaps."""
-    store = ticks.groupBy("symbol").agg(
-        F.min(day_text(epoch_us("ts"))).alias("first_day"), F.max(day_text(epoch_us("ts"))).alias("last_day"),
-        F.count(F.lit(1)).alias("rows"), F.min("trade_id").alias("first_id"), F.max("trade_id").alias("last_id"))
-    days = (ticks.groupBy("symbol", day_text(epoch_us("ts")).alias("day")).agg(F.lit(1).alias("one"))
-            .groupBy("symbol").agg(F.count(F.lit(1)).alias("days")))
+    per_day = ticks.groupBy("symbol", day_text(epoch_us("ts")).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("trade_id").alias("lo"), F.max("trade_id").alias("hi"))
+    store = per_day.groupBy("symbol").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("days"),
+                                          F.sum("n").alias("rows"), F.min("lo").alias("first_id"), F.max("hi").alias("last_id"))
     gaps = id_gaps(ticks, block_rows)
     if verified is None:
         gaps = gaps.withColumn("ok", F.lit(False))
@@ -92,7 +90,7 @@ def continuity(ticks: DataFrame, verified: DataFrame | None = None,
     found = gaps.groupBy("symbol").agg(
         F.count_if(F.col("ok").isNull() | ~F.col("ok")).alias("open_gaps"),
         F.count_if("ok").alias("verified_holes"))
-    out = store.join(days, "symbol").join(found, "symbol", "left")
+    out = store.join(found, "symbol", "left")
     return (out.withColumn("open_gaps", F.coalesce("open_gaps", F.lit(0)))
             .withColumn("verified_holes", F.coalesce("verified_holes", F.lit(0)))
             .withColumn("contiguous", F.col("open_gaps") == 0))

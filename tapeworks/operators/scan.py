@@ -15,12 +15,11 @@ Blocks come from one of two places:
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapeworks.session import pin
 
@@ -156,46 +155,29 @@ def linear_scan(df: DataFrame, keys: Sequence[str], index: str, block: str,
     return rows_df.select(*[rows_df[c] for c in df.columns], *out)
 
 
-def ordered_fold(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], *,
-                 summarize: Callable[[pd.DataFrame], dict], summary_schema: str,
-                 step: Callable[[dict, dict], dict], start: dict, state_schema: str,
-                 apply: Callable[[pd.DataFrame, dict], pd.DataFrame], out_schema: str) -> DataFrame:
-    """A sequential rule over one key, run block by block in parallel.
+def compose_scan(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], step: Column,
+                 compose: Callable[[Column, Column], Column], name: str, rows: int = 1024) -> DataFrame:
+    """Adds the composition of every row's ``step`` from the key's first row up to this one.
 
-    ``summarize`` reduces a block to a small description of what it does to any
-    incoming state, ``step`` carries the state over one such description, and
-    ``apply`` finishes the rows of a block once its incoming state is known.
-    Only block summaries of a key meet in one task, streamed in order.
+    ``step`` is a struct that stands for a map of the state; ``compose(first, then)`` is the
+    map that does both. Inside a block of at most ``rows`` rows the prefixes are doubled:
+    each turn composes a row with the one twice as far back, all over one sort. The blocks'
+    last rows are one map each and are scanned the same way, so no task sees a whole key.
     """
-    on, order, keys = _shared(keys, block), list(order), list(keys)
-    key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*on).schema)
-
-    def reduce_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = summarize(pdf.sort_values(order, kind="stable"))
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in on}, **row}])
-
-    names = [f.name for f in T._parse_datatype_string(state_schema)]
-
-    def carry(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, start
-        for pdf in parts:
-            out = []
-            for row in pdf.to_dict("records"):
-                mine = tuple(row[k] for k in keys)
-                if mine != key:
-                    key, state = mine, start
-                out.append({**{c: row[c] for c in on}, **state})
-                state = step(state, row)
-            yield pd.DataFrame(out, columns=[*on, *names])
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = {n: pdf[n].iloc[0] for n in names}
-        return apply(pdf.drop(columns=names).sort_values(order, kind="stable"), state)
-
-    summaries = df.groupBy(*on).applyInPandas(reduce_block, f"{key_ddl}, {summary_schema}")
-    lanes = summaries.repartition(*keys) if keys else summaries.coalesce(1)
-    states = lanes.sortWithinPartitions(*on).mapInPandas(carry, f"{key_ddl}, {state_schema}")
-    return df.join(states, on).groupBy(*on).applyInPandas(finish, out_schema)
+    keys, on = list(keys), _shared(keys, block)
+    w = Window.partitionBy(*on).orderBy(*order)
+    far = lambda p, q: F.when(p.isNull(), q).otherwise(compose(p, q))
+    local = df.withColumn(name, step)
+    for k in range(max(1, math.ceil(math.log2(rows)))):
+        local = local.withColumn("_back", F.lag(name, 1 << k).over(w)).withColumn(name, far(F.col("_back"), F.col(name))).drop("_back")
+    local = pin(local)
+    ends = local.groupBy(*on).agg(F.max_by(name, F.struct(*order)).alias("_end"))
+    ends = pin(ends.withColumn("_no", F.row_number().over(Window.partitionBy(*keys).orderBy(block)) - 1))
+    if not ends.agg(F.max("_no")).first()[0]:
+        return local
+    upto = compose_scan(ends.withColumn("_group", block_no("_no", rows)), keys, "_group", ["_no"], F.col("_end"), compose, "_upto", rows)
+    before = ends.select(*on, "_no").join(upto.select(*keys, (F.col("_no") + 1).alias("_no"), "_upto"), [*keys, "_no"]).drop("_no")
+    return local.join(before, on, "left").withColumn(name, far(F.col("_upto"), F.col(name))).drop("_upto")
 
 
 def greedy_chain(df: DataFrame, keys: Sequence[str], block: str, start: str, ready: str,

@@ -221,8 +221,8 @@ def signal(action, score, reason, stop=None) -> Column:
 
 
 def momentum_decision(take_profit: float = 0.04, min_edge_bps: float = 100.0, rsi_min: float = 35.0, rsi_max: float = 75.0,
-                      min_volume_ratio: float = 1.10, atr_mult: float = 1.5) -> Column:
-    """Momentum entry decision of a flat book on every bar: gates first, then a scored buy."""
+                      min_volume_ratio: float = 1.10, atr_mult: float = 1.5, held: Column | None = None) -> Column:
+    """Momentum decision on every bar: gates and a scored buy for a flat book; where ``held``, out below the slow EMA or stay."""
     c, atr = F.col("close"), F.col("atr")
     edge, in_band = fee_edge(take_profit, min_edge_bps), F.col("rsi").between(rsi_min, rsi_max)
     above, trend = known(c > F.col("ema200")), known(F.col("ema20") > F.col("ema50"))
@@ -235,7 +235,10 @@ def momentum_decision(take_profit: float = 0.04, min_edge_bps: float = 100.0, rs
     note = F.concat(F.lit("Momentum confirmed"), F.when(at_res, " + at resistance").otherwise(""),
                     F.when(busy, "").otherwise("; low volume (advisory)"),
                     F.when(F.col("adx").isNotNull(), F.concat(F.lit("; adx="), adx)).otherwise(""))
+    held = F.lit(False) if held is None else known(held)
     return (F.when(known(atr <= 0) | atr.isNull(), signal("WAIT", 0, "ATR unavailable"))
+            .when(held & known(c < F.col("ema50")), signal("SELL", 90, "Price closed below slow trend EMA"))
+            .when(held, signal("WAIT", 60, "Position remains above slow trend EMA"))
             .when(~F.col("adx_on25"), signal("WAIT", 15, F.concat(F.lit("ADX sit-out: chop (adx="), adx, F.lit(")"))))
             .when(~edge["ok"], signal("WAIT", 10, edge["reason"]))
             .when(~in_band, signal("WAIT", score, "Filters failed: momentum"))
@@ -243,12 +246,16 @@ def momentum_decision(take_profit: float = 0.04, min_edge_bps: float = 100.0, rs
             .otherwise(signal("BUY", score, note, F.greatest(c - atr * atr_mult, F.lit(0.0)))))
 
 
-def meanrev_decision(oversold: float = 38.0, rsi_exit: float = 55.0, atr_mult: float = 1.5) -> Column:
-    """Mean-reversion entry decision of a flat book on every bar."""
+def meanrev_decision(oversold: float = 38.0, rsi_exit: float = 55.0, atr_mult: float = 1.5, held: Column | None = None) -> Column:
+    """Mean-reversion decision on every bar: a buy of an oversold dip for a flat book; where ``held``, out once it has reverted."""
     c, rsi = F.col("close"), F.col("rsi")
     atr = F.greatest(F.col("atr"), c * 1e-4)
     txt = F.format_string("%.0f", F.bround(rsi, 0))
-    return (F.when((rsi <= oversold) & (c < F.col("ema50")),
+    held = F.lit(False) if held is None else known(held)
+    back = F.when(rsi >= rsi_exit, "recovered").otherwise("reclaimed EMA")
+    return (F.when(held & known((rsi >= rsi_exit) | (c >= F.col("ema50"))), signal("SELL", 80, F.concat(F.lit("Mean reversion complete (rsi="), txt, F.lit(" "), back, F.lit(")"))))
+            .when(held, signal("WAIT", 55, "Holding reversion"))
+            .when((rsi <= oversold) & (c < F.col("ema50")),
                    signal("BUY", 60, F.concat(F.lit("Oversold reversion (rsi="), txt, F.lit(", below slow EMA)")), F.greatest(c - atr * atr_mult, F.lit(0.0))))
             .otherwise(signal("WAIT", 10, F.concat(F.lit("Not oversold (rsi="), txt, F.lit(f", oversold<={oversold:.0f})")))))
 

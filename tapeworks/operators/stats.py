@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.core import ratio
+from tapeworks.operators.asof import asof_join
 from tapeworks.operators.scan import block_no, greedy_chain, ordinals, previous, range_blocks, running, with_halo
 from tapeworks.operators.select import exact_quantile
 from tapeworks.session import pin
@@ -21,6 +22,7 @@ from tapeworks.session import pin
 CONFIDENCE = 0.90
 MIN_SAMPLE, WINDOW, BENCH_HOURS = 30, 50, 72
 WEAK_BPS = 25.0
+PROBATION_SIZE = 0.5
 
 
 def count_where(cond: Column) -> Column:
@@ -229,6 +231,53 @@ def blend_prior(live: DataFrame, priors: DataFrame, keys: Sequence[str], max_wei
     return both.withColumn("blended_bps", bps).withColumn("state", learner_state(bps)).withColumn("size_mult", size_mult(bps))
 
 
+def gate_verdicts(trades: DataFrame, requests: DataFrame, keys: Sequence[str] = ("sleeve", "symbol"), priors: DataFrame | None = None,
+                  min_sample: int = MIN_SAMPLE, bench_hours: int = BENCH_HOURS, rows: int = 4096) -> DataFrame:
+    """Verdict on every request for an entry: ``allow``, ``size_mult`` and ``state`` from the symbol and its regime together.
+
+    ``requests``: keys, regime, now, id; ``priors``: keys, ``scope`` ('' or a regime), prior_n, prior_bps. Each
+    request is judged on two levels, all closed trades of the symbol and those of the
+    regime. A request with enough losing trades starts a bench; once its time is over and
+    until a trade has closed, entries are on probation at half size; then the window is
+    judged again. So a bench is free again at the later of its end and the next close, and
+    the requests that start one are a greedy chain. The regime's verdict wins where it
+    denies or sizes down further.
+    """
+    keys, level = list(keys), [*keys, "scope"]
+    scopes = F.explode(F.array(F.lit(""), F.col("regime"))).alias("scope")
+    r = pin(rolling_bounds(trades.select(*keys, scopes, "ts", "id", "net_bps"), level, ["ts", "id"]).withColumn("closed", F.col("i") + 1))
+    newest = r.groupBy(*level, "ts").agg(F.max_by(F.struct("closed", "live_n", "live_mean", "live_upper"), "i").alias("l"))
+    q = asof_join(requests.select(*keys, scopes, "now", "id"), newest, level, "now", "ts", ["l"])
+    closed = F.coalesce("l.closed", F.lit(0).cast("long"))
+    q = q.select(*level, "now", "id", closed.alias("closed"), F.coalesce("l.live_n", F.lit(0).cast("long")).alias("live_n"), "l.live_mean", "l.live_upper")
+    after = r.select(*level, F.col("i").alias("closed"), F.col("ts").alias("next_close"))
+    q = ordinals(range_blocks(q.join(after, [*level, "closed"], "left"), level, ["now", "id"]), level, "blk", ["now", "id"], "j").drop("blk")
+    span, never = bench_hours * 3600, 1 << 60
+    bad = F.coalesce((F.col("live_n") >= min_sample) & (F.col("live_upper") < 0), F.lit(False))
+    q = pin(q.withColumns({"bad": bad, "blk": block_no("j", rows), "ready": F.greatest(F.col("now") + span, F.coalesce("next_close", F.lit(never)))}))
+    starts = greedy_chain(q.where("bad").select(*level, "blk", "now", "j", "ready"), level, "blk", "now", "ready", ["j"]).where("accepted")
+    q = q.join(starts.select(*level, "j", F.lit(True).alias("starts")), [*level, "j"], "left")
+    bench = F.when(F.col("starts"), F.struct((F.col("now") + span).alias("until"), F.col("closed").alias("at")))
+    q = running(q, level, "blk", ["j"], {"bench": ("last", bench)})
+    q = q.join(priors, level, "left") if priors is not None else q.withColumns({"prior_n": F.lit(0.0), "prior_bps": F.lit(0.0)})
+    w = F.coalesce(F.least("prior_n", F.lit(2.0)), F.lit(0.0))
+    bps = F.when(w + F.col("live_n") > 0, (F.coalesce("prior_bps", F.lit(0.0)) * w + F.coalesce("live_mean", F.lit(0.0)) * F.col("live_n")) / (w + F.col("live_n")))
+    benched, waits = F.col("now") < F.col("bench.until"), F.col("closed") <= F.col("bench.at")
+    state = F.when(benched, "benched").when(waits, "probation").otherwise(learner_state(bps))
+    size = F.when(benched, 0.0).when(waits, PROBATION_SIZE).otherwise(size_mult(bps))
+    v = F.struct((~F.coalesce(benched, F.lit(False))).alias("allow"), size.alias("size_mult"), state.alias("state"))
+    both = q.groupBy(*keys, "now", "id").agg(F.max(F.when(F.col("scope") == "", v)).alias("s"), F.max(F.when(F.col("scope") != "", v)).alias("r"))
+    return both.select(*keys, "now", "id", merged_verdict(F.col("s"), F.col("r")).alias("v")).select(*keys, "now", "id", "v.*")
+
+
+def merged_verdict(symbol: Column, regime: Column) -> Column:
+    """The regime's verdict where it denies the entry or, both allowing, sizes it down further; else the symbol's."""
+    stricter = regime.isNotNull() & (~regime["allow"] | (symbol["allow"] & (regime["size_mult"] < symbol["size_mult"])))
+    allow = symbol["allow"] & regime["allow"]
+    size = F.when(allow, F.least(symbol["size_mult"], regime["size_mult"])).otherwise(0.0)
+    return F.when(stricter, F.struct(allow.alias("allow"), size.alias("size_mult"), regime["state"].alias("state"))).otherwise(symbol)
+
+
 def learning_totals(trades: DataFrame) -> DataFrame:
     """Per symbol: trades, wins, pnl, pnl per regime and the best regime (ties: latest trade)."""
     per = trades.groupBy("symbol", "regime").agg(
@@ -317,16 +366,17 @@ def market_regime(bars: DataFrame) -> DataFrame:
 
 
 def suggestions(filters: DataFrame, quality: DataFrame, regime: DataFrame, settings: dict[str, float]) -> DataFrame:
-    """Parameter changes that the failure rates, the regime and the wait share may call for.
+    """Parameter changes that the failure rates, the regime and the wait share may call for, per symbol.
 
-    One row per rule; ``fires`` says whether the evidence reaches the rule's
-    threshold.  All three inputs are one-row or five-row summaries.
+    One row per symbol and rule; ``fires`` says whether the evidence reaches the rule's
+    threshold.  Filters and quality are summaries of five rows and one; regimes have a row
+    per symbol.
     """
     rates = [F.max(F.when(F.col("filter") == f, F.col("failure_rate"))).alias("regime_fail" if f == "regime" else f)
              for f in FILTERS]
     one = filters.agg(*rates, F.lit(1).alias("_all"))
-    for other in (quality.select("n", "wait_ratio"), regime.select("regime", "confidence")):
-        one = one.join(other.withColumn("_all", F.lit(1)), "_all")
+    one = one.join(quality.select("n", "wait_ratio", F.lit(1).alias("_all")), "_all")
+    one = regime.select("symbol", "regime", "confidence", F.lit(1).alias("_all")).join(F.broadcast(one), "_all")
     s = {k: F.lit(float(v)) for k, v in settings.items()}
 
     def row(name: str, when: Column, value: Column, conf: Column) -> Column:
@@ -341,7 +391,7 @@ def suggestions(filters: DataFrame, quality: DataFrame, regime: DataFrame, setti
             F.round(s["risk_per_trade"] * 1.5, 3), F.col("confidence")),
         row("cooldown_minutes", (F.col("n") > 5) & (F.col("wait_ratio") > 0.9),
             F.greatest(s["cooldown_minutes"] - 30, F.lit(15.0)), F.col("wait_ratio")))
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    return one.select("symbol", F.explode(rows).alias("r")).select("symbol", "r.*")
 
 
 def changed_decisions(decisions: DataFrame, block: str, order: Sequence[str], keys: Sequence[str], sig: Sequence[str]) -> DataFrame:

@@ -159,16 +159,18 @@ def replay(frame: DataFrame, specs: Sequence[G.Spec], fee_rate: float = 0.004, s
     return t.withColumn("ret", move - 1 - (1 + move) * fee_rate)
 
 
-def position_share(frame: DataFrame, stop_mult: float = 1.5, slip: float = 0.001, max_position: float = 0.25) -> DataFrame:
-    """Share of equity a fixed-edge entry would take on each bar: volatility target, Kelly and risk at the stop."""
+def with_volatility(frame: DataFrame) -> DataFrame:
+    """Adds ``vol``, the realised volatility that sizes a position."""
+    return realized_vol(frame.withColumn("ret", F.coalesce(ratio("close", "prev_close") - 1, F.lit(0.0))))
+
+
+def position_share(stop_mult: Column, slip: float = 0.001, max_position: float = 0.25) -> Column:
+    """Share of equity a fixed-edge entry would take on a bar (close, atr, vol): volatility target, Kelly and risk at a stop so many ATR away."""
     from tapeworks.functions.costs import kelly, sized_notional
-    f = frame.withColumn("ret", F.coalesce(ratio("close", "prev_close") - 1, F.lit(0.0)))
-    f = realized_vol(f)
     px = F.col("close") * (1 + slip)
     stop = F.greatest(F.col("close") - F.col("atr") * stop_mult, F.lit(0.0))
     edge = kelly(F.lit(0.52), F.lit(1.2), F.lit(1.0), F.lit(0.6))
-    one = F.lit(1.0)
-    return f.withColumn("share", F.least(sized_notional(one, px, F.col("vol"), edge, F.greatest(px - stop, px * 0.005)), F.lit(max_position)))
+    return F.least(sized_notional(F.lit(1.0), px, F.col("vol"), edge, F.greatest(px - stop, px * 0.005)), F.lit(max_position))
 
 
 # ---- study decisions ---------------------------------------------------------------------
@@ -319,13 +321,15 @@ def score_signals(signals: DataFrame, frame: DataFrame, specs: Sequence[G.Spec],
 # ---- portfolio curve ---------------------------------------------------------------------
 
 def portfolio_curve(trades: DataFrame, bars: DataFrame, tf_minutes: int, notional: float, costs: Costs, equity: float = 500.0) -> DataFrame:
-    """Equity of a given trade list at every bar close: cash flows plus positions at market.
+    """Equity of a given trade list at every bar close of any symbol: cash flows plus positions at their last close.
 
     Each trade adds its quantity at entry and takes it away at exit, so the
     quantity held is a running sum per symbol, not a join of trades with bars.
+    A symbol's worth changes at its own bars only: the book is the running sum of
+    these changes over time, and a symbol without a bar keeps what it had.
     """
     from tapeworks.operators.bars import BARS_PER_BLOCK
-    from tapeworks.operators.scan import running
+    from tapeworks.operators.scan import previous, running
     fee, slip, s = costs.fee_bps / 1e4, costs.slippage_bps / 1e4, tf_minutes * 60
     qty = notional * (1 - fee) / (F.col("entry_px") * (1 + slip))
     back = qty * F.col("exit_px") * (1 - slip) * (1 - fee)
@@ -336,9 +340,13 @@ def portfolio_curve(trades: DataFrame, bars: DataFrame, tf_minutes: int, notiona
     flows = flows.groupBy("symbol", "t").agg(F.sum("dq").alias("dq"), F.sum("cash").alias("cash"), F.sum("cost").alias("cost"))
     b = bars.select("symbol", "t", "close").join(flows, ["symbol", "t"], "left").withColumn("blk", F.floor(F.col("t") / (s * BARS_PER_BLOCK)).cast("long"))
     b = running(b, ["symbol"], "blk", ["t"], {"qty": ("sum", F.coalesce("dq", zero)), "bank": ("sum", F.coalesce("cash", zero)), "open_cost": ("sum", F.coalesce("cost", zero))})
-    out = b.groupBy("t").agg((equity + F.sum(F.col("bank") + F.col("qty") * F.col("close"))).alias("equity"), (equity + F.sum(F.col("bank") + F.col("open_cost"))).alias("realized"))
-    out = running(out.withColumn("blk", F.floor(F.col("t") / (s * BARS_PER_BLOCK)).cast("long")), [], "blk", ["t"],
-                  {"peak": ("max", F.col("equity")), "rpeak": ("max", F.greatest(F.col("realized"), F.lit(equity)))})
+    b = b.withColumns({"worth": F.col("bank") + F.col("qty") * F.col("close"), "settled": F.col("bank") + F.col("open_cost")})
+    b = previous(b, ["symbol"], "blk", ["t"], {"worth": "worth0", "settled": "settled0"})
+    change = lambda c: F.sum(F.col(c) - F.coalesce(f"{c}0", zero)).alias(c)
+    out = b.groupBy("t").agg(change("worth"), change("settled")).withColumn("blk", F.floor(F.col("t") / (s * BARS_PER_BLOCK)).cast("long"))
+    out = running(out, [], "blk", ["t"], {"equity": ("sum", F.col("worth")), "realized": ("sum", F.col("settled"))}).drop("worth", "settled")
+    out = out.withColumns({c: equity + F.col(c) for c in ("equity", "realized")})
+    out = running(out, [], "blk", ["t"], {"peak": ("max", F.col("equity")), "rpeak": ("max", F.greatest(F.col("realized"), F.lit(equity)))})
     return out.drop("blk")
 
 
@@ -457,11 +465,12 @@ def rolling_optimisation(bars: DataFrame, specs: Sequence[G.Spec], params: Seque
     hold = ends.select(*SERIES, F.lit(0).cast("long").alias("fold"), (F.col("n") - hold_n).alias("lo"), F.col("n").alias("hi"))
     parts = slice_series(bars, splits, "is_start", "is_end", "is").unionByName(slice_series(bars, splits, "oos_start", "oos_end", "oos"))
     parts = L.pin(parts.unionByName(slice_series(bars, hold, "lo", "hi", "hold")))
-    sized = L.pin(position_share(featurize(parts)))
+    sized = L.pin(with_volatility(featurize(parts)))
     grid = range(len(specs))
     table = bars.sparkSession.createDataFrame([(k, s.name, *[float(s.get(p, 0.0)) for p in params]) for k, s in enumerate(specs)],
                                               "k int, strategy string, " + ", ".join(f"{p} double" for p in params))
-    m = L.pin(graded_replay(sized, [s.with_(warm=0) for s in specs], grid, lam, gamma, periods))
+    mults = F.element_at(F.array(*[F.lit(float(s.get("atr_stop", 1.5))) for s in specs]), F.col("k") + 1)
+    m = L.pin(graded_replay(sized, [s.with_(warm=0) for s in specs], grid, mults, lam, gamma, periods))
     scored = m.where("part = 'is'").join(F.broadcast(table), "k")
     chosen = L.pin(plateau_pick(scored, ["base", "fold"], params))
     agreed = consensus(chosen, ["base"], params)
@@ -469,7 +478,7 @@ def rolling_optimisation(bars: DataFrame, specs: Sequence[G.Spec], params: Seque
     oos = sized.where("part = 'oos'").join(chosen.select("base", "fold", *named), ["base", "fold"])
     hold = sized.where("part = 'hold'").join(agreed.select("base", *named), "base")
     deployed = L.pin(oos.unionByName(hold))
-    d = L.pin(graded_replay(deployed, [G.Spec("deployed", {"warm": 0})], range(1), lam, gamma, periods).drop("k"))
+    d = L.pin(graded_replay(deployed, [G.Spec("deployed", {"warm": 0})], range(1), F.col("p_atr_stop") if "atr_stop" in params else F.lit(1.5), lam, gamma, periods).drop("k"))
     folds = S.fold_summary(d.where("part = 'oos'").withColumnRenamed("trades", "n_trades"), ["base"])
     held = d.where("part = 'hold'").select("base", F.col("trades").alias("hold_trades"), F.col("score").alias("hold_score"))
     report = folds.join(held, "base").join(agreed, "base")
@@ -477,9 +486,13 @@ def rolling_optimisation(bars: DataFrame, specs: Sequence[G.Spec], params: Seque
     return {"metrics": m, "chosen": chosen, "deployed": d, "report": report, "splits": splits}
 
 
-def graded_replay(sized: DataFrame, specs: Sequence[G.Spec], grid: Sequence[int], lam: float, gamma: float, periods: int) -> DataFrame:
-    """Replay specs on every slice and grade them: Sharpe less penalties for drawdown and turnover; -10 under three trades."""
-    t = replay(sized, specs).join(sized.select(*SERIES, F.col("i").alias("s"), "share", "base", "fold", "part"), [*SERIES, "s"])
+def graded_replay(sized: DataFrame, specs: Sequence[G.Spec], grid: Sequence[int], stop_mult: Column, lam: float, gamma: float, periods: int) -> DataFrame:
+    """Replay specs on every slice and grade them: Sharpe less penalties for drawdown and turnover; -10 under three trades.
+
+    ``stop_mult``: the stop's distance in ATR, over the columns of ``sized`` and the spec's number ``k``.
+    """
+    own = [c for c in sized.columns if c in ("close", "atr", "vol", "base", "fold", "part") or c.startswith("p_")]
+    t = replay(sized, specs).join(sized.select(*SERIES, F.col("i").alias("s"), *own), [*SERIES, "s"]).withColumn("share", position_share(stop_mult))
     t = L.pin(t.withColumns({"net": F.col("ret"), "gross": F.col("ret"), "stop_frac": F.lit(0.01) / F.greatest("share", F.lit(1e-9))}))
     keys = ["base", "part", "fold", "k"]
     m = S.metrics(t, keys, ["s"], 1000.0, 0.01, 1.0).select(*keys, "trades", "win_rate", (F.col("total_return_pct") / 100).alias("total_return"), (F.col("max_dd_pct") / 100).alias("max_dd"))
@@ -491,19 +504,21 @@ def graded_replay(sized: DataFrame, specs: Sequence[G.Spec], grid: Sequence[int]
     return m.withColumn("score", score)
 
 
-def bench_bootstrap(pool: DataFrame, sims: int, trades: int, value: str = "net_bps") -> DataFrame:
-    """Share of resampled trade sequences in which the bench rule fires at least once.
+def bench_bootstrap(pool: DataFrame, sims: int, trades: int, keys: Sequence[str] = ("sleeve",), value: str = "net_bps") -> DataFrame:
+    """Per key, the share of resampled trade sequences in which the bench rule fires at least once.
 
-    Draws are hashes of (simulation, draw) modulo the pool size, so every run and
-    every retry picks the same trades.
+    A draw is a counter-based number, the MD5 of simulation and draw, modulo the pool's
+    size; it meets the pool's dense ordinals in an equi-join. So every run and every retry
+    picks the same trades, and each sleeve is resampled from its own.
     """
     from tapeworks.operators.scan import ordinals, range_blocks
-    spark = pool.sparkSession
-    numbered = ordinals(range_blocks(pool, [], ["id"]), [], "blk", ["id"], "pick").select("pick", value)
-    size = pool.agg(F.count(F.lit(1)).alias("size"), F.lit(1).alias("_all"))
-    draws = spark.range(sims * trades).select((F.col("id") % sims).alias("sim"), F.floor(F.col("id") / sims).alias("no"), F.lit(1).alias("_all"))
-    draws = draws.join(size, "_all").withColumn("pick", F.pmod(F.xxhash64("sim", "no"), F.col("size"))).join(numbered, "pick")
-    w = Window.partitionBy("sim").orderBy("no").rowsBetween(-(S.WINDOW - 1), 0)
+    keys = list(keys)
+    numbered = ordinals(range_blocks(pool, keys, ["id"]), keys, "blk", ["id"], "pick").select(*keys, "pick", value)
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", "sim", "no")), 1, 12), 16, 10).cast("bigint")
+    draws = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
+    draws = draws.repartition(*keys, "sim").withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(trades - 1))))
+    draws = draws.withColumn("pick", number % F.col("size")).join(numbered, [*keys, "pick"])
+    w = Window.partitionBy(*keys, "sim").orderBy("no").rowsBetween(-(S.WINDOW - 1), 0)
     b = draws.withColumns({f"b_{k}": c for k, c in S.mean_bounds(value, w).items()})
-    per = b.groupBy("sim").agg(F.max(known((F.col("b_n") >= S.MIN_SAMPLE) & (F.col("b_upper") < 0) & (F.col("no") < trades - 1)).cast("int")).alias("hit"), F.avg(value).alias("m"))
-    return per.agg(F.count(F.lit(1)).alias("sims"), F.avg("hit").alias("p_any_bench"), F.avg("m").alias("mean_bps"))
+    per = b.groupBy(*keys, "sim").agg(F.max(known((F.col("b_n") >= S.MIN_SAMPLE) & (F.col("b_upper") < 0) & (F.col("no") < trades - 1)).cast("int")).alias("hit"), F.avg(value).alias("m"))
+    return per.groupBy(*keys).agg(F.count(F.lit(1)).alias("sims"), F.avg("hit").alias("p_any_bench"), F.avg("m").alias("mean_bps"))

@@ -93,12 +93,19 @@ def e31(x: Inputs):
 PRICES = "(SELECT symbol, max_by(price, trade_id) AS price FROM ticks WHERE symbol <> 'S2' GROUP BY 1)"
 
 
-@query("c13_mark_to_market", f"""WITH {LOTS}, p AS (SELECT symbol, max_by(held, ROW(ts, l_orderkey, l_linenumber)) AS quantity, avg(price) AS entry_price, sum(fee) AS fees_paid FROM lots GROUP BY 1)
+@query("c13_mark_to_market", f"""WITH {LOTS}, g AS (SELECT symbol, list({{'b': side = 'buy', 'c': cost + fee, 'p': cost, 'was': was, 'held': held}} ORDER BY ts, l_orderkey, l_linenumber) AS xs, max_by(held, ROW(ts, l_orderkey, l_linenumber)) AS quantity FROM lots GROUP BY 1),
+    p AS (SELECT symbol, quantity, z.entry AS entry_price, z.basis - quantity * z.entry AS fees_paid FROM (SELECT symbol, quantity, list_reduce(
+      list_transform(xs, lambda v: {{'b': v.b, 'c': v.c, 'p': v.p, 'was': v.was, 'held': v.held, 'basis': 0.0::DOUBLE, 'entry': 0.0::DOUBLE}}),
+      lambda a, v: {{'b': v.b, 'c': v.c, 'p': v.p, 'was': v.was, 'held': v.held, 'basis': CASE WHEN v.b THEN a.basis + v.c WHEN v.was > 0 THEN a.basis * v.held / v.was ELSE 0 END,
+        'entry': CASE WHEN v.b THEN (a.entry * v.was + v.p) / v.held ELSE a.entry END}},
+      {{'b': true, 'c': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'was': 0.0::DOUBLE, 'held': 0.0::DOUBLE, 'basis': 0.0::DOUBLE, 'entry': 0.0::DOUBLE}}) AS z FROM g))
     SELECT p.symbol, quantity, round(quantity * coalesce(t.price, entry_price), 2) AS market_value, round(quantity * coalesce(t.price, entry_price) - quantity * entry_price - fees_paid, 2) AS unrealized
     FROM p LEFT JOIN {PRICES} t ON t.symbol = p.symbol WHERE quantity > 1e-12""", "fills ticks")
 def c13(x: Inputs):
-    inv = B.inventory(x.fills(), ["symbol"], ORDER)
-    pos = inv.groupBy("symbol").agg(F.max_by("held", F.struct(*ORDER)).alias("quantity"), F.avg("price").alias("entry_price"), F.sum("fee").alias("fees_paid"))
+    """Open lots at the last price, entered at the average cost of what is held; the basis beyond it are fees."""
+    last = F.max_by(F.struct("held", "basis", "entry_price"), F.struct(*ORDER)).alias("l")
+    lots = B.average_cost(x.fills(), ["symbol"], ORDER).groupBy("symbol").agg(last)
+    pos = lots.select("symbol", F.col("l.held").alias("quantity"), F.col("l.entry_price").alias("entry_price"), (F.col("l.basis") - F.col("l.held") * F.col("l.entry_price")).alias("fees_paid"))
     prices = x.ticks().where("symbol <> 'S2'").groupBy("symbol").agg(F.max_by("price", "trade_id").alias("price"))
     return B.mark_positions(pos, prices, 500.0).select("symbol", "quantity", *rounded(market_value=("market_value", 2), unrealized=("unrealized", 2)))
 
@@ -138,6 +145,40 @@ def c19(x: Inputs):
     return B.reconcile_orders(*order_book(x)).select("key", "rule")
 
 
+def faulty_book(x: Inputs):
+    """An exact book, then one kind of fault for every thirteen residues of the order number."""
+    f = x.fills().select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("fill_id"), F.concat_ws("-", "l_orderkey", "symbol", "side").alias("order_id"),
+                         (F.col("l_orderkey") % 128).alias("r"), "symbol", "side", "vol", F.round("cost", 2).alias("cost"), F.round("fee", 4).alias("fee"))
+    r, copies = F.col("r"), lambda k: F.explode(F.when(F.col("r") == k, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    o = f.groupBy("order_id", "symbol", "side", "r").agg(*[F.sum(F.col(c).cast(B.EXACT)).alias(c) for c in ("vol", "cost", "fee")])
+    for k, c in ((11, "vol"), (12, "cost"), (13, "fee")):
+        o = o.withColumn(c, F.when(r == k, F.col(c) + 1).otherwise(F.col(c)))
+    ghost = o.where("r = 10").withColumn("order_id", F.concat("order_id", F.lit("-ghost")))
+    orders = o.where("r <> 2").withColumn("symbol", F.when(r == 3, "other").otherwise(F.col("symbol"))).withColumn("n", copies(9)).drop("n").unionByName(ghost)
+    sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
+    base = F.struct(F.lit("base").alias("leg"), (sign * F.col("vol") + F.when(r == 6, 1).otherwise(0)).cast(B.EXACT).alias("amount"), F.lit(0).cast(B.EXACT).alias("fee"))
+    quote = F.struct(F.lit("quote").alias("leg"), (-sign * F.col("cost") + F.when(r == 7, 1).otherwise(0)).cast(B.EXACT).alias("amount"), (F.col("fee") + F.when(r == 8, 1).otherwise(0)).cast(B.EXACT).alias("fee"))
+    rows = f.select("fill_id", "r", F.explode(F.filter(F.array(base, F.when(r != 5, quote)), lambda v: v.isNotNull())).alias("l"))
+    ref = F.explode(F.when(r == 4, F.array(F.col("fill_id"), F.concat("fill_id", F.lit("-ghost")))).otherwise(F.array("fill_id")))
+    ledger = rows.select(ref.alias("refid"), "l.*")
+    return orders, f.withColumn("n", copies(1)).drop("n"), ledger
+
+
+FAULTS = {2: "fill_without_order", 3: "fill_attribution", 5: "ledger_legs", 6: "base_amount", 7: "quote_amount", 8: "ledger_fee"}
+ORDER_FAULTS = {9: "duplicate_order", 11: "total_vol", 12: "total_cost", 13: "total_fee"}
+
+
+@query("c19_all_faults", f"""WITH g AS (SELECT *, l_orderkey % 128 AS r FROM rf), o AS (SELECT order_id, r, sum(fee) AS fee FROM g GROUP BY 1, 2)
+    SELECT fill_id AS key, CASE r {' '.join(f"WHEN {k} THEN '{v}'" for k, v in FAULTS.items())} END AS rule FROM g WHERE r IN ({', '.join(map(str, FAULTS))})
+    UNION ALL SELECT fill_id, 'duplicate_fill' FROM g WHERE r = 1 UNION ALL SELECT fill_id || '-ghost', 'ledger_without_fill' FROM g WHERE r = 4
+    UNION ALL SELECT order_id, CASE r {' '.join(f"WHEN {k} THEN '{v}'" for k, v in ORDER_FAULTS.items())} END FROM o WHERE r IN ({', '.join(map(str, ORDER_FAULTS))})
+    UNION ALL SELECT order_id || '-ghost', 'order_without_fills' FROM o WHERE r = 10
+    UNION ALL SELECT order_id, unnest(['total_vol', 'total_cost']) FROM o WHERE r = 1 UNION ALL SELECT order_id, 'total_fee' FROM o WHERE r = 1 AND fee <> 0""", "rf")
+def c19f(x: Inputs):
+    """All thirteen kinds of disagreement, each planted on its own orders."""
+    return B.reconcile_orders(*faulty_book(x)).select("key", "rule")
+
+
 @query("c20_balances", """WITH l AS (SELECT symbol AS asset, sum(CASE side WHEN 'buy' THEN vol ELSE -vol END) AS s FROM rf GROUP BY 1 UNION ALL
       SELECT 'USD', sum(CASE WHEN l_orderkey % 107 = 0 THEN 0 ELSE CASE side WHEN 'buy' THEN -cost ELSE cost END + CASE WHEN l_orderkey % 101 = 0 THEN 1 ELSE 0 END - fee END) FROM rf)
     SELECT asset, CAST(round(s, 4) AS DOUBLE) AS ledger_sum, CAST(round(s + 1, 4) AS DOUBLE) AS balance FROM l WHERE asset = 'S1'""", "rf")
@@ -230,31 +271,34 @@ def d18(x: Inputs):
 
 # ---- selection ---------------------------------------------------------------------------
 
-SELECT_SQL = """WITH l AS (SELECT symbol, count(*) AS n, avg(pnl) AS e, sum(pnl) FILTER (regime = 'chop') AS rp FROM closed_trades WHERE sleeve = '1-URGENT' GROUP BY 1),
-    c AS (SELECT d.event_id, d.ts_us // 3600000000 AS hour, d.symbol, d.score * CASE WHEN coalesce(l.n, 0) < 3 THEN 1.0 ELSE round(1 + greatest(-0.5, least(0.5, l.e)), 3) END * CASE WHEN l.n >= 3 AND l.rp < 0 THEN 0.6 ELSE 1 END AS eff
-      FROM decisions d LEFT JOIN l ON l.symbol = d.symbol WHERE action = 'BUY' {extra})"""
+SELECT_SQL = """WITH l AS (SELECT sleeve, symbol, count(*) AS n, avg(pnl) AS e, sum(pnl) FILTER (regime = 'chop') AS rp FROM closed_trades GROUP BY 1, 2),
+    c AS (SELECT l.sleeve, d.event_id, d.ts_us, d.ts_us // 3600000000 AS hour, d.symbol, d.score * CASE WHEN coalesce(l.n, 0) < 3 THEN 1.0 ELSE round(1 + greatest(-0.5, least(0.5, l.e)), 3) END * CASE WHEN l.n >= 3 AND l.rp < 0 THEN 0.6 ELSE 1 END AS eff
+      FROM decisions d JOIN l ON l.symbol = d.symbol WHERE action = 'BUY')"""
 
 
 def scored_candidates(x: Inputs):
-    t = x.closed_trades().where("sleeve = '1-URGENT'").groupBy("symbol").agg(
+    t = x.closed_trades().groupBy("sleeve", "symbol").agg(
         F.count(F.lit(1)).alias("n"), F.avg("pnl").alias("e"), F.sum(F.when(F.col("regime") == "chop", F.col("pnl"))).alias("rp"))
-    d = x.decisions().where("signal.action = 'BUY'").join(t, "symbol", "left")
+    d = x.decisions().where("signal.action = 'BUY'").join(t, "symbol")
     eff = F.col("signal.score") * B.selection_bias(F.col("e"), F.col("n")) * B.regime_penalty(F.col("rp"), F.col("n"))
-    return d.select(F.expr("ts_us div 3600000000").alias("hour"), "symbol", F.col("event_id").alias("place"), eff.alias("effective"))
+    return d.select("sleeve", "ts_us", F.expr("ts_us div 3600000000").alias("hour"), "symbol", F.col("event_id").alias("place"), eff.alias("effective"))
 
 
-@query("f3_best_candidate", SELECT_SQL.format(extra="") + " SELECT hour, symbol, round(eff, 6) AS effective FROM (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY eff DESC, event_id) AS rk FROM c) WHERE rk = 1 AND eff >= 25", "decisions closed_trades")
+@query("f3_best_candidate", SELECT_SQL + " SELECT sleeve, hour, symbol, round(eff, 6) AS effective FROM (SELECT *, row_number() OVER (PARTITION BY sleeve, hour ORDER BY eff DESC, event_id) AS rk FROM c) WHERE rk = 1 AND eff >= 25", "decisions closed_trades")
 def f3(x: Inputs):
-    """Best buy of every hour by score, learned bias and regime penalty."""
-    return B.best_candidate(scored_candidates(x), ["hour"]).select("hour", "symbol", F.round("effective", 6).alias("effective"))
+    """Best buy of every sleeve and hour by score, learned bias and regime penalty."""
+    return B.best_candidate(scored_candidates(x), ["sleeve", "hour"]).select("sleeve", "hour", "symbol", F.round("effective", 6).alias("effective"))
 
 
-@query("f4_best_free_candidate", SELECT_SQL.format(extra="AND d.symbol <> 'S1'") + " SELECT hour, symbol, round(eff, 6) AS effective FROM (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY eff DESC, event_id) AS rk FROM c) WHERE rk = 1", "decisions closed_trades")
+@query("f4_best_free_candidate", SELECT_SQL + """, s AS (SELECT symbol, ts_us FROM decisions WHERE action = 'SELL'), g AS (SELECT c.*, s.ts_us AS sold FROM c ASOF LEFT JOIN s ON s.symbol = c.symbol AND c.ts_us >= s.ts_us)
+    SELECT sleeve, hour, symbol, round(eff, 6) AS effective FROM (SELECT *, row_number() OVER (PARTITION BY sleeve, hour ORDER BY eff DESC, event_id) AS rk FROM g WHERE symbol <> 'S1' AND (sold IS NULL OR ts_us - sold >= 2700000000)) WHERE rk = 1""", "decisions closed_trades")
 def f4(x: Inputs):
-    """The same, without symbols that are held."""
+    """The same, without symbols that are held or were sold less than 45 minutes ago."""
     held = x.spark.createDataFrame([("S1",)], "symbol string")
     free = scored_candidates(x).join(held, "symbol", "left_anti")
-    return B.best_candidate(free, ["hour"], float("-inf")).select("hour", "symbol", F.round("effective", 6).alias("effective"))
+    exits = x.decisions().where("signal.action = 'SELL'").select("symbol", F.col("ts_us").alias("sold_us"))
+    free = B.off_cooldown(free, exits, 45)
+    return B.best_candidate(free, ["sleeve", "hour"], float("-inf")).select("sleeve", "hour", "symbol", F.round("effective", 6).alias("effective"))
 
 
 @query("f8_scan_limit", """SELECT sleeve, symbol, bias FROM (SELECT *, row_number() OVER (PARTITION BY sleeve ORDER BY bias DESC, symbol) AS rk FROM (SELECT sleeve, symbol, round(1 + greatest(-0.5, least(0.5, avg(pnl))), 3) AS bias FROM closed_trades GROUP BY 1, 2)) WHERE rk <= 2""", "closed_trades")
@@ -375,11 +419,16 @@ def b12(x: Inputs):
     return x.table("events").select("event_id", T.gate_name(why).alias("gate"))
 
 
-@query("b11_redact", "SELECT event_id, '[REDACTED]' AS secret, event_type AS kept FROM events")
+@query("b11_redact", "SELECT event_id, '[REDACTED]' AS secret, event_type AS kept, '[REDACTED]' AS inner_secret, '[REDACTED]' AS listed_secret, event_type AS listed_kept FROM events")
 def b11(x: Inputs):
+    """Secrets at the top, inside a record and inside records of a list."""
     m = F.create_map(F.lit("API_Key"), F.col("value").cast("string"), F.lit("kind"), F.col("event_type"))
-    r = T.redact(m)
-    return x.table("events").select("event_id", r["API_Key"].alias("secret"), r["kind"].alias("kept"))
+    legs = F.array(F.create_map(F.lit("nonce"), F.col("event_id").cast("string"), F.lit("kind"), F.col("event_type")))
+    payload = x.table("events").select("event_id", F.struct(m.alias("head"), F.struct(F.col("value").alias("Password"), legs.alias("legs")).alias("request")).alias("p"))
+    r = payload.select("event_id", T.redact("p", payload.schema["p"].dataType).alias("r"))
+    leg = F.col("r.request.legs")[0]
+    return r.select("event_id", F.col("r.head")["API_Key"].alias("secret"), F.col("r.head")["kind"].alias("kept"), F.col("r.request.Password").alias("inner_secret"),
+                    leg["nonce"].alias("listed_secret"), leg["kind"].alias("listed_kept"))
 
 
 # ---- scalar jobs -------------------------------------------------------------------------

@@ -130,10 +130,10 @@ def c1(x: Inputs):
     return out.select("symbol", "t", F.round("close", 6).alias("close"), "d1_riskon", F.round("d1_sma50", 6).alias("d1_sma50"))
 
 
-@query("b4_closed_bars", """SELECT symbol, t, round(close, 6) AS close FROM bars_60 WHERE t + 3600 <= 1705320000""", "bars_60")
+@query("b4_closed_bars", f"""SELECT symbol, t, round(close, 6) AS close FROM bars_60 WHERE t + 3600 <= {NOW} - 1800""", "bars_60")
 def b4(x: Inputs):
     b = x.bars(60)
-    return b.where(F.col("t") + F.col("tf") * 60 <= 1_705_320_000).select("symbol", "t", F.round("close", 6).alias("close"))
+    return b.where(F.col("t") + F.col("tf") * 60 <= NOW - 1_800).select("symbol", "t", F.round("close", 6).alias("close"))
 
 
 @query("b5_flow_filters", """SELECT symbol, t, coalesce(ofi > 0, false) AS ofi_pos, coalesce(ofi_z > 0, false) AS ofi_z_pos,

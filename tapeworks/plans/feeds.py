@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tapeworks import schemas
 from tapeworks.functions import text as X
 from tapeworks.functions.core import epoch_us, iso_text, rounded
-from tapeworks.plans.inputs import Inputs
+from tapeworks.plans.inputs import NOW, Inputs
 from tapeworks.plans.market_data import new_folder
 from tapeworks.plans.registry import query
 from tapeworks.sources import payloads as P
@@ -14,14 +14,14 @@ from tapeworks.sources import payloads as P
 PLAIN = {f"S{n}": f"S{n}" for n in range(3)}
 
 
-@query("a10_parse_ohlc", f"""SELECT symbol, t, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM bars_60 WHERE t + 3600 <= 1705320000 AND i % 40 <> 0""", "bars_60")
+@query("a10_parse_ohlc", f"""SELECT symbol, t, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM bars_60 WHERE t + 3600 <= {NOW} - 1800 AND i % 40 <> 0""", "bars_60")
 def a10(x: Inputs):
     """Array payloads with repeated rows, zero closes and bars that still form."""
     b = x.indexed(60)
     row = F.array(*[c.cast("string") for c in (F.col("t"), F.col("open"), F.col("high"), F.col("low"), F.when(F.col("i") % 40 == 0, 0.0).otherwise(F.col("close")), F.col("vwap"), F.col("volume"), F.col("trades"))])
     payload = b.groupBy("symbol", F.expr("t div 86400").alias("day")).agg(F.collect_list(row).alias("rows"))
     text = payload.select("symbol", F.to_json(F.concat("rows", F.slice("rows", 1, 2))).alias("value"))
-    out = P.parse_ohlc(text, 60, 1_705_320_000)
+    out = P.parse_ohlc(text, 60, NOW - 1_800)
     return out.select("symbol", "t", *rounded(**{c: (c, 6) for c in ("open", "high", "low", "close", "volume")}))
 
 
@@ -103,17 +103,17 @@ def a17(x: Inputs):
     return P.funding_rates(raw).select("event_id", "t", F.round("rate", 9).alias("rate"))
 
 
-@query("a18_priors", """SELECT symbol AS key, CAST(count(*) AS INT) AS n, round(avg(net_bps), 6) AS bps FROM closed_trades WHERE sleeve = '1-URGENT' GROUP BY 1
-    UNION ALL SELECT symbol || '|' || regime, CAST(count(*) AS INT), round(avg(net_bps), 6) FROM closed_trades WHERE sleeve = '1-URGENT' AND regime <> 'chop' GROUP BY symbol, regime""", "closed_trades")
+@query("a18_priors", """SELECT sleeve || '@60m' AS strategy, symbol AS key, CAST(count(*) AS INT) AS n, round(avg(net_bps), 6) AS bps FROM closed_trades GROUP BY 1, 2
+    UNION ALL SELECT sleeve || '@60m', symbol || '|' || regime, CAST(count(*) AS INT), round(avg(net_bps), 6) FROM closed_trades WHERE regime <> 'chop' GROUP BY sleeve, symbol, regime""", "closed_trades")
 def a18(x: Inputs):
-    """Study results as JSON per sleeve and symbol; only one strategy's rows count, empty regimes do not."""
+    """Study results as JSON per sleeve and symbol, read as the priors of every strategy; empty regimes do not count."""
     t = x.closed_trades()
     n = F.when(F.col("regime") == "chop", 0).otherwise(F.count(F.lit(1))).cast("int")
     reg = t.groupBy("sleeve", "symbol", "regime").agg(n.alias("trades"), F.avg("net_bps").alias("avg_net_bps"))
     reg = reg.groupBy("sleeve", "symbol").agg(F.map_from_entries(F.collect_list(F.struct("regime", F.struct("trades", "avg_net_bps")))).alias("oos_by_regime"))
     tot = t.groupBy("sleeve", "symbol").agg(F.count(F.lit(1)).cast("int").alias("trades"), F.avg("net_bps").alias("avg_net_bps"))
     doc = tot.join(reg, ["sleeve", "symbol"]).select(F.to_json(F.struct(F.col("sleeve").alias("family"), F.lit(60).alias("tf"), F.lower("symbol").alias("symbol"), F.struct("trades", "avg_net_bps").alias("oos"), "oos_by_regime")).alias("value"))
-    return P.priors(doc, "1-URGENT@60m").select("key", "n", F.round("bps", 6).alias("bps"))
+    return P.priors(doc).select("strategy", "key", "n", F.round("bps", 6).alias("bps"))
 
 
 @query("a19_log_state", """SELECT max(epoch_us(ts) // 1000000) FILTER (event_type = 'view') AS last_cycle, max(epoch_us(ts) // 1000000) FILTER (event_type = 'error') AS last_start, 'True' AS locked,
@@ -124,13 +124,13 @@ def a19(x: Inputs):
     return P.log_state(lines)
 
 
-@query("a20_feed_health", """SELECT symbol, max(us) / 1e6 AS live_through, 1706572800 - max(us) / 1e6 AS age_s, 1706572800 - max(us) / 1e6 <= 600 AND max_by(trade_id % 2 = 0, us) AS fresh, CAST(max_by(trade_id % 4, us) AS BIGINT) AS gaps_open FROM ticks WHERE us < 1706572800000000 GROUP BY 1""", "ticks")
+@query("a20_feed_health", f"""SELECT symbol, max(us) / 1e6 AS live_through, {NOW} - max(us) / 1e6 AS age_s, {NOW} - max(us) / 1e6 <= 600 AND max_by(trade_id % 2 = 0, us) AS fresh, CAST(max_by(trade_id % 4, us) AS BIGINT) AS gaps_open FROM ticks GROUP BY 1""", "ticks")
 def a20(x: Inputs):
     """Status files written after every tick; health from the newest of each symbol."""
     us = epoch_us("ts")
-    st = x.ticks().where(us < 1_706_572_800_000_000).select(F.to_json(F.struct("symbol", (us / 1e6).alias("live_through"), (F.col("trade_id") % 2 == 0).alias("in_sync"), F.col("trade_id").alias("last_trade_id"), (F.col("trade_id") % 4).alias("gaps_open"))).alias("value"), (us / 1e6).alias("updated_at"))
+    st = x.ticks().select(F.to_json(F.struct("symbol", (us / 1e6).alias("live_through"), (F.col("trade_id") % 2 == 0).alias("in_sync"), F.col("trade_id").alias("last_trade_id"), (F.col("trade_id") % 4).alias("gaps_open"))).alias("value"), (us / 1e6).alias("updated_at"))
     rows = st.select(F.from_json("value", schemas.FEED_STATUS).alias("r"), "updated_at").select("r.*", "updated_at")
-    return P.feed_health(rows, 1_706_572_800, 600).select("symbol", "live_through", "age_s", "fresh", "gaps_open")
+    return P.feed_health(rows, NOW, 600).select("symbol", "live_through", "age_s", "fresh", "gaps_open")
 
 
 @query("a21_futures_quotes", """SELECT event_id, round(CASE WHEN event_id % 4 = 0 THEN value + 2 ELSE value + 1 END, 6) AS mark, round(0.01 / CASE WHEN event_id % 4 = 0 THEN value + 2 ELSE value + 1 END, 9) AS funding_relative, event_id % 3 * 0.01 + 0.01 AS margin FROM events""")
@@ -203,9 +203,14 @@ def d28(x: Inputs):
     return s.select("entity", "n", "sources", F.round("avg_score", 6).alias("avg_score"), "score", "blocks_buy", "triggers_exit")
 
 
-@query("h15_clean_text")
+PLAIN_HTML = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+for _name, _sign in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">")):
+    PLAIN_HTML = f"replace({PLAIN_HTML}, '{_name}', '{_sign}')"
+
+
+@query("h15_clean_text", f"SELECT page_id, trim(regexp_replace(regexp_replace({PLAIN_HTML}, '&amp;?', '&', 'g'), '[\\s\\x1c-\\x1f]+', ' ', 'g'), ' ') AS text FROM pages")
 def h15(x: Inputs):
-    """Pages without tags and entities; checked against a restatement in the tests."""
+    """Pages without tags and entities; the SQL knows the entities that these pages use, the tests all of them."""
     return x.table("pages").select("page_id", X.clean("html").alias("text"))
 
 

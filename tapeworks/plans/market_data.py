@@ -38,9 +38,8 @@ def bar_out(df, *extra):
 
 # ---- sources and sinks -------------------------------------------------------------------
 
-@query("a1_read_ticks", f"SELECT {TICK_OUT} FROM ticks", "ticks")
-def a1(x: Inputs):
-    """Ticks written as gzip text with headers, repeats and torn lines, then read back."""
+def text_store(x: Inputs) -> str:
+    """Ticks as gzip text with headers, repeats and torn lines."""
     t = x.ticks().withColumn("day", day_text(epoch_us("ts")))
     sec = F.format_string("%d.%06d", F.floor(epoch_us("ts") / 1_000_000).cast("long"), F.pmod(epoch_us("ts"), F.lit(1_000_000)))
     line = F.concat_ws(",", "trade_id", sec, F.col("price").cast("string"), F.col("qty").cast("string"), "side", "ord_type")
@@ -55,7 +54,21 @@ def a1(x: Inputs):
         .otherwise(F.array().cast("array<string>")))))
     root = new_folder(x, "ticks-text")
     S.write_text_store(lines.select("symbol", "day", value.alias("value")), root)
-    return tick_out(S.read_ticks(x.spark, root))
+    return root
+
+
+@query("a1_read_ticks", f"SELECT {TICK_OUT} FROM ticks", "ticks")
+def a1(x: Inputs):
+    """The text store read back."""
+    return tick_out(S.read_ticks(x.spark, text_store(x)))
+
+
+@query("a1_damage", """SELECT symbol, CAST(sum(1 + trade_id % 2 + CASE WHEN trade_id % 50 = 0 THEN 3 ELSE 0 END) AS BIGINT) AS lines, count(*) FILTER (trade_id % 50 = 0) AS headers,
+    2 * count(*) FILTER (trade_id % 50 = 0) AS damaged, CAST(0 AS BIGINT) AS torn_files FROM ticks GROUP BY 1""", "ticks")
+def a1_damage(x: Inputs):
+    """Lines, headers and damaged lines of the text store; no file of it is torn."""
+    d = S.damage(x.spark, text_store(x))
+    return d.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in ("lines", "headers", "damaged")], F.count_if("torn").alias("torn_files"))
 
 
 @query("a2_read_quotes", """SELECT symbol, us AS ts_us, round(bid, 6) AS bid, round(ask, 6) AS ask FROM quotes""", "quotes")

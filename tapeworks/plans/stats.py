@@ -176,17 +176,16 @@ SETTINGS = {"regime_ema": 200, "min_volume_ratio": 1.10, "breakout_lookback": 20
 
 
 @query("d16_suggestions", f"""WITH f AS ({FILTER_SQL}), q AS (SELECT count(*) AS n, avg(CASE WHEN action = 'WAIT' THEN 1.0 ELSE 0 END) AS w FROM decisions),
-    r AS ({REGIME_SQL}), one AS (SELECT max(failures * 1.0 / total) FILTER (filter = 'regime') AS rf, max(failures * 1.0 / total) FILTER (filter = 'volume') AS vf,
-      max(failures * 1.0 / total) FILTER (filter = 'breakout') AS bf, (SELECT regime FROM r WHERE symbol = 'S0') AS regime,
-      (SELECT confidence FROM r WHERE symbol = 'S0') AS conf, (SELECT n FROM q) AS n, (SELECT w FROM q) AS w FROM f)
-    SELECT parameter, current_value, suggested_value, round(confidence, 6) AS confidence, fires FROM (
-      SELECT 'regime_ema' AS parameter, 200.0 AS current_value, CASE WHEN conf < 0.5 THEN 200.0 ELSE 180.0 END AS suggested_value, rf AS confidence, rf > 0.3 AS fires FROM one
-      UNION ALL SELECT 'min_volume_ratio', 1.1, 1.05, vf, vf > 0.6 FROM one UNION ALL SELECT 'breakout_lookback', 20, 20, bf, bf > 0.6 FROM one
-      UNION ALL SELECT 'risk_per_trade', 0.01, 0.015, conf, regime IN ('bull_trend', 'sideways') AND conf > 0.6 FROM one
-      UNION ALL SELECT 'cooldown_minutes', 60, 30, w, n > 5 AND w > 0.9 FROM one)""", "decisions bars_60")
+    r AS ({REGIME_SQL}), one AS (SELECT r.symbol, rf, vf, bf, r.regime, r.confidence AS conf, q.n, q.w FROM r, q, (SELECT max(failures * 1.0 / total) FILTER (filter = 'regime') AS rf,
+      max(failures * 1.0 / total) FILTER (filter = 'volume') AS vf, max(failures * 1.0 / total) FILTER (filter = 'breakout') AS bf FROM f))
+    SELECT symbol, parameter, current_value, suggested_value, round(confidence, 6) AS confidence, fires FROM (
+      SELECT symbol, 'regime_ema' AS parameter, 200.0 AS current_value, CASE WHEN conf < 0.5 THEN 200.0 ELSE 180.0 END AS suggested_value, rf AS confidence, rf > 0.3 AS fires FROM one
+      UNION ALL SELECT symbol, 'min_volume_ratio', 1.1, 1.05, vf, vf > 0.6 FROM one UNION ALL SELECT symbol, 'breakout_lookback', 20, 20, bf, bf > 0.6 FROM one
+      UNION ALL SELECT symbol, 'risk_per_trade', 0.01, 0.015, conf, regime IN ('bull_trend', 'sideways') AND conf > 0.6 FROM one
+      UNION ALL SELECT symbol, 'cooldown_minutes', 60, 30, w, n > 5 AND w > 0.9 FROM one)""", "decisions bars_60")
 def d16(x: Inputs):
     d = x.decisions()
-    out = S.suggestions(S.filter_analysis(d), S.signal_quality(d), S.market_regime(x.bars(60)).where("symbol = 'S0'"), SETTINGS)
+    out = S.suggestions(S.filter_analysis(d), S.signal_quality(d), S.market_regime(x.bars(60)), SETTINGS)
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
@@ -251,8 +250,12 @@ FOLDS_SQL = """SELECT sleeve, year(make_timestamp(ts * 1000000)) AS fold, count(
     sum(net_bps) / 1e4 AS total_return, CASE WHEN sum(least(pnl, 0)) < 0 THEN sum(greatest(pnl, 0)) / -sum(least(pnl, 0)) END AS profit_factor FROM closed_trades GROUP BY 1, 2"""
 
 
+def year_of_trade(x: Inputs):
+    return x.closed_trades().withColumn("fold", F.year(F.timestamp_seconds("ts")))
+
+
 def yearly_folds(x: Inputs):
-    t = x.closed_trades().withColumn("fold", F.year(F.timestamp_seconds("ts")))
+    t = year_of_trade(x)
     gain, loss = F.sum(F.greatest("pnl", F.lit(0.0))), -F.sum(F.least("pnl", F.lit(0.0)))
     return t.groupBy("sleeve", "fold").agg(F.count(F.lit(1)).alias("n_trades"), S.sharpe("net_bps", 365).alias("sharpe"),
                                            (F.sum("net_bps") / 1e4).alias("total_return"), F.when(loss > 0, gain / loss).otherwise(float("inf")).alias("profit_factor"))
@@ -275,10 +278,15 @@ def d24(x: Inputs):
 
 @query("d25_readiness", f"""SELECT sleeve, folds, total_trades, profitable, round(worst_dd, 6) AS worst_dd, round(pf, 6) AS avg_profit_factor,
     total_trades >= 30 AND profitable > folds / 2.0 AND worst_dd <= 0.10 AND pf >= 1.10 AS live_ready FROM (
-    SELECT sleeve, count(*) AS folds, CAST(sum(n_trades) AS BIGINT) AS total_trades, count(*) FILTER (total_return > 0) AS profitable, max(n_trades / 1e5) AS worst_dd,
-      coalesce(avg(profit_factor), 0) AS pf FROM ({FOLDS_SQL}) GROUP BY 1)""", "closed_trades")
+    SELECT sleeve, count(*) AS folds, CAST(sum(n_trades) AS BIGINT) AS total_trades, count(*) FILTER (total_return > 0) AS profitable, max(dd) AS worst_dd,
+      coalesce(avg(profit_factor), 0) AS pf FROM ({FOLDS_SQL}) JOIN (SELECT sleeve, fold, max((peak - equity) / peak) AS dd FROM (SELECT sleeve, fold, equity, greatest(500, max(equity) OVER w) AS peak FROM (
+        SELECT sleeve, ts, id, year(make_timestamp(ts * 1000000)) AS fold, 500 * exp(sum(ln(1 + least(0.01 / greatest(stop_frac, 1e-6), 0.4) * net_bps / 1e4)) OVER (PARTITION BY sleeve, year(make_timestamp(ts * 1000000)) ORDER BY ts, id ROWS UNBOUNDED PRECEDING)) AS equity FROM closed_trades)
+        WINDOW w AS (PARTITION BY sleeve, fold ORDER BY ts, id ROWS UNBOUNDED PRECEDING)) GROUP BY 1, 2) USING (sleeve, fold) GROUP BY 1)""", "closed_trades")
 def d25(x: Inputs):
-    r = S.readiness(yearly_folds(x).withColumn("max_dd", F.col("n_trades") / 1e5), ["sleeve"])
+    """Yearly folds, each with the drawdown of its own equity curve."""
+    curve = S.metrics(year_of_trade(x).withColumns({"net": F.col("net_bps") / 1e4, "gross": F.col("net_bps") / 1e4}), ["sleeve", "fold"], ["ts", "id"])
+    dd = curve.select("sleeve", "fold", (F.col("max_dd_pct") / 100).alias("max_dd"))
+    r = S.readiness(yearly_folds(x).join(dd, ["sleeve", "fold"]), ["sleeve"])
     return r.select("sleeve", "folds", "total_trades", "profitable", *rounded(worst_dd=("worst_dd", 6), avg_profit_factor=("avg_profit_factor", 6)), "live_ready")
 
 
@@ -382,19 +390,49 @@ def t6(x: Inputs):
     return S.bench_states(x.closed_trades(), ["sleeve", "symbol"]).select("id", "state", "until")
 
 
+GATE_SQL = f"""WITH RECURSIVE t AS (SELECT sleeve, symbol, s.scope, ts, id, net_bps FROM closed_trades, LATERAL (SELECT unnest(['', regime]) AS scope) s),
+    r AS MATERIALIZED (SELECT *, CASE WHEN n >= 2 THEN mean + {t_sql('n')} * sd / sqrt(n) END AS upper FROM (SELECT sleeve, symbol, scope, ts, id, row_number() OVER o AS closed, count(*) OVER w AS n, avg(net_bps) OVER w AS mean, stddev_samp(net_bps) OVER w AS sd
+      FROM t WINDOW o AS (PARTITION BY sleeve, symbol, scope ORDER BY ts, id), w AS (PARTITION BY sleeve, symbol, scope ORDER BY ts, id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))),
+    l AS (SELECT sleeve, symbol, scope, ts, max(closed) AS closed FROM r GROUP BY 1, 2, 3, 4),
+    a AS (SELECT c.sleeve, c.symbol, s.scope, c.ts + c.id % 5 * 86400 + 1800 AS now, c.id FROM closed_trades c, LATERAL (SELECT unnest(['', regime]) AS scope) s),
+    q AS MATERIALIZED (SELECT a.*, row_number() OVER (PARTITION BY a.sleeve, a.symbol, a.scope ORDER BY a.now, a.id) AS j, coalesce(l.closed, 0) AS closed, r.mean, coalesce(r.n >= 30 AND r.upper < 0, false) AS bad
+      FROM a ASOF LEFT JOIN l ON l.sleeve = a.sleeve AND l.symbol = a.symbol AND l.scope = a.scope AND a.now >= l.ts
+      LEFT JOIN r ON r.sleeve = a.sleeve AND r.symbol = a.symbol AND r.scope = a.scope AND r.closed = l.closed),
+    b AS (SELECT sleeve, symbol, scope, CAST(0 AS BIGINT) AS j, CAST(-1 AS BIGINT) AS until, CAST(-1 AS BIGINT) AS at FROM q GROUP BY 1, 2, 3
+      UNION ALL SELECT b.sleeve, b.symbol, b.scope, n.j, n.now + 259200, n.closed FROM b, LATERAL (SELECT q.j, q.now, q.closed FROM q WHERE q.sleeve = b.sleeve AND q.symbol = b.symbol AND q.scope = b.scope
+        AND q.bad AND q.now >= b.until AND q.closed > b.at ORDER BY q.j LIMIT 1) n),
+    v AS (SELECT q.*, CASE WHEN q.now < b.until THEN 'benched' WHEN q.closed <= b.at THEN 'probation' WHEN mean IS NULL THEN 'neutral' WHEN mean < 0 THEN 'negative' WHEN mean < 25 THEN 'weak' ELSE 'ok' END AS state
+      FROM q ASOF JOIN b ON b.sleeve = q.sleeve AND b.symbol = q.symbol AND b.scope = q.scope AND q.j >= b.j),
+    z AS (SELECT *, state <> 'benched' AS allow, CASE state WHEN 'benched' THEN 0.0 WHEN 'probation' THEN 0.5 WHEN 'negative' THEN 0.5 WHEN 'weak' THEN 0.75 ELSE 1.0 END AS size_mult FROM v),
+    m AS (SELECT s.id, s.now, s.allow AS sa, s.size_mult AS ss, s.state AS st, g.allow AS ga, g.size_mult AS gs, g.state AS gt FROM z s JOIN z g ON g.sleeve = s.sleeve AND g.symbol = s.symbol AND g.id = s.id AND g.scope <> '' WHERE s.scope = '')
+    SELECT id, now, sa AND ga AS allow, CASE WHEN NOT (sa AND ga) THEN 0.0 ELSE least(ss, gs) END AS size_mult, CASE WHEN NOT ga OR sa AND gs < ss THEN gt ELSE st END AS state FROM m"""
+
+
+def entry_requests(x: Inputs):
+    """An entry of the same regime is asked for some days after each closed trade."""
+    return x.closed_trades().select("sleeve", "symbol", "regime", (F.col("ts") + F.col("id") % 5 * 86_400 + 1_800).alias("now"), "id")
+
+
+@query("t6_gate_verdicts", GATE_SQL, "closed_trades")
+def t6g(x: Inputs):
+    """Symbol and regime verdict, with probation and size, on every request for an entry."""
+    return S.gate_verdicts(x.closed_trades(), entry_requests(x)).select("id", "now", "allow", "size_mult", "state")
+
+
 PRIORS = {"S0": (40, -30.0), "S1": (1, 55.0), "S9": (12, 80.0)}
 PRIOR_SQL = "(VALUES " + ", ".join(f"('{k}', {n}, {b})" for k, (n, b) in PRIORS.items()) + ") p(symbol, prior_n, prior_bps)"
 
 
-@query("c18_blend_prior", f"""SELECT symbol, live_n, round(b, 6) AS blended_bps, CASE WHEN b IS NULL THEN 'neutral' WHEN b < 0 THEN 'negative' WHEN b < 25 THEN 'weak' ELSE 'ok' END AS state,
+@query("c18_blend_prior", f"""SELECT sleeve, symbol, live_n, round(b, 6) AS blended_bps, CASE WHEN b IS NULL THEN 'neutral' WHEN b < 0 THEN 'negative' WHEN b < 25 THEN 'weak' ELSE 'ok' END AS state,
     CASE WHEN b IS NULL THEN 1.0 WHEN b < 0 THEN 0.5 WHEN b < 25 THEN 0.75 ELSE 1.0 END AS size_mult FROM (
-    SELECT coalesce(l.symbol, p.symbol) AS symbol, coalesce(l.n, 0) AS live_n, (coalesce(p.prior_bps, 0) * coalesce(least(p.prior_n, 2), 0) + coalesce(l.s, 0)) / nullif(coalesce(least(p.prior_n, 2), 0) + coalesce(l.n, 0), 0) AS b
-    FROM (SELECT symbol, count(*) AS n, sum(net_bps) AS s FROM closed_trades WHERE sleeve = '1-URGENT' GROUP BY 1) l FULL JOIN {PRIOR_SQL} ON p.symbol = l.symbol)""", "closed_trades")
+    SELECT coalesce(l.sleeve, p.sleeve) AS sleeve, coalesce(l.symbol, p.symbol) AS symbol, coalesce(l.n, 0) AS live_n, (coalesce(p.prior_bps, 0) * coalesce(least(p.prior_n, 2), 0) + coalesce(l.s, 0)) / nullif(coalesce(least(p.prior_n, 2), 0) + coalesce(l.n, 0), 0) AS b
+    FROM (SELECT sleeve, symbol, count(*) AS n, sum(net_bps) AS s FROM closed_trades GROUP BY 1, 2) l FULL JOIN (SELECT sleeve, p.* FROM (SELECT DISTINCT sleeve FROM closed_trades), {PRIOR_SQL}) p ON p.symbol = l.symbol AND p.sleeve = l.sleeve)""", "closed_trades")
 def c18(x: Inputs):
-    live = x.closed_trades().where("sleeve = '1-URGENT'").groupBy("symbol").agg(F.count(F.lit(1)).alias("live_n"), F.sum("net_bps").alias("live_sum"))
-    priors = x.spark.createDataFrame([(k, float(n), b) for k, (n, b) in PRIORS.items()], "symbol string, prior_n double, prior_bps double")
-    b = S.blend_prior(live, priors, ["symbol"])
-    return b.select("symbol", F.coalesce("live_n", F.lit(0)).alias("live_n"), F.round("blended_bps", 6).alias("blended_bps"), "state", "size_mult")
+    live = x.closed_trades().groupBy("sleeve", "symbol").agg(F.count(F.lit(1)).alias("live_n"), F.sum("net_bps").alias("live_sum"))
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("symbol"), F.lit(float(n)).alias("prior_n"), F.lit(b).alias("prior_bps")) for k, (n, b) in PRIORS.items()]))
+    priors = live.select("sleeve").distinct().select("sleeve", rows.alias("p")).select("sleeve", "p.*")
+    b = S.blend_prior(live, priors, ["sleeve", "symbol"])
+    return b.select("sleeve", "symbol", F.coalesce("live_n", F.lit(0)).alias("live_n"), F.round("blended_bps", 6).alias("blended_bps"), "state", "size_mult")
 
 
 @query("h23_size_mult", """SELECT sleeve, symbol, round(avg(net_bps), 6) AS bps, CASE WHEN avg(net_bps) < 0 THEN 0.5 WHEN avg(net_bps) < 25 THEN 0.75 ELSE 1.0 END AS size_mult

@@ -10,9 +10,11 @@ from tapeworks.operators import labels as L
 from tapeworks.operators import signals as G
 from tapeworks.operators import stats as S
 from tapeworks.operators import studies as W
+from tapeworks.operators.scan import block_no, previous
 from tapeworks.plans.features import RISKON, RISKON_FLAG, SHIFTED, daily_on_bars
 from tapeworks.plans.inputs import NOW, Inputs, TABLES
 from tapeworks.plans.registry import query
+from tapeworks.plans.stats import t_sql
 from tapeworks.session import pin
 
 COSTS, STRESS = Costs(), Costs(80.0, 10.0, 25.0)
@@ -164,21 +166,33 @@ def k1j(x: Inputs):
     return f.select("symbol", "t", *[known(c).alias(f"{n}_{d}") for n, pair in G.comparison_variants().items() for d, c in zip(("in", "out"), pair)])
 
 
-@query("k1f_momentum_decision", """SELECT symbol, t, CASE WHEN atr <= 0 OR NOT adx_on25 OR NOT band OR NOT above THEN 'WAIT' ELSE 'BUY' END AS action,
-    CASE WHEN atr <= 0 THEN 0 WHEN NOT adx_on25 THEN 15 ELSE CAST(band AS INT) * 20 + 5 * (CAST(above AS INT) + CAST(trend AS INT) + CAST(res AS INT) + CAST(busy AS INT)) END AS score,
-    round(CASE WHEN atr > 0 AND adx_on25 AND band AND above THEN greatest(close - 1.5 * atr, 0) END, 6) AS stop_price FROM (
-    SELECT *, rsi BETWEEN 35 AND 75 AS band, close > ema200 AS above, ema20 > ema50 AS trend, coalesce(close >= prior_high20 - atr, false) AS res,
+def held():
+    """Every third bar is judged as of an open position."""
+    return F.col("i") % 3 == 1
+
+
+def decision_out(df, decision):
+    d = df.select("symbol", "t", decision.alias("d"))
+    return d.select("symbol", "t", "d.action", "d.score", F.round("d.stop_price", 6).alias("stop_price"), F.trim(F.regexp_extract("d.reason", "^[^(;+]*", 0)).alias("note"))
+
+
+@query("k1f_momentum_decision", """SELECT symbol, t, CASE WHEN coalesce(atr, 0) <= 0 THEN 'WAIT' WHEN held AND close < ema50 THEN 'SELL' WHEN held OR NOT adx_on25 OR NOT band OR NOT above THEN 'WAIT' ELSE 'BUY' END AS action,
+    CASE WHEN coalesce(atr, 0) <= 0 THEN 0 WHEN held AND close < ema50 THEN 90 WHEN held THEN 60 WHEN NOT adx_on25 THEN 15 ELSE CAST(band AS INT) * 20 + 5 * (CAST(above AS INT) + CAST(trend AS INT) + CAST(res AS INT) + CAST(busy AS INT)) END AS score,
+    round(CASE WHEN atr > 0 AND NOT held AND adx_on25 AND band AND above THEN greatest(close - 1.5 * atr, 0) END, 6) AS stop_price,
+    CASE WHEN coalesce(atr, 0) <= 0 THEN 'ATR unavailable' WHEN held AND close < ema50 THEN 'Price closed below slow trend EMA' WHEN held THEN 'Position remains above slow trend EMA' WHEN NOT adx_on25 THEN 'ADX sit-out: chop'
+      WHEN NOT band THEN 'Filters failed: momentum' WHEN NOT above THEN 'Momentum blocked: counter-trend' ELSE 'Momentum confirmed' END AS note FROM (
+    SELECT *, i % 3 = 1 AS held, rsi BETWEEN 35 AND 75 AS band, close > ema200 AS above, ema20 > ema50 AS trend, coalesce(close >= prior_high20 - atr, false) AS res,
       coalesce(volume / nullif(prior_vol20, 0) >= 1.1, false) AS busy FROM feat_15)""", "feat_15")
 def k1f(x: Inputs):
-    d = x.features(15).select("symbol", "t", G.momentum_decision().alias("d"))
-    return d.select("symbol", "t", "d.action", "d.score", F.round("d.stop_price", 6).alias("stop_price"))
+    return decision_out(x.features(15), G.momentum_decision(held=held()))
 
 
-@query("k1g_meanrev_decision", """SELECT symbol, t, CASE WHEN rsi <= 38 AND close < ema50 THEN 'BUY' ELSE 'WAIT' END AS action, CASE WHEN rsi <= 38 AND close < ema50 THEN 60 ELSE 10 END AS score,
-    round(CASE WHEN rsi <= 38 AND close < ema50 THEN greatest(close - 1.5 * greatest(atr, close * 1e-4), 0) END, 6) AS stop_price FROM feat_15""", "feat_15")
+@query("k1g_meanrev_decision", """SELECT symbol, t, CASE WHEN held AND back THEN 'SELL' WHEN held THEN 'WAIT' WHEN dip THEN 'BUY' ELSE 'WAIT' END AS action, CASE WHEN held AND back THEN 80 WHEN held THEN 55 WHEN dip THEN 60 ELSE 10 END AS score,
+    round(CASE WHEN NOT held AND dip THEN greatest(close - 1.5 * greatest(atr, close * 1e-4), 0) END, 6) AS stop_price,
+    CASE WHEN held AND back THEN 'Mean reversion complete' WHEN held THEN 'Holding reversion' WHEN dip THEN 'Oversold reversion' ELSE 'Not oversold' END AS note FROM (
+    SELECT *, i % 3 = 1 AS held, coalesce(rsi >= 55 OR close >= ema50, false) AS back, coalesce(rsi <= 38 AND close < ema50, false) AS dip FROM feat_15)""", "feat_15")
 def k1g(x: Inputs):
-    d = x.features(15).select("symbol", "t", G.meanrev_decision().alias("d"))
-    return d.select("symbol", "t", "d.action", "d.score", F.round("d.stop_price", 6).alias("stop_price"))
+    return decision_out(x.features(15), G.meanrev_decision(held=held()))
 
 
 ROT = """WITH a AS (SELECT f.symbol, f.t, f.i, f.close, f.atr, f.ema200, f.volume, l.up, l.dn FROM feat_15 f JOIN lag_15 l ON l.symbol = f.symbol AND l.i = f.i),
@@ -188,14 +202,20 @@ ROT = """WITH a AS (SELECT f.symbol, f.t, f.i, f.close, f.atr, f.ema200, f.volum
     c AS (SELECT *, chg > 0.005 AS up_ok, r < 40 AND chg > -0.02 AS dip, close > ema200 AS above FROM b WHERE i >= 19)"""
 
 
-@query("k1h_rotation_decision", f"""{ROT} SELECT symbol, t, CASE WHEN (up_ok OR dip) AND above THEN 'BUY' ELSE 'WAIT' END AS action,
-    CASE WHEN (up_ok OR dip) AND NOT above THEN 15 WHEN up_ok THEN least(95, CAST(trunc(least(50, chg * 200) + least(20, (vr - 1) * 10) + greatest(0, 30 - abs(r - 55)) + 30) AS INT))
+@query("k1h_rotation_decision", f"""{ROT}, g AS (SELECT *, i % 3 = 1 AS held, CASE WHEN i % 3 = 1 THEN 1 / (1 + (i % 11 - 4) * 0.01) - 1 END AS gain, lag(r) OVER (PARTITION BY symbol ORDER BY i) AS pr FROM c)
+    SELECT symbol, t, CASE WHEN held THEN CASE WHEN gain >= 0.03 OR gain <= -0.02 OR coalesce(r < 40 AND pr > 50, false) OR vr < 0.5 THEN 'SELL' ELSE 'WAIT' END WHEN (up_ok OR dip) AND above THEN 'BUY' ELSE 'WAIT' END AS action,
+    CASE WHEN held THEN CASE WHEN gain >= 0.03 THEN 90 WHEN gain <= -0.02 THEN 95 WHEN coalesce(r < 40 AND pr > 50, false) THEN 70 WHEN vr < 0.5 THEN 60 ELSE 50 END
+      WHEN (up_ok OR dip) AND NOT above THEN 15 WHEN up_ok THEN least(95, CAST(trunc(least(50, chg * 200) + least(20, (vr - 1) * 10) + greatest(0, 30 - abs(r - 55)) + 30) AS INT))
       WHEN dip THEN 35 ELSE 5 END AS score,
-    round(CASE WHEN (up_ok OR dip) AND above THEN close - least(greatest(atr * 1.5, close * 0.02), close * 0.12) END, 6) AS stop_price FROM c""", "feat_15 lag_15")
+    round(CASE WHEN NOT held AND (up_ok OR dip) AND above THEN close - least(greatest(atr * 1.5, close * 0.02), close * 0.12) END, 6) AS stop_price,
+    CASE WHEN held THEN CASE WHEN gain >= 0.03 THEN 'Profit target hit' WHEN gain <= -0.02 THEN 'Stop loss hit' WHEN coalesce(r < 40 AND pr > 50, false) THEN 'Momentum reversing' WHEN vr < 0.5 THEN 'Volume drying up' ELSE 'Holding' END
+      WHEN (up_ok OR dip) AND NOT above THEN 'Momentum blocked: counter-trend' WHEN up_ok THEN 'Momentum' WHEN dip THEN 'Oversold' ELSE 'Waiting' END AS note FROM g WHERE i >= 20""", "feat_15 lag_15")
 def k1h(x: Inputs):
-    f = X.momentum(X.simple_rsi(X.previous_bar(x.features(15))), 60)
-    d = f.where("i >= 19").select("symbol", "t", G.rotation_decision().alias("d"))
-    return d.select("symbol", "t", "d.action", "d.score", F.round("d.stop_price", 6).alias("stop_price"))
+    """Every third bar as of a position entered at a price around the close."""
+    f = X.momentum(X.simple_rsi(X.previous_bar(x.features(15))), 60).withColumn("_b", block_no("i", 4096))
+    f = previous(f, list(X.SERIES), "_b", ["i"], {"rsi_simple": "prev_rsi_simple"})
+    entry = F.when(held(), F.col("close") * (1 + (F.col("i") % 11 - 4) * 0.01))
+    return decision_out(f.where("i >= 20"), G.rotation_decision(entry))
 
 
 # ---- labels, thinning, selection ---------------------------------------------------------
@@ -324,30 +344,58 @@ def e14(x: Inputs):
     return pivots(x.indexed(15), 3).where("pivot_high or pivot_low").select("symbol", "t", "confirmed_i", "pivot_high", "pivot_low")
 
 
-@query("e15_sr_flip")
+BROKE = "({px}) - level > 0 AND ({px}) - level >= a * 0.25 AND (({px}) - level) / greatest(level, 1e-12) >= 0.002"
+FLIP_SQL = f"""fb AS MATERIALIZED (SELECT symbol, t, i, high, low, close, lag(close) OVER o AS pc, CASE WHEN fa > 0 THEN fa ELSE greatest(close * 0.01, 1e-8) END AS a FROM (
+      SELECT *, atr + pow(13.0 / 14, 119) * coalesce(lag(high - low, 119) OVER o - lag(atr, 119) OVER o, 0) AS fa FROM feat_60 WINDOW o AS (PARTITION BY symbol ORDER BY i)) WINDOW o AS (PARTITION BY symbol ORDER BY i)),
+    pv AS MATERIALIZED (SELECT symbol, i, high, low, high >= max(high) OVER w AND high > max(high) OVER l AS top, low <= min(low) OVER w AND low < min(low) OVER l AS bottom, count(*) OVER w AS n FROM fb
+      WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), l AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+    hp AS MATERIALIZED (SELECT b.symbol, b.i, b.a, b.close, b.pc, p.i AS p, p.high AS level FROM fb b JOIN pv p ON p.symbol = b.symbol AND p.n = 7 AND p.top AND p.i <= b.i - 3 AND p.i >= greatest(b.i - 119, 0) + 3),
+    br AS (SELECT hp.symbol, hp.i, hp.p, hp.a, hp.level, min(x.i) AS bi FROM hp JOIN fb x ON x.symbol = hp.symbol AND x.i > hp.p AND x.i <= hp.i WHERE hp.p <= hp.i - 6 AND hp.close > hp.level
+      AND greatest(x.high, x.close) - level > 0 AND greatest(x.high, x.close) - level >= hp.a * 0.25 AND (greatest(x.high, x.close) - level) / greatest(level, 1e-12) >= 0.002 GROUP BY 1, 2, 3, 4, 5),
+    ab AS (SELECT br.symbol, br.i, br.p, br.a, br.level, min(x.i) AS ci FROM br JOIN fb x ON x.symbol = br.symbol AND x.i >= br.bi AND x.i <= br.i AND x.close > br.level GROUP BY 1, 2, 3, 4, 5),
+    fl AS (SELECT ab.symbol, ab.i, max(ab.p) AS p FROM ab JOIN fb x ON x.symbol = ab.symbol AND x.i > ab.ci AND x.i <= ab.i AND x.low <= ab.level + greatest(ab.a * 0.5, ab.level * 0.005) GROUP BY 1, 2),
+    fr AS (SELECT symbol, i, max(p) AS p FROM hp WHERE pc <= level AND level < close AND {BROKE.format(px='close')} GROUP BY 1, 2),
+    su AS (SELECT b.symbol, b.i, max(p.i) AS p FROM fb b JOIN pv p ON p.symbol = b.symbol AND p.n = 7 AND p.bottom AND p.i <= b.i - 3 AND p.i >= greatest(b.i - 119, 0) + 3 GROUP BY 1, 2),
+    ls AS (SELECT su.symbol, su.i, max(x.close) AS top FROM su JOIN fb x ON x.symbol = su.symbol AND x.i > su.p AND x.i <= su.i GROUP BY 1, 2),
+    sf AS (SELECT b.symbol, b.t, b.i >= 29 AND fl.p IS NOT NULL AS flip, b.i >= 29 AND fl.p IS NULL AND fr.p IS NOT NULL AS fresh, h.high AS level, b.a,
+      coalesce(b.i >= 29 AND ls.top >= q.low AND q.low - b.close > 0 AND q.low - b.close >= b.a * 0.25 AND (q.low - b.close) / greatest(q.low, 1e-12) >= 0.002, false) AS lost_support
+      FROM fb b LEFT JOIN fl ON fl.symbol = b.symbol AND fl.i = b.i LEFT JOIN fr ON fr.symbol = b.symbol AND fr.i = b.i LEFT JOIN su ON su.symbol = b.symbol AND su.i = b.i LEFT JOIN ls ON ls.symbol = b.symbol AND ls.i = b.i
+      LEFT JOIN pv q ON q.symbol = b.symbol AND q.i = su.p LEFT JOIN pv h ON h.symbol = b.symbol AND h.i = coalesce(fl.p, fr.p))"""
+
+
+@query("e15_sr_flip", f"""WITH {FLIP_SQL} SELECT symbol, t, flip, fresh, lost_support, round(CASE WHEN flip OR fresh THEN level END, 6) AS level,
+    round(CASE WHEN flip OR fresh THEN greatest(level - a * 1.5, 0) END, 6) AS stop_price FROM sf WHERE flip OR fresh OR lost_support""", "feat_60")
 def e15(x: Inputs):
-    """Checked against a sequential restatement in the tests."""
+    """Broken resistance that was retested and held, fresh breaks, and lost support."""
     from tapeworks.operators.patterns import sr_flip
     f = sr_flip(X.add_smooth(x.indexed(60)))
     return f.where("flip or fresh or lost_support").select("symbol", "t", "flip", "fresh", "lost_support", *rounded(level=("level", 6), stop_price=("stop_price", 6)))
 
 
-@query("e16_double_bottom", """WITH p AS (SELECT symbol, i, low, high FROM (SELECT *, min(low) OVER w AS lw, count(*) OVER w AS n FROM bars_60
+BOTTOM_SQL = """WITH p AS (SELECT symbol, i, low, high FROM (SELECT *, min(low) OVER w AS lw, count(*) OVER w AS n FROM bars_60
       WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) WHERE n = 5 AND low <= lw),
     q AS (SELECT a.symbol, a.i AS i1, b.i AS i2, least(a.low, b.low) AS trough, (SELECT max(high) FROM bars_60 h WHERE h.symbol = a.symbol AND h.i > a.i AND h.i < b.i) AS neck
       FROM p a JOIN p b ON b.symbol = a.symbol AND b.i - a.i BETWEEN 4 AND 119 WHERE abs(a.low - b.low) <= 0.02 * (a.low + b.low) / 2),
     c AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY i) AS pc FROM bars_60)
     SELECT symbol, t, round(neck, 6) AS neckline, round(trough, 6) AS trough FROM (SELECT c.symbol, c.t, q.*, row_number() OVER (PARTITION BY c.symbol, c.t ORDER BY q.i2 DESC, q.i1 DESC) AS rk
       FROM c JOIN q ON q.symbol = c.symbol AND q.i2 <= c.i - 2 AND q.i1 >= greatest(c.i - 119, 0) + 2 AND c.i >= 39 AND q.neck > q.trough AND c.pc <= q.neck
-        AND c.close > q.neck AND (c.close - q.neck) / q.neck >= 0.001) WHERE rk = 1""", "bars_60")
+        AND c.close > q.neck AND (c.close - q.neck) / q.neck >= 0.001) WHERE rk = 1"""
+
+
+@query("e16_double_bottom", BOTTOM_SQL, "bars_60")
 def e16(x: Inputs):
     from tapeworks.operators.patterns import double_bottom
     return double_bottom(x.indexed(60)).where("double_bottom").select("symbol", "t", *rounded(neckline=("neckline", 6), trough=("trough", 6)))
 
 
-@query("k1i_pattern_entries")
+@query("k1i_pattern_entries", f"""WITH {FLIP_SQL}, db AS ({BOTTOM_SQL}),
+    bf AS (SELECT symbol, t, coalesce(i >= 15 AND pole_end / greatest(pole_start, 1e-12) - 1 >= 0.03 AND (fh - fl) / greatest(close, 1e-12) <= 0.025 AND pc <= fh AND close - fh > 0 AND (close - fh) / greatest(fh, 1e-12) >= 0.001, false) AS flag FROM (
+      SELECT *, lag(close) OVER o AS pc, lag(close, 7) OVER o AS pole_end, lag(close, 14) OVER o AS pole_start, max(high) OVER w AS fh, min(low) OVER w AS fl FROM bars_60
+      WINDOW o AS (PARTITION BY symbol ORDER BY i), w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)))
+    SELECT sf.symbol, sf.t, flip OR fresh AS sr_flip, db.t IS NOT NULL AS double_bottom, bf.flag AS bull_flag FROM sf JOIN bf ON bf.symbol = sf.symbol AND bf.t = sf.t
+    LEFT JOIN db ON db.symbol = sf.symbol AND db.t = sf.t WHERE flip OR fresh OR db.t IS NOT NULL OR bf.flag""", "feat_60 bars_60")
 def k1i(x: Inputs):
-    """Support flip, double bottom and bull flag as entry masks side by side; each is checked on its own."""
+    """Support flip, double bottom and bull flag as entry masks side by side."""
     from tapeworks.operators.patterns import bull_flag, double_bottom, sr_flip
     f = X.add_smooth(x.indexed(60))
     a = sr_flip(f).select("symbol", "t", (F.col("flip") | F.col("fresh")).alias("sr_flip"))
@@ -439,12 +487,12 @@ def k6(x: Inputs):
     return t.select("symbol", "k", "s", "exit_i", *rounded(entry_px=("entry_px", 6), exit_px=("exit_px", 6), ret=("ret", 8)))
 
 
-# Fixed values of the rolling optimisation: strategy, rsi_min, rsi_max, rsi_os, rsi_exit, lookback.
+# Fixed values of the rolling optimisation: strategy, rsi_min, rsi_max, rsi_os, rsi_exit, atr_stop, lookback.
 OPT_TABLE = (
-    ("meanrev", 35, 75, 32.0, 52.0, 20), ("meanrev", 35, 75, 35.0, 55.0, 20), ("meanrev", 35, 75, 38.0, 55.0, 20), ("meanrev", 35, 75, 38.0, 58.0, 14),
-    ("momentum", 35, 70, 38.0, 55.0, 20), ("momentum", 38, 72, 38.0, 55.0, 20), ("momentum", 32, 75, 38.0, 55.0, 14), ("momentum", 35, 75, 38.0, 55.0, 24),
+    ("meanrev", 35, 75, 32.0, 52.0, 1.5, 20), ("meanrev", 35, 75, 35.0, 55.0, 1.5, 20), ("meanrev", 35, 75, 38.0, 55.0, 1.8, 20), ("meanrev", 35, 75, 38.0, 58.0, 1.5, 14),
+    ("momentum", 35, 70, 38.0, 55.0, 1.5, 20), ("momentum", 38, 72, 38.0, 55.0, 1.8, 20), ("momentum", 32, 75, 38.0, 55.0, 1.5, 14), ("momentum", 35, 75, 38.0, 55.0, 2.0, 24),
 )
-OPT_PARAMS = ("rsi_min", "rsi_max", "rsi_os", "rsi_exit", "lookback")
+OPT_PARAMS = ("rsi_min", "rsi_max", "rsi_os", "rsi_exit", "atr_stop", "lookback")
 OPT_GRID = [G.Spec(name, dict(zip(OPT_PARAMS, values)), "opt") for name, *values in OPT_TABLE]
 
 
@@ -479,7 +527,7 @@ def scored_specs(x: Inputs):
     return t.join(F.broadcast(table), "k")
 
 
-OPT_SQL = "(VALUES " + ", ".join(f"({i}, '{s.name}', " + ", ".join(str(float(s[p])) for p in OPT_PARAMS) + ")" for i, s in enumerate(OPT_GRID)) + ") g(k, strategy, " + ", ".join(OPT_PARAMS) + ")"
+OPT_SQL = "(VALUES " + ", ".join(f"({i}, '{s.name}', " + ", ".join(f"{float(s[p])}::DOUBLE" for p in OPT_PARAMS) + ")" for i, s in enumerate(OPT_GRID)) + ") g(k, strategy, " + ", ".join(OPT_PARAMS) + ")"
 SCORED_SQL = f"SELECT c.*, g.* EXCLUDE (k) FROM (SELECT sleeve, symbol, CAST(id % {len(OPT_GRID)} AS INT) AS k, round(avg(net_bps), 6) AS score FROM closed_trades GROUP BY 1, 2, 3) c JOIN {OPT_SQL} ON g.k = c.k"
 
 
@@ -534,9 +582,23 @@ def d26(x: Inputs):
     return h.select("symbol", "bars", *rounded(entry=("entry", 6), exit=("exit", 6), max_dd_pct=("max_dd_pct", 6), net_bps=("net_bps", 4)))
 
 
-@query("k10_family_search")
+SEARCHED = [s for v in G.library().values() for s in v]
+
+
+@query("k10_family_search", wf_sql(SEARCHED, "d1_60", f""", o AS MATERIALIZED (SELECT *, net * 1e4 AS bps, least(500 * 0.01 / greatest(stop_frac, 1e-6), 500 * 0.40) * net AS pnl FROM ({OOS_SQL})),
+      g AS (SELECT family, count(*) AS n, avg(bps) AS mean, avg(bps) - {t_sql('count(*)')} * stddev_samp(bps) / sqrt(count(*)) AS lower, sum(pnl) AS pnl, CASE WHEN count(*) > 2 THEN (sum(bps) - sum(bps) FILTER (rk <= 2)) / (count(*) - 2) END AS ex
+        FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY bps DESC) AS rk FROM o) GROUP BY 1),
+      eq AS (SELECT *, 500 * exp(sum(ln(1 + least(0.01 / greatest(stop_frac, 1e-6), 0.4) * net)) OVER (PARTITION BY family ORDER BY entry_t, symbol, s ROWS UNBOUNDED PRECEDING)) AS equity, row_number() OVER (PARTITION BY family ORDER BY entry_t, symbol, s) AS rn FROM o),
+      pk AS (SELECT *, greatest(500, max(equity) OVER (PARTITION BY family ORDER BY rn ROWS UNBOUNDED PRECEDING)) AS peak FROM eq),
+      m AS (SELECT family, (max_by(equity, rn) / 500 - 1) * 100 AS ret, max((peak - equity) / peak) * 100 AS dd FROM pk GROUP BY 1),
+      hd AS (SELECT avg(x * (1 - {COSTS.slippage_bps} / 1e4) * (1 - {COSTS.fee_bps} / 1e4) / (e * (1 + {COSTS.slippage_bps} / 1e4) * (1 + {COSTS.fee_bps} / 1e4)) - 1) * 1e4 AS hold FROM (
+        SELECT symbol, count(*) AS c, min_by(open, i) AS e, max_by(close, i) AS x FROM f WHERE i >= 210 GROUP BY 1) WHERE c >= 2 AND e > 0 AND x > 0)
+    SELECT CAST(60 AS BIGINT) AS tf, family, n AS trades, round(mean, 4) AS avg_net_bps, round(ret, 4) AS total_return_pct, round(dd, 4) AS max_dd_pct, round(mean, 4) AS mean, round(lower, 4) AS lower, round(hold, 4) AS hold_bps,
+      concat_ws(',', CASE WHEN n < 30 THEN 'min_trades' END, CASE WHEN mean <= 0 THEN 'mean_positive' END, CASE WHEN NOT coalesce(lower > 0, false) THEN 'lower_bound_positive' END,
+        CASE WHEN NOT coalesce(ex > 0, false) THEN 'ex_best_2_positive' END, CASE WHEN pnl < 0 THEN 'beats_cash' END) AS failed,
+      n >= 30 AND mean > 0 AND coalesce(lower > 0, false) AND coalesce(ex > 0, false) AND pnl >= 0 AS passes FROM g JOIN m USING (family), hd"""), "d1_60")
 def k10(x: Inputs):
-    """The library on hourly and 4-hour bars, pooled over symbols."""
+    """The library on hourly and 4-hour bars, pooled over symbols; a month of 4-hour bars is too short for folds, so the SQL has the hourly ones."""
     f = d1_frame(x).unionByName(X.attach_daily(x.features(240), X.riskon_table(daily_on_bars(x), NOW)))
     s = W.family_search(pin(f), G.library(), COSTS)
     return s.select("tf", "family", "trades", *rounded(avg_net_bps=("avg_net_bps", 4), total_return_pct=("total_return_pct", 4), max_dd_pct=("max_dd_pct", 4), mean=("mean", 4), lower=("lower", 4), hold_bps=("hold_bps", 4)),
@@ -563,24 +625,77 @@ def k11(x: Inputs):
     return r.select("variant", "n", *rounded(mean=("mean", 4), ex_best2=("ex_best2", 4), stress_mean=("stress_mean", 4), wf_mean=("wf_mean", 4)), "coins_positive", "folds_better", "checks_passed")
 
 
-@query("d30_grid_study")
+GRID_SPECS = [G.Spec("meanrev", {"rsi_os": o, "rsi_exit": e, "stop": 0.3, "tp": 0.5, "entry": "limit", "limit_offset": 0.001}, "all") for o in (46.0, 50.0) for e in (52.0, 55.0)]
+GRID_BASE = f"15_{GRID_SPECS[3].label()}"
+GRID_NAMES = "(VALUES " + ", ".join(f"({k}, '{s.label()}')" for k, s in enumerate(GRID_SPECS)) + ") nm(k, label)"
+
+
+def both_frames(tail: str) -> str:
+    """``tail`` over the walk-forward tables of the 15-minute and the hourly frame."""
+    return " UNION ALL ".join(f"SELECT * FROM ({wf_sql(GRID_SPECS, f'feat_{tf}', tail)})" for tf in (15, 60))
+
+
+@query("d30_grid_study", f"""WITH tr AS MATERIALIZED ({both_frames('SELECT * FROM tr')}), wf AS ({both_frames(f'SELECT tf, avg(net) * 1e4 AS wf_mean FROM ({OOS_SQL}) GROUP BY 1')}),
+    n60 AS (SELECT symbol, count(*) AS n FROM bars_60 GROUP BY 1), ed AS (SELECT symbol, n, seg, 210 + (n - 210) * seg // 5 AS lo, 210 + (n - 210) * (seg + 1) // 5 AS hi FROM n60, (SELECT unnest([1, 2, 3, 4]) AS seg) WHERE n - 210 >= 100),
+    et AS (SELECT ed.symbol, ed.seg, a.t AS from_t, b.t AS to_t FROM ed JOIN bars_60 a ON a.symbol = ed.symbol AND a.i = ed.lo LEFT JOIN bars_60 b ON b.symbol = ed.symbol AND b.i = ed.hi),
+    o AS MATERIALIZED (SELECT tr.*, et.seg AS fold, tr.tf || '_' || nm.label AS variant, net * 1e4 AS bps, ({STRESS_SQL}) * 1e4 AS hard FROM tr JOIN {GRID_NAMES} USING (k)
+      JOIN et ON et.symbol = tr.symbol AND et.from_t <= tr.entry_t AND (et.to_t IS NULL OR tr.entry_t < et.to_t)),
+    fm AS (SELECT variant, fold, round(avg(bps), 6) AS m FROM o GROUP BY 1, 2),
+    a AS (SELECT variant, tf, count(*) AS n, avg(bps) AS mean, quantile_cont(bps, 0.5) AS median, avg(hard) AS stress_mean, CASE WHEN count(*) > 2 THEN (sum(bps) - sum(bps) FILTER (rk <= 2)) / (count(*) - 2) END AS ex
+      FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY bps DESC) AS rk FROM o) GROUP BY 1, 2),
+    c AS (SELECT variant, count(*) FILTER (round(m, 1) > 0) AS coins FROM (SELECT variant, symbol, avg(bps) AS m FROM o GROUP BY 1, 2) GROUP BY 1),
+    b AS (SELECT a.variant, count(*) FILTER (coalesce(x.m, 0) > coalesce(y.m, 0)) AS better FROM a CROSS JOIN (VALUES (1), (2), (3), (4)) f(fold)
+      LEFT JOIN fm x ON x.variant = a.variant AND x.fold = f.fold LEFT JOIN fm y ON y.variant = '{GRID_BASE}' AND y.fold = f.fold GROUP BY 1),
+    z AS (SELECT a.*, wf.wf_mean, b.better, c.coins, CAST(n >= 30 AS INT) + CAST(mean > 0 AND median > 0 AS INT) + CAST(coalesce(ex > 0, false) AS INT) + CAST(stress_mean > 0 AS INT) + CAST(better >= 3 AS INT) + CAST(coins >= 2 AS INT)
+      + CAST(coalesce(wf_mean > 0, false) AS INT) AS passed FROM a JOIN b USING (variant) JOIN c USING (variant) LEFT JOIN wf ON wf.tf = a.tf)
+    SELECT variant, tf, n, round(mean, 4) AS mean, round(median, 4) AS median, round(stress_mean, 4) AS stress_mean, round(wf_mean, 4) AS wf_mean, better AS folds_better, coins AS coins_positive,
+      passed AS checks_passed, variant <> '{GRID_BASE}' AND passed = 7 AS promote FROM z""", "feat_15 feat_60 bars_60")
 def d30(x: Inputs):
     """Mean-reversion parameter grid on two timeframes against its baseline, folds by time."""
-    specs = [G.Spec("meanrev", {"rsi_os": o, "rsi_exit": e, "stop": 0.3, "tp": 0.5, "entry": "limit", "limit_offset": 0.001}, "all") for o in (46.0, 50.0) for e in (52.0, 55.0)]
     f = pin(x.features(15).unionByName(x.features(60)))
-    r = W.grid_study(f, specs, f"15_{specs[3].label()}", COSTS, STRESS, W.time_edges(x.indexed(60)))
+    r = W.grid_study(f, GRID_SPECS, GRID_BASE, COSTS, STRESS, W.time_edges(x.indexed(60)))
     return r.select("variant", "tf", "n", *rounded(mean=("mean", 4), median=("median", 4), stress_mean=("stress_mean", 4), wf_mean=("wf_mean", 4)), "folds_better", "coins_positive", "checks_passed", "promote")
 
 
-@query("k11_daily_filter_study")
+HELD_TRENDS = [G.Spec("trendhold", {"ema_fast": 20, "ema_slow": n}) for n in (100, 80)]
+
+
+@query("k11_daily_filter_study", wf_sql(W.as_variants(HELD_TRENDS, {"none": {"d1": False}, "d1": {"d1": True}}), "d1_60", f""", o AS (SELECT *, family AS variant FROM sg WHERE seg >= 1 AND k % 2 = 0),
+      fm AS (SELECT variant, seg, round(avg(net) * 1e4, 6) AS m FROM o GROUP BY 1, 2),
+      a AS (SELECT variant, count(*) AS n, avg(net) * 1e4 AS mean, sum(net) * 1e4 AS total, avg({STRESS_SQL}) * 1e4 AS stress_mean FROM o GROUP BY 1),
+      b AS (SELECT v.variant, count(*) FILTER (coalesce(x.m, 0) > coalesce(y.m, 0)) AS folds_better, count(*) FILTER (coalesce(x.m, 0) < coalesce(y.m, 0)) AS folds_worse
+        FROM a v CROSS JOIN (VALUES (1), (2), (3), (4)) f(seg) LEFT JOIN fm x ON x.variant = v.variant AND x.seg = f.seg LEFT JOIN fm y ON y.variant = 'none' AND y.seg = f.seg GROUP BY 1)
+    SELECT a.variant, n, round(mean, 4) AS mean, round(total, 4) AS total, round(stress_mean, 4) AS stress_mean, folds_better, folds_worse,
+      coalesce(a.variant = 'd1' AND round(total, 6) < (SELECT round(total, 6) FROM a WHERE variant = 'none') AND folds_worse >= 3, false) AS clearly_hurts FROM a JOIN b USING (variant)"""), "d1_60")
 def k11_d1(x: Inputs):
-    r = W.daily_filter_study(d1_frame(x), [G.Spec("trendhold", {"ema_fast": 20, "ema_slow": n}) for n in (100, 80)], COSTS, STRESS)
+    r = W.daily_filter_study(d1_frame(x), HELD_TRENDS, COSTS, STRESS)
     return r.select("variant", "n", *rounded(mean=("mean", 4), total=("total", 4), stress_mean=("stress_mean", 4)), "folds_better", "folds_worse", "clearly_hurts")
 
 
-@query("k11_trailing_study")
+WIDE = G.Spec("breakout", {"lookback": 20, "stop": 0.6, "tp": 2.0})
+TRAILS = ((0.5, 0.5), (1.0, 1.0), (2.0, 1.0))
+OVERLAY = [G.Spec("breakout", WIDE.params, "base"), *[G.Spec("breakout", {**WIDE.params, "trail_activate_atr": a, "trail_atr": m}, f"trail_{a:g}_{m:g}") for a, m in TRAILS]]
+
+
+@query("k11_trailing_study", f"""WITH RECURSIVE {labels_sql(OVERLAY, "feat_15").replace("lab AS MATERIALIZED", "lab0 AS MATERIALIZED")},
+      g(k, act, dist) AS (VALUES {', '.join(f'({k}, {a}, {m})' for k, (a, m) in enumerate(TRAILS, 1))}),
+      h AS (SELECT c.symbol, c.k, c.s, e.atr, g.act, g.dist, c.entry_px, b.i, b.t, b.open, b.low, greatest(c.entry_px, max(b.high) OVER (PARTITION BY c.symbol, c.k, c.s ORDER BY b.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS peak
+        FROM c JOIN g ON g.k = c.k JOIN f e ON e.symbol = c.symbol AND e.i = c.s JOIN f b ON b.symbol = c.symbol AND b.i >= c.e),
+      tl AS (SELECT symbol, k, s, i, t, CASE WHEN open <= peak - dist * atr THEN open ELSE peak - dist * atr END AS px, CASE WHEN open <= peak - dist * atr THEN 'trail_gap' ELSE 'trail' END AS why
+        FROM (SELECT *, row_number() OVER (PARTITION BY symbol, k, s ORDER BY i) AS rk FROM h WHERE atr > 0 AND peak - entry_px + 1e-12 >= act * atr AND (open <= peak - dist * atr OR low <= peak - dist * atr)) WHERE rk = 1),
+      l2 AS (SELECT lab0.* EXCLUDE (exit_i, exit_t, exit_px, reason, gross, net), tl.i AS ti, tl.t AS tt, tl.px, tl.why, lab0.exit_i AS xi, lab0.exit_t AS xt, lab0.exit_px AS xp, lab0.reason AS xw,
+        tl.i IS NOT NULL AND (lab0.reason = 'eod_mark' OR tl.i < lab0.exit_i OR tl.i = lab0.exit_i AND lab0.reason IN ('tp', 'tp_gap')) AS wins FROM lab0 LEFT JOIN tl USING (symbol, k, s)),
+      l3 AS (SELECT * EXCLUDE (ti, tt, px, why, xi, xt, xp, xw, wins), CASE WHEN wins THEN ti ELSE xi END AS exit_i, CASE WHEN wins THEN tt ELSE xt END AS exit_t, CASE WHEN wins THEN px ELSE xp END AS exit_px, CASE WHEN wins THEN why ELSE xw END AS reason FROM l2),
+      lab AS MATERIALIZED (SELECT *, exit_px / entry_px - 1 AS gross, {net_sql(COSTS, 'lim')} AS net FROM l3),
+    {THIN}, nn AS (SELECT symbol, count(*) AS n FROM f GROUP BY 1), sg AS (SELECT tr.*, {SEG} AS seg FROM tr JOIN nn USING (symbol) WHERE n - 210 >= 100),
+      eq AS (SELECT *, 500 * exp(sum(ln(1 + least(0.01 / greatest(stop_frac, 1e-6), 0.4) * net)) OVER (PARTITION BY family ORDER BY entry_t, symbol, s ROWS UNBOUNDED PRECEDING)) AS equity,
+        row_number() OVER (PARTITION BY family ORDER BY entry_t, symbol, s) AS rn FROM sg WHERE seg >= 1),
+      pk AS (SELECT *, greatest(500, max(equity) OVER (PARTITION BY family ORDER BY rn ROWS UNBOUNDED PRECEDING)) AS peak FROM eq),
+      m AS (SELECT family, count(*) AS trades, avg(net) * 1e4 AS bps, (max_by(equity, rn) / 500 - 1) * 100 AS ret, max((peak - equity) / peak) * 100 AS dd FROM pk GROUP BY 1)
+    SELECT m.family, m.trades, round(m.bps, 4) AS avg_net_bps, round(m.ret, 4) AS total_return_pct, round(m.dd, 4) AS max_dd_pct,
+      coalesce(m.family <> 'base' AND m.trades >= 8 AND m.bps > b.bps AND m.ret > b.ret AND m.dd <= b.dd + 1, false) AS promote FROM m, (SELECT * FROM m WHERE family = 'base') b""", "feat_15")
 def k11_trail(x: Inputs):
-    r = W.overlay_study(x.features(15), G.Spec("breakout", {"lookback": 20, "stop": 0.6, "tp": 2.0}), ((0.5, 0.5), (1.0, 1.0), (2.0, 1.0)), COSTS)
+    r = W.overlay_study(x.features(15), WIDE, TRAILS, COSTS)
     return r.select("family", "trades", *rounded(avg_net_bps=("avg_net_bps", 4), total_return_pct=("total_return_pct", 4), max_dd_pct=("max_dd_pct", 4)), "promote")
 
 
@@ -588,16 +703,14 @@ BOOK = [DIPS[0]]
 
 
 @query("k12_portfolio_curve", trades_sql(BOOK, "feat_15", """, q AS (SELECT symbol, entry_t, exit_t, 50 * (1 - 40 / 1e4) / (entry_px * (1 + 5 / 1e4)) AS qty, exit_px FROM tr),
-    tt AS (SELECT DISTINCT t FROM f), e AS (SELECT tt.t, 500 + coalesce((SELECT sum(qty * exit_px * (1 - 5 / 1e4) * (1 - 40 / 1e4) - 50) FROM q WHERE q.exit_t <= tt.t), 0)
-      + coalesce((SELECT sum(q.qty * f.close - 50) FROM q JOIN f ON f.symbol = q.symbol AND f.t = tt.t WHERE q.entry_t <= tt.t AND q.exit_t > tt.t), 0) AS equity,
-      500 + coalesce((SELECT sum(qty * exit_px * (1 - 5 / 1e4) * (1 - 40 / 1e4) - 50) FROM q WHERE q.exit_t <= tt.t), 0) AS realized FROM tt)
-    SELECT t, round(equity, 5) AS equity, round(realized, 5) AS realized, round(max(equity) OVER (ORDER BY t), 5) AS peak FROM e WHERE t IN (SELECT t FROM f GROUP BY t HAVING count(*) = (SELECT count(DISTINCT symbol) FROM f))"""), "feat_15")
+    tt AS (SELECT DISTINCT t FROM f), lc AS (SELECT a.t, a.symbol, f.close FROM (SELECT tt.t, s.symbol FROM tt, (SELECT DISTINCT symbol FROM f) s) a ASOF JOIN f ON f.symbol = a.symbol AND a.t >= f.t),
+    op AS (SELECT lc.t, sum(q.qty * lc.close - 50) AS v FROM lc JOIN q ON q.symbol = lc.symbol AND q.entry_t <= lc.t AND q.exit_t > lc.t GROUP BY 1),
+    e AS (SELECT tt.t, 500 + coalesce((SELECT sum(qty * exit_px * (1 - 5 / 1e4) * (1 - 40 / 1e4) - 50) FROM q WHERE q.exit_t <= tt.t), 0) AS realized, coalesce(op.v, 0) AS v FROM tt LEFT JOIN op ON op.t = tt.t)
+    SELECT t, round(realized + v, 5) AS equity, round(realized, 5) AS realized, round(max(realized + v) OVER (ORDER BY t), 5) AS peak FROM e"""), "feat_15")
 def k12(x: Inputs):
-    """The mean-reversion trades at 50 dollars each, valued at every bar that all symbols have."""
+    """The mean-reversion trades at 50 dollars each, valued at every bar; a symbol without one keeps its last close."""
     f = x.features(15)
-    full = f.groupBy("t").agg(F.count(F.lit(1)).alias("c")).join(f.select("symbol").distinct().agg(F.count(F.lit(1)).alias("c")), "c").select("t")
-    c = W.portfolio_curve(L.trades(f, BOOK, COSTS), f, 15, 50.0, COSTS)
-    return c.join(full, "t").select("t", *rounded(equity=("equity", 5), realized=("realized", 5), peak=("peak", 5)))
+    return W.portfolio_curve(L.trades(f, BOOK, COSTS), f, 15, 50.0, COSTS).select("t", *rounded(equity=("equity", 5), realized=("realized", 5), peak=("peak", 5)))
 
 
 @query("k14_latest_scan", "SELECT symbol, rule, t, round(close, 6) AS signal_px FROM (" + " UNION ALL ".join(
@@ -623,9 +736,13 @@ def a22(x: Inputs):
     return X.add_smooth(both).select("symbol", "t", "src", *rounded(close=("close", 6), rsi=("rsi", 6)))
 
 
-@query("d29_bootstrap")
+@query("d29_bootstrap", f"""WITH pool AS (SELECT sleeve, net_bps - 15 AS v, row_number() OVER (PARTITION BY sleeve ORDER BY id) - 1 AS pick, count(*) OVER (PARTITION BY sleeve) AS size FROM closed_trades),
+    d AS (SELECT sleeve, sim, no, CAST('0x' || substr(md5(sim || '|' || no), 1, 12) AS BIGINT) % size AS pick FROM (SELECT DISTINCT sleeve, size FROM pool), range(400) a(sim), range(60) b(no)),
+    w AS (SELECT sleeve, sim, no, v, count(*) OVER o AS n, avg(v) OVER o AS m, stddev_samp(v) OVER o AS sd FROM d JOIN pool USING (sleeve, pick) WINDOW o AS (PARTITION BY sleeve, sim ORDER BY no ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+    s AS (SELECT sleeve, sim, max(CAST(coalesce(n >= 30 AND m + {t_sql('n')} * sd / sqrt(n) < 0 AND no < 59, false) AS INT)) AS hit, avg(v) AS m FROM w GROUP BY 1, 2)
+    SELECT sleeve, count(*) AS sims, round(avg(hit), 6) AS p_any_bench, round(avg(m), 4) AS mean_bps FROM s GROUP BY 1""", "closed_trades")
 def d29(x: Inputs):
-    """How often a bench would fire in resampled trade sequences (hash-picked from the closed trades)."""
-    pool = x.closed_trades().where("sleeve = '1-URGENT'").select("id", (F.col("net_bps") - 15).alias("net_bps"))
+    """How often a bench would fire in resampled trade sequences of every sleeve."""
+    pool = x.closed_trades().select("id", "sleeve", (F.col("net_bps") - 15).alias("net_bps"))
     b = W.bench_bootstrap(pool, sims=400, trades=60)
-    return b.select("sims", *rounded(p_any_bench=("p_any_bench", 6), mean_bps=("mean_bps", 4)))
+    return b.select("sleeve", "sims", *rounded(p_any_bench=("p_any_bench", 6), mean_bps=("mean_bps", 4)))

@@ -9,6 +9,7 @@ from tapeworks.plans.feeds import PLAIN, feed_lines
 from tapeworks.plans.inputs import NOW, Inputs
 from tapeworks.plans.market_data import new_folder
 from tapeworks.plans.registry import query
+from tapeworks.plans.stats import GATE_SQL, entry_requests
 from tapeworks.session import pin
 from tapeworks.sources.snapshots import SnapshotStore
 from tapeworks.streaming import held as H
@@ -133,6 +134,16 @@ def t6s(x: Inputs):
     return I.run_to_table(s, new_folder(x, "out"), new_folder(x, "cp"))
 
 
+@query("t6_gate_stream", GATE_SQL, "closed_trades")
+def t6gs(x: Inputs):
+    """The same verdicts from one keyed state machine over closes and requests in time order."""
+    Z.use_rocksdb(x.spark)
+    closes = x.closed_trades().select("sleeve", "symbol", "regime", F.col("ts").alias("us"), "id", "net_bps")
+    asks = entry_requests(x).withColumnRenamed("now", "us")
+    s = Z.apply(feed(x, "closes-requests", close=closes, request=asks), ["sleeve", "symbol"], Z.EntryGate())
+    return I.run_to_table(s, new_folder(x, "out"), new_folder(x, "cp"))
+
+
 @query("t7_quote_throttle", """WITH RECURSIVE q AS MATERIALIZED (SELECT * FROM quotes), c AS (SELECT symbol, CAST(-1 AS BIGINT) AS us, CAST(-9000000000000 AS BIGINT) AS ready FROM q GROUP BY 1
     UNION ALL SELECT c.symbol, n.us, n.us + 3600000000 FROM c, LATERAL (SELECT q.us FROM q WHERE q.symbol = c.symbol AND q.us >= c.ready ORDER BY q.us LIMIT 1) n)
     SELECT q.symbol, q.us, q.bid, q.ask FROM q JOIN c ON c.symbol = q.symbol AND c.us = q.us""", "quotes")

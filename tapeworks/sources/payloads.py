@@ -94,13 +94,14 @@ def funding_rates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("t", F.floor(sec).cast("bigint")).withColumn("rate", rel).where("t is not null and rate is not null")
 
 
-def priors(results: DataFrame, strategy_key: str, value: str = "value") -> DataFrame:
-    """Out-of-sample priors of one strategy (``family@tfm``) per symbol and per symbol and regime."""
+def priors(results: DataFrame, strategy_key: str | None = None, value: str = "value") -> DataFrame:
+    """Out-of-sample priors per strategy (``family@tfm``), symbol, and symbol and regime; of one strategy if asked for."""
     r = results.select(F.from_json(value, schemas.STUDY_RESULT).alias("r")).select("r.*")
-    r = r.where(F.concat(F.col("family"), F.lit("@"), F.col("tf").cast("string"), F.lit("m")) == strategy_key).withColumn("symbol", F.upper("symbol"))
-    a = r.select(F.col("symbol").alias("key"), "oos.*")
-    b = r.select("symbol", F.explode("oos_by_regime").alias("regime", "m")).select(F.concat_ws("|", "symbol", "regime").alias("key"), "m.*")
-    return a.unionByName(b).where("trades > 0").select("key", F.col("trades").alias("n"), F.col("avg_net_bps").alias("bps"))
+    r = r.withColumns({"strategy": F.concat(F.col("family"), F.lit("@"), F.col("tf").cast("string"), F.lit("m")), "symbol": F.upper("symbol")})
+    r = r if strategy_key is None else r.where(F.col("strategy") == strategy_key)
+    a = r.select("strategy", F.col("symbol").alias("key"), "oos.*")
+    b = r.select("strategy", "symbol", F.explode("oos_by_regime").alias("regime", "m")).select("strategy", F.concat_ws("|", "symbol", "regime").alias("key"), "m.*")
+    return a.unionByName(b).where("trades > 0").select("strategy", "key", F.col("trades").alias("n"), F.col("avg_net_bps").alias("bps"))
 
 
 def log_state(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -1,8 +1,11 @@
 """The tick and quote store: text day files in, partitioned parquet out."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,23 +16,95 @@ TICK_FIELDS = ("trade_id", "ts", "price", "qty", "side", "ord_type")
 QUOTE_FIELDS = ("ts", "bid", "ask")
 
 
+LINES = "symbol string, value string, file string, part bigint, line bigint, torn boolean, unread bigint"
+
+
+def _unzipped(chunks: bytes, piece: int = 1 << 20) -> Iterator[tuple[bytes, int]]:
+    """What the gzip members of a file hold, piece by piece; in the end, how many compressed bytes belong to a member without an end."""
+    at, began, member = 0, 0, zlib.decompressobj(31)
+    while at < len(chunks):
+        try:
+            out = member.decompress(chunks[at:at + piece])
+        except zlib.error:
+            break
+        at = min(at + piece, len(chunks))
+        if out:
+            yield out, 0
+        if member.eof:
+            at = began = at - len(member.unused_data)
+            member = zlib.decompressobj(31)
+    if began < len(chunks):  # the last member has no end
+        yield b"", len(chunks) - began
+
+
+def _gzip_lines(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Numbered lines of gzip files up to where each can be read, and one row per file without a value that says how it ended."""
+    def batch(symbol, file, values, first, torn=None, unread=None):
+        n = len(values)
+        return pa.RecordBatch.from_arrays([pa.array([symbol] * n, pa.string()), pa.array(values, pa.string()), pa.array([file] * n, pa.string()), pa.array([0] * n, pa.int64()),
+                                           pa.array(range(first, first + n), pa.int64()), pa.array([torn] * n, pa.bool_()), pa.array([unread] * n, pa.int64())],
+                                          names=["symbol", "value", "file", "part", "line", "torn", "unread"])
+    for b in batches:
+        for symbol, path, content in zip(*(b.column(k) for k in range(3))):
+            symbol, file, done, tail, unread = symbol.as_py(), path.as_py().rsplit("/", 1)[-1], 0, b"", 0
+            for out, lost in _unzipped(content.as_py()):
+                unread += lost
+                *lines, tail = (tail + out).split(b"\n")
+                for k in range(0, len(lines), rows):
+                    part = [x.decode("utf-8", "replace").rstrip("\r") for x in lines[k:k + rows]]
+                    yield batch(symbol, file, part, done)
+                    done += len(part)
+            if tail:
+                yield batch(symbol, file, [tail.decode("utf-8", "replace")], done)
+                done += 1
+            yield batch(symbol, file, [None], done, unread > 0, unread)
+
+
+def day_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of all day files with their place, and per gzip file a row that tells whether it is torn.
+
+    A gzip file cannot be split, so one task reads one: it yields what the members hold up
+    to the tear, and nothing is skipped in silence. Plain files are read in splits; one
+    that cannot be read is an error.
+    """
+    files = spark.read.format("binaryFile").load(root)
+    zipped = F.col("path").endswith(".gz")
+    out = files.where(zipped).select(F.col("symbol").cast("string"), "path", "content").mapInArrow(_gzip_lines, LINES)
+    if files.where(~zipped).select("path").limit(1).count():
+        plain = spark.read.option("basePath", root).option("pathGlobFilter", "*[!z]").text(root)
+        out = out.unionByName(plain.select(F.col("symbol").cast("string"), "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("part"),
+                                           F.monotonically_increasing_id().alias("line"), F.lit(False).alias("torn"), F.lit(0).cast("long").alias("unread")))
+    return out
+
+
 def _read_lines(spark: SparkSession, root: str, fields: Sequence[str]) -> DataFrame:
     """Split day files (plain or gzip) into text fields, with the line's place in the store.
 
     Lines with too many fields are skipped and short ones padded with NULL.
-    A cut gzip member yields the lines before the cut.
+    A cut gzip member yields the lines before the cut; ``damage`` reports it.
     """
-    lines = (spark.read.option("ignoreCorruptFiles", "true").option("basePath", root).text(root)
-             .select("symbol", "value",
-                     F.struct(F.col("_metadata.file_name").alias("file"),
-                              F.col("_metadata.file_block_start").alias("part"),
-                              F.monotonically_increasing_id().alias("line")).alias("place")))
+    lines = day_lines(spark, root).where("value is not null").select("symbol", "value", F.struct("file", "part", "line").alias("place"))
     parts = F.split("value", ",")
     return (lines.where(F.size(parts) <= len(fields))
             .select("symbol", "place", *[F.when(F.size(parts) > n, parts.getItem(n)).alias(f)
                                          for n, f in enumerate(fields)]))
 
 
+def damage(spark: SparkSession, root: str, fields: Sequence[str] = TICK_FIELDS, texts: Sequence[str] = ("side", "ord_type")) -> DataFrame:
+    """Per file of the store: lines, how many of them are headers or damaged, whether it is torn, and the compressed bytes of its member without an end.
+
+    A damaged line has the wrong number of fields, or a number that is none.
+    """
+    parts = F.split("value", ",")
+    number = [F.coalesce(F.get(parts, k).try_cast("double").isNotNull(), F.lit(False)) for k, f in enumerate(fields) if f not in texts]
+    head = F.col("value") == ",".join(fields)
+    good = reduce(lambda a, b: a & b, number, F.size(parts) == len(fields))
+    lines = day_lines(spark, root)
+    return lines.groupBy("symbol", "file").agg(
+        F.count("value").alias("lines"), F.count_if(head).alias("headers"), F.count_if(F.col("value").isNotNull() & ~head & ~good).alias("damaged"),
+        F.coalesce(F.max("torn"), F.lit(False)).alias("torn"), F.coalesce(F.max("unread"), F.lit(0)).alias("unread_bytes"))
+
+
 def _seconds_to_ts(seconds):
     us = F.round(seconds * 1_000_000).cast("long")
     return F.timestamp_add("MICROSECOND", us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))

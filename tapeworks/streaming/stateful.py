@@ -172,6 +172,59 @@ class BenchGate(StatefulProcessor):
         pass
 
 
+class EntryGate(BenchGate):
+    """Verdict on each entry request from two levels of state: the symbol's closed trades and those of the request's regime.
+
+    Rows are closed trades (``kind`` 'close') and requests ('request') in time order, closes
+    first. Per level: the last ``window`` results, the number of closes, and the current bench.
+    """
+    output = "id bigint, now bigint, allow boolean, size_mult double, state string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.levels = handle.getMapState("levels", "scope string", "bps array<double>, closed bigint, until bigint, at bigint")
+
+    def judge(self, level: list, now: int) -> tuple[bool, float, str]:
+        """May start or lift the level's bench."""
+        xs, closed, until, at = level
+        if until is not None:
+            if now < until:
+                return False, 0.0, "benched"
+            if closed <= at:
+                return True, 0.5, "probation"
+        upper = self.upper(xs)
+        if len(xs) >= self.min_sample and upper is not None and upper < 0:
+            level[2:] = now + self.bench_s, closed
+            return False, 0.0, "benched"
+        level[2:] = None, None
+        mean = sum(xs) / len(xs) if xs else None
+        return (True, 1.0, "neutral") if mean is None else (True, 0.5, "negative") if mean < 0 else (True, 0.75, "weak") if mean < 25 else (True, 1.0, "ok")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out, levels = [], {}
+
+        def of(scope: str) -> list:
+            if scope not in levels:
+                held = self.levels.getValue((scope,)) if self.levels.containsKey((scope,)) else ([], 0, None, None)
+                levels[scope] = [list(held[0]), *held[1:]]
+            return levels[scope]
+
+        for r in _rows(rows, ["us", "kind", "id"]).itertuples():
+            if r.kind == "close":
+                for scope in ("", r.regime)[:1 + (r.regime is not None)]:
+                    level = of(scope)
+                    level[0], level[1] = (level[0] + [float(r.net_bps)])[-self.window:], level[1] + 1
+                continue
+            s = g = self.judge(of(""), int(r.us))
+            if r.regime is not None:
+                g = self.judge(of(r.regime), int(r.us))
+            if not g[0] or s[0] and g[1] < s[1]:
+                s = s[0] and g[0], min(s[1], g[1]) if s[0] and g[0] else 0.0, g[2]
+            out.append((int(r.id), int(r.us), *s))
+        for scope, level in levels.items():
+            self.levels.updateValue((scope,), tuple(level))
+        yield pd.DataFrame(out, columns=["id", "now", "allow", "size_mult", "state"])
+
+
 class FeedWatch(StatefulProcessor):
     """Heartbeats per feed; a timer reports a feed that has gone quiet."""
     output = "symbol string, status string, last_us bigint"
