@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import WordHashes, only, per_row, settle, shingle_hashes, text_bytes, without
+from tapeworks.llm.common import only, per_row, settle, shingle_hashes, text_bytes, without, word_hashes
 from tapeworks.llm.components import components
 
 SKETCH, RUNS, CELL, BROADCAST = 64, 20, 1024, 16 << 20
@@ -51,14 +51,10 @@ _READ = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()
 _SETS = pa.schema([("doc_id", pa.int64()), ("set_hash", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
 
-def _hashes(made: dict = {}) -> WordHashes:  # noqa: B006  one per worker
-    return made.setdefault("words", WordHashes())
-
-
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct 63-bit hashes of the shingles."""
     words = text_bytes(text).lower().split()
-    return np.unique(shingle_hashes(_hashes().of(words), width) >> np.uint64(1)) if words else np.empty(0, np.uint64)
+    return np.unique(shingle_hashes(word_hashes(words), width) >> np.uint64(1)) if words else np.empty(0, np.uint64)
 
 
 def _digest(shingles: np.ndarray) -> bytes | None:

@@ -38,21 +38,9 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered up to a bound."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-    def of(self, words: Sequence[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: Sequence[bytes]) -> np.ndarray:
+    """64-bit hash of each word. Nothing is remembered: a worker's memory does not grow with the words it has met."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +74,7 @@ def per_row(fn: Callable[[dict], tuple], schema: pa.Schema, rows: int = 512):
                 made = [fn(row) for row in part.to_pylist()]
                 columns = zip(*made) if made else [()] * len(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        pa.default_memory_pool().release_unused()  # workers live on: what this task freed goes back
     return run
 
 

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import WordHashes, mix, settle, text_bytes
+from tapeworks.llm.common import mix, settle, text_bytes, word_hashes
 
 K, TAIL = 5, 0.5
 END, START = np.uint64(0), np.uint64(1)
@@ -107,17 +107,13 @@ class Unigrams:
         return np.where(counts > 0, kept / max(self.tokens, 1), self.unknown)
 
 
-def _word_hashes(made: dict = {}) -> WordHashes:  # noqa: B006  one per worker
-    return made.setdefault("words", WordHashes())
-
-
 def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bool, np.ndarray]]]:
     """Lists of (doc_id, train, word hashes), about ``BATCH`` words each."""
-    out, n, hashes = [], 0, _word_hashes()
+    out, n = [], 0
     for batch in rows:
         for at in range(0, batch.num_rows, 512):
             for r in batch.slice(at, 512).to_pylist():
-                words = hashes.of(text_bytes(r["text"]).lower().split()) & MASK
+                words = word_hashes(text_bytes(r["text"]).lower().split()) & MASK
                 out.append((r["doc_id"], r["train"], words))
                 n += len(words) + 8
                 if n >= BATCH or len(out) >= 60_000:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import WordHashes, only, per_row, settle, shingle_hashes, text_bytes, without
+from tapeworks.llm.common import only, per_row, settle, shingle_hashes, text_bytes, without, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -43,7 +43,7 @@ def repeat_words(words: list[bytes]) -> int:
     if n < 2:
         return 0
     if len(words) > LONG:
-        _, inverse, counts = np.unique(shingle_hashes(WordHashes().of(words), WINDOW), return_inverse=True, return_counts=True)
+        _, inverse, counts = np.unique(shingle_hashes(word_hashes(words), WINDOW), return_inverse=True, return_counts=True)
         starts = np.flatnonzero(counts[inverse] > 1)
     else:
         windows = list(zip(*(words[k:] for k in range(WINDOW))))
