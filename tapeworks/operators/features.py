@@ -17,7 +17,7 @@ from tapeworks.operators.scan import linear_scan, ordinals, running, with_halo
 from tapeworks.session import pin
 
 SERIES = ("symbol", "tf")
-SCAN_ROWS = 128
+SCAN_ROWS = 1024
 FRAME_ROWS = 2048
 SPANS = (20, 50, 80, 100, 200)
 RANK_BARS, RANK_MIN = 200, 50
