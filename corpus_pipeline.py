@@ -44,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("mix", mix)]
 
-#: No SQL for all five: byte-pair vocabularies and Unicode templates are out of its reach. The tests hold run() against brute force.
+#: No SQL for all five: byte-pair vocabularies and Unicode templates are out of its reach. The tests hold run() against its operators, one after the other; each operator is held against brute force on its own.
 ORACLE_SQL = None
 
 

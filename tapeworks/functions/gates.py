@@ -96,6 +96,31 @@ class RiskLimits:
     min_notional: float = 1.0
 
 
+# Reasons of a risk verdict and of an order size.
+RISK_TEXT = {
+    "exit": "Exit signal approved",
+    "no_entry": "No entry order requested",
+    "daily_loss": "Daily loss circuit breaker is active",
+    "small_account": "Account equity below minimum order notional",
+    "drawdown": "Maximum drawdown circuit breaker is active",
+    "daily_orders": "Daily order limit reached",
+    "cooldown": "Trade cooldown is active",
+    "stop": "Invalid stop distance",
+    "exposure": "Exposure cap reached",
+    "small_order": "Calculated order is below minimum notional",
+    "passed": "Risk checks passed",
+}
+SIZE_TEXT = {
+    "price": "invalid price",
+    "notional": "invalid notional",
+    "no_price": "price rounds to zero",
+    "no_volume": "volume rounds to zero",
+    "min_volume": "below minimum volume",
+    "min_cost": "below minimum cost",
+    "min_notional": "below configured minimum",
+}
+
+
 def entry_risk(action: Column, price: Column, stop: Column, equity: Column, peak: Column, pnl_today: Column, orders_today: Column,
                last_order_s: Column, exposure: Column, now_s: float | Column, limits: RiskLimits = RiskLimits()) -> Column:
     """Approval, reason, notional and planned loss of an entry; sells are always approved.
@@ -111,16 +136,16 @@ def entry_risk(action: Column, price: Column, stop: Column, equity: Column, peak
     size = F.least(eq * m.risk_per_trade / stop_frac, eq * m.max_position, eq)
     size = F.when(exposure + size > cap, F.greatest(cap - exposure, F.lit(0.0))).otherwise(size)
     now = now_s if isinstance(now_s, Column) else F.lit(now_s)
-    why = (F.when(action == "SELL", "Exit signal approved").when(action != "BUY", "No entry order requested")
-           .when(pnl_today <= -(eq * m.max_daily_loss), "Daily loss circuit breaker is active")
-           .when(eq < m.min_notional, "Account equity below minimum order notional")
-           .when(draw >= m.max_drawdown, "Maximum drawdown circuit breaker is active")
-           .when((F.lit(m.max_orders_per_day) > 0) & (orders_today >= m.max_orders_per_day), "Daily order limit reached")
-           .when(known(now < last_order_s + m.cooldown_minutes * 60), "Trade cooldown is active")
-           .when(stop.isNull() | (price <= stop), "Invalid stop distance").when(exposure >= cap, "Exposure cap reached")
-           .when(size < m.min_notional, "Calculated order is below minimum notional").otherwise("Risk checks passed"))
-    ok = why.isin("Exit signal approved", "Risk checks passed")
-    sized = why == "Risk checks passed"
+    why = (F.when(action == "SELL", RISK_TEXT["exit"]).when(action != "BUY", RISK_TEXT["no_entry"])
+           .when(pnl_today <= -(eq * m.max_daily_loss), RISK_TEXT["daily_loss"])
+           .when(eq < m.min_notional, RISK_TEXT["small_account"])
+           .when(draw >= m.max_drawdown, RISK_TEXT["drawdown"])
+           .when((F.lit(m.max_orders_per_day) > 0) & (orders_today >= m.max_orders_per_day), RISK_TEXT["daily_orders"])
+           .when(known(now < last_order_s + m.cooldown_minutes * 60), RISK_TEXT["cooldown"])
+           .when(stop.isNull() | (price <= stop), RISK_TEXT["stop"]).when(exposure >= cap, RISK_TEXT["exposure"])
+           .when(size < m.min_notional, RISK_TEXT["small_order"]).otherwise(RISK_TEXT["passed"]))
+    ok = why.isin(RISK_TEXT["exit"], RISK_TEXT["passed"])
+    sized = why == RISK_TEXT["passed"]
     return F.struct(ok.alias("approved"), why.alias("reason"), F.when(sized, F.round(size, 2)).alias("notional"),
                     F.when(sized, F.round(size * stop_frac, 2)).alias("planned_loss"))
 
@@ -138,8 +163,8 @@ def size_order(notional: Column, price: Column, lot_decimals: Column, pair_decim
     px, n = dec(price), dec(notional)
     vol = cut(F.try_divide(n, px), lot_decimals)
     out_px, cost = cut(px, pair_decimals), vol * px
-    why = (F.when(px <= 0, "invalid price").when(n <= 0, "invalid notional").when(out_px <= 0, "price rounds to zero").when(vol <= 0, "volume rounds to zero")
-           .when((order_min > 0) & (vol < order_min), "below minimum volume").when((cost_min > 0) & (cost < cost_min), "below minimum cost")
-           .when((F.lit(min_notional) > 0) & (cost < min_notional), "below configured minimum").otherwise("ok"))
+    why = (F.when(px <= 0, SIZE_TEXT["price"]).when(n <= 0, SIZE_TEXT["notional"]).when(out_px <= 0, SIZE_TEXT["no_price"]).when(vol <= 0, SIZE_TEXT["no_volume"])
+           .when((order_min > 0) & (vol < order_min), SIZE_TEXT["min_volume"]).when((cost_min > 0) & (cost < cost_min), SIZE_TEXT["min_cost"])
+           .when((F.lit(min_notional) > 0) & (cost < min_notional), SIZE_TEXT["min_notional"]).otherwise("ok"))
     ok = why == "ok"
     return F.struct(ok.alias("ok"), why.alias("reason"), F.when(ok, vol.cast("double")).alias("volume"), F.when(ok, out_px.cast("double")).alias("price"), F.when(ok, cost.cast("double")).alias("notional"))

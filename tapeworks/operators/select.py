@@ -33,8 +33,9 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, name: str, q:
         open_ = state.where("_lo < _hi").withColumnsRenamed({k: f"_{k}_" for k in keys})
         open_ = F.broadcast(open_) if groups <= max_broadcast else open_
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys], F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        half = lambda a, b: F.col(a) / 2 - F.col(b) / 2  # noqa: E731  so that the width of a range cannot overflow
-        bin_ = F.least(F.lit(bins - 1), F.floor(half("_v", "_lo") / half("_hi", "_lo") * bins))
+        finite = lambda c: F.greatest(F.lit(-1.7e308), F.least(F.lit(1.7e308), F.col(c))) / 2  # noqa: E731  halves, so that the width of a range cannot overflow
+        part = (finite("_v") - finite("_lo")) / (finite("_hi") - finite("_lo"))
+        bin_ = F.when(F.col("_v") <= F.col("_lo"), 0).when(F.col("_v") >= F.col("_hi"), bins - 1).otherwise(F.least(F.lit(bins - 1), F.floor(part * bins)))
         by = [*keys, "_n", "_k", "_rank"]
         counts = rows.join(open_, same).groupBy(*by, bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         upto = F.sum("_c").over(Window.partitionBy(*keys, "_k").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))

@@ -220,6 +220,28 @@ def signal(action, score, reason, stop=None) -> Column:
                     s(stop, "double").alias("stop_price"))
 
 
+# What decisions say.
+TEXT = {
+    "no_atr": "ATR unavailable",
+    "below_ema": "Price closed below slow trend EMA",
+    "above_ema": "Position remains above slow trend EMA",
+    "sit_out": "ADX sit-out: chop (adx=",
+    "not_in_band": "Filters failed: momentum",
+    "counter_trend": "Momentum blocked: counter-trend",
+    "confirmed": "Momentum confirmed",
+    "at_resistance": " + at resistance",
+    "low_volume": "; low volume (advisory)",
+    "reverted": "Mean reversion complete (rsi=",
+    "holding_dip": "Holding reversion",
+    "dip": "Oversold reversion (rsi=",
+    "no_dip": "Not oversold (rsi=",
+    "profit": "Profit target hit",
+    "loss": "Stop loss hit",
+    "reversing": "Momentum reversing",
+    "drying": "Volume drying up",
+}
+
+
 def momentum_decision(take_profit: float = 0.04, min_edge_bps: float = 100.0, rsi_min: float = 35.0, rsi_max: float = 75.0,
                       min_volume_ratio: float = 1.10, atr_mult: float = 1.5, held: Column | None = None) -> Column:
     """Momentum decision on every bar: gates and a scored buy for a flat book; where ``held``, out below the slow EMA or stay."""
@@ -232,17 +254,17 @@ def momentum_decision(take_profit: float = 0.04, min_edge_bps: float = 100.0, rs
     for part in (above, trend, at_res, busy):
         score = score + F.when(part, 5).otherwise(0)
     adx = F.coalesce(F.format_string("%.1f", F.col("adx")), F.lit("n/a"))
-    note = F.concat(F.lit("Momentum confirmed"), F.when(at_res, " + at resistance").otherwise(""),
-                    F.when(busy, "").otherwise("; low volume (advisory)"),
+    note = F.concat(F.lit(TEXT["confirmed"]), F.when(at_res, TEXT["at_resistance"]).otherwise(""),
+                    F.when(busy, "").otherwise(TEXT["low_volume"]),
                     F.when(F.col("adx").isNotNull(), F.concat(F.lit("; adx="), adx)).otherwise(""))
     held = F.lit(False) if held is None else known(held)
-    return (F.when(known(atr <= 0) | atr.isNull(), signal("WAIT", 0, "ATR unavailable"))
-            .when(held & known(c < F.col("ema50")), signal("SELL", 90, "Price closed below slow trend EMA"))
-            .when(held, signal("WAIT", 60, "Position remains above slow trend EMA"))
-            .when(~F.col("adx_on25"), signal("WAIT", 15, F.concat(F.lit("ADX sit-out: chop (adx="), adx, F.lit(")"))))
+    return (F.when(known(atr <= 0) | atr.isNull(), signal("WAIT", 0, TEXT["no_atr"]))
+            .when(held & known(c < F.col("ema50")), signal("SELL", 90, TEXT["below_ema"]))
+            .when(held, signal("WAIT", 60, TEXT["above_ema"]))
+            .when(~F.col("adx_on25"), signal("WAIT", 15, F.concat(F.lit(TEXT["sit_out"]), adx, F.lit(")"))))
             .when(~edge["ok"], signal("WAIT", 10, edge["reason"]))
-            .when(~in_band, signal("WAIT", score, "Filters failed: momentum"))
-            .when(~above, signal("WAIT", score, "Momentum blocked: counter-trend"))
+            .when(~in_band, signal("WAIT", score, TEXT["not_in_band"]))
+            .when(~above, signal("WAIT", score, TEXT["counter_trend"]))
             .otherwise(signal("BUY", score, note, F.greatest(c - atr * atr_mult, F.lit(0.0)))))
 
 
@@ -253,11 +275,11 @@ def meanrev_decision(oversold: float = 38.0, rsi_exit: float = 55.0, atr_mult: f
     txt = F.format_string("%.0f", F.bround(rsi, 0))
     held = F.lit(False) if held is None else known(held)
     back = F.when(rsi >= rsi_exit, "recovered").otherwise("reclaimed EMA")
-    return (F.when(held & known((rsi >= rsi_exit) | (c >= F.col("ema50"))), signal("SELL", 80, F.concat(F.lit("Mean reversion complete (rsi="), txt, F.lit(" "), back, F.lit(")"))))
-            .when(held, signal("WAIT", 55, "Holding reversion"))
+    return (F.when(held & known((rsi >= rsi_exit) | (c >= F.col("ema50"))), signal("SELL", 80, F.concat(F.lit(TEXT["reverted"]), txt, F.lit(" "), back, F.lit(")"))))
+            .when(held, signal("WAIT", 55, TEXT["holding_dip"]))
             .when((rsi <= oversold) & (c < F.col("ema50")),
-                   signal("BUY", 60, F.concat(F.lit("Oversold reversion (rsi="), txt, F.lit(", below slow EMA)")), F.greatest(c - atr * atr_mult, F.lit(0.0))))
-            .otherwise(signal("WAIT", 10, F.concat(F.lit("Not oversold (rsi="), txt, F.lit(f", oversold<={oversold:.0f})")))))
+                   signal("BUY", 60, F.concat(F.lit(TEXT["dip"]), txt, F.lit(", below slow EMA)")), F.greatest(c - atr * atr_mult, F.lit(0.0))))
+            .otherwise(signal("WAIT", 10, F.concat(F.lit(TEXT["no_dip"]), txt, F.lit(f", oversold<={oversold:.0f})")))))
 
 
 def rotation_decision(entry_price: Column | None = None) -> Column:
@@ -271,15 +293,15 @@ def rotation_decision(entry_price: Column | None = None) -> Column:
     score = F.least(F.lit(95), (mom + boost + F.greatest(F.lit(0.0), 30 - F.abs(rsi - 55)) + 30).cast("int"))
     rising, dipped = known(chg > 0.005), known((rsi < 40) & (chg > -0.02))
     stop = F.round(atr_stop(F.lit("buy"), c, "atr", 1.5, 0.04)[0], 8)
-    flat = (F.when((rising | dipped) & ~known(c > F.col("ema200")), signal("WAIT", 15, "Momentum blocked: counter-trend"))
+    flat = (F.when((rising | dipped) & ~known(c > F.col("ema200")), signal("WAIT", 15, TEXT["counter_trend"]))
             .when(rising, signal("BUY", score, "Momentum", stop)).when(dipped, signal("BUY", 35, "Oversold", stop))
             .otherwise(signal("WAIT", 5, "Waiting")))
     if entry_price is None:
         return flat
     gain = F.coalesce((c - entry_price) / F.when(entry_price > 0, entry_price), F.lit(0.0))
-    held = (F.when(gain >= 0.03, signal("SELL", 90, "Profit target hit")).when(gain <= -0.02, signal("SELL", 95, "Stop loss hit"))
-            .when(known((rsi < 40) & (F.col("prev_rsi_simple") > 50)), signal("SELL", 70, "Momentum reversing"))
-            .when(known(vr < 0.5), signal("SELL", 60, "Volume drying up")).otherwise(signal("WAIT", 50, "Holding")))
+    held = (F.when(gain >= 0.03, signal("SELL", 90, TEXT["profit"])).when(gain <= -0.02, signal("SELL", 95, TEXT["loss"]))
+            .when(known((rsi < 40) & (F.col("prev_rsi_simple") > 50)), signal("SELL", 70, TEXT["reversing"]))
+            .when(known(vr < 0.5), signal("SELL", 60, TEXT["drying"])).otherwise(signal("WAIT", 50, "Holding")))
     return F.when(entry_price.isNotNull(), held).otherwise(flat)
 
 

@@ -110,6 +110,18 @@ def a4(x: Inputs):
     return day_counts(S.read_store(x.spark, root, schemas.TICK)).drop("price_sum")
 
 
+@query("a4_compact_quotes", f"""SELECT symbol, day, CASE WHEN day < '{TODAY}' THEN rows ELSE rows + extra END AS rows, round(bids, 4) AS bids FROM (
+    SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows, count(*) FILTER (event_id % 7 = 0) AS extra, sum(CASE WHEN strftime(ts, '%Y-%m-%d') >= '{TODAY}' AND event_id % 7 = 0 THEN 2 * bid ELSE bid END) AS bids FROM quotes GROUP BY 1, 2)""", "quotes")
+def a4q(x: Inputs):
+    """Quotes by their time; only closed days that were written twice are rewritten."""
+    root, q = new_folder(x, "quotes"), x.quotes()
+    S.append(q.drop("event_id"), root, "ts")
+    S.append(q.where("event_id % 7 = 0").drop("event_id"), root, "ts")
+    S.compact(x.spark, root, schemas.QUOTE, TODAY, "ts")
+    out = S.read_store(x.spark, root, schemas.QUOTE)
+    return out.groupBy("symbol", F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("bid"), 4).alias("bids"))
+
+
 @query("a5_store_ends", """SELECT symbol, min(trade_id) AS first_id, min_by(us, trade_id) AS first_us, max(trade_id) AS last_id,
     max_by(us, trade_id) AS last_us FROM ticks GROUP BY symbol""", "ticks")
 def a5(x: Inputs):

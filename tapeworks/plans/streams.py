@@ -149,10 +149,9 @@ def t6gs(x: Inputs):
     SELECT q.symbol, q.us, q.bid, q.ask FROM q JOIN c ON c.symbol = q.symbol AND c.us = q.us""", "quotes")
 def t7(x: Inputs):
     """At most one quote an hour per symbol, counted from the last one passed."""
-    Z.use_rocksdb(x.spark)
     q = x.quotes().select("symbol", epoch_us("ts").alias("us"), "bid", "ask")
-    s = Z.apply(stream_of(x, q, "us", "quotes"), ["symbol"], Z.QuoteThrottle(3_600_000_000))
-    return I.run_to_table(s, new_folder(x, "out"), new_folder(x, "cp"))
+    tables, out, step = H.quote_throttle(H.HOUR_US)
+    return H.TableStream(x.spark, new_folder(x, "passed"), tables, out).run(stream_of(x, q, "us", "quotes"), new_folder(x, "cp"), step)
 
 
 @query("t8_feed_watch", "SELECT symbol, max(us) AS last_us FROM ticks GROUP BY 1", "ticks")

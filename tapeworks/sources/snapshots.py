@@ -85,7 +85,8 @@ class SnapshotStore:
             return
         manifest = self.manifest(base)
         closed = manifest.where(F.col("day") < before).withColumnRenamed("of", "version")
-        files = self._table("data").join(closed, [*PART, "version"], "left_semi").select(*PART, F.col("_metadata.file_path").alias("f")).distinct()
+        paths = self._table("data").select(*PART, "version", F.col("_metadata.file_path").alias("f"))
+        files = paths.join(closed, [*PART, "version"], "left_semi").distinct()
         many = pin(files.groupBy(*PART).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_files).select(*PART))
         self._write(self._partitions(manifest.join(many, PART, "left_semi")), version)
         self._commit(manifest.join(many, PART, "left_anti").unionByName(many.withColumn("of", F.lit(version).cast("long"))), version)

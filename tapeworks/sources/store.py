@@ -170,11 +170,15 @@ def read_store(spark: SparkSession, root: str, schema: str, days: tuple[str, str
 
 
 def compact(spark: SparkSession, root: str, schema: str, today: str, key: str = "trade_id") -> None:
-    """Rewrite closed days: one row per key, sorted, in few files.
+    """Rewrite closed days that more than one file was written to: one row per key, sorted, in few files.
 
-    The new days are staged first, then replace exactly their own partitions.
+    A day of one file was compacted before, or written once, and keeps its file. The new
+    days are staged first, then replace exactly their own partitions.
     """
-    closed = read_store(spark, root, schema).where(F.col("day") < today)
+    stored = read_store(spark, root, schema).where(F.col("day") < today)
+    files = stored.select("symbol", "day", F.col("_metadata.file_path").alias("f")).distinct()
+    many = pin(files.groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("symbol", "day"))
+    closed = stored.join(many, ["symbol", "day"], "left_semi").select(stored.columns)
     rest = [c for c in closed.columns if c not in ("symbol", "day", key)]
     staged = pin(closed.groupBy("symbol", "day", key).agg(F.min(F.struct(*rest)).alias("_r"))
                  .select("symbol", "day", key, *[F.col(f"_r.{c}") for c in rest]))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.operators.asof import asof_join
 from tapeworks.operators.levels import first_fall, first_hit
-from tapeworks.operators.scan import range_blocks, running
+from tapeworks.operators.scan import greedy_chain, range_blocks, running
 from tapeworks.session import pin
 from tapeworks.streaming.ingest import run
 
@@ -80,6 +80,21 @@ def _none(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+# ---- quotes --------------------------------------------------------------------------------
+
+
+def quote_throttle(every_us: int) -> tuple[dict[str, str], str, Step]:
+    """Passes a quote of a symbol when ``every_us`` have gone by since the last one passed: a greedy chain from batch to batch."""
+    def step(batch: DataFrame, was: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+        quotes = batch.select("symbol", "us", "bid", "ask").join(was["passed"], "symbol", "left")
+        free = quotes.where(F.col("last_us").isNull() | (F.col("us") >= F.col("last_us") + every_us)).drop("last_us")
+        blocks = range_blocks(free.withColumn("ready", F.col("us") + every_us), ["symbol"], ["us", "bid", "ask"])
+        out = pin(greedy_chain(blocks, ["symbol"], "blk", "us", "ready", ["bid", "ask"]).where("accepted").select("symbol", "us", "bid", "ask"))
+        last = was["passed"].unionByName(out.select("symbol", F.col("us").alias("last_us"))).groupBy("symbol").agg(F.max("last_us").alias("last_us"))
+        return {"passed": last}, out
+    return {"passed": "symbol string, last_us bigint"}, "symbol string, us bigint, bid double, ask double", step
+
+
 # ---- resting limit orders ------------------------------------------------------------------
 
 ORDERS = "order_id string, symbol string, limit_px double, placed_us bigint, expires_us bigint, filled_us bigint"

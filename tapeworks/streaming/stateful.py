@@ -67,67 +67,6 @@ class GapFinder(StatefulProcessor):
         pass
 
 
-class QuoteThrottle(StatefulProcessor):
-    """Passes a quote only when enough time has gone by since the last one it passed."""
-    output = "symbol string, us bigint, bid double, ask double"
-
-    def __init__(self, every_us: int = 5_000_000) -> None:
-        self.every = every_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for r in _rows(rows, ["us"]).itertuples():
-            if last is None or int(r.us) - last >= self.every:
-                last = int(r.us)
-                out.append((key[0], last, float(r.bid), float(r.ask)))
-        if last is not None:
-            self.last.update((last,))
-        yield pd.DataFrame(out, columns=["symbol", "us", "bid", "ask"])
-
-    def close(self) -> None:
-        pass
-
-
-class ExitAlert(StatefulProcessor):
-    """One alert per position: stop, then target, then an armed ATR trail.
-
-    The trail is tested before the peak moves, so the print that arms it cannot
-    trigger it.  State outlives a restart.
-    """
-    output = "position_id string, reason string, us bigint, price double"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("trail", "peak double, done boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        peak, done = self.state.get() if self.state.exists() else (None, False)
-        out = []
-        if not done:
-            for r in _rows(rows, ["us", "trade_id"]).itertuples():
-                px = float(r.price)
-                if px <= 0:
-                    continue
-                peak = float(r.entry) if peak is None else peak
-                armed = r.atr > 0 and peak - r.entry + 1e-12 >= r.activate_atr * r.atr
-                why = ("stop" if pd.notna(r.stop) and px <= r.stop else "target" if pd.notna(r.target) and px >= r.target
-                       else "trail" if armed and px <= peak - r.trail_atr * r.atr else None)
-                if why:
-                    out.append((key[0], why, int(r.us), px))
-                    done = True
-                    break
-                peak = max(peak, px)
-        if peak is not None:
-            self.state.update((peak, done))
-        yield pd.DataFrame(out, columns=["position_id", "reason", "us", "price"])
-
-    def close(self) -> None:
-        pass
-
-
 class BenchGate(StatefulProcessor):
     """Verdict after each closed trade of a key: benched for a time when the rolling upper bound is below zero.
 
@@ -252,30 +191,6 @@ class FeedWatch(StatefulProcessor):
         pass
 
 
-class FundingAccrual(StatefulProcessor):
-    """Funding of an open position in whole hours between the rate prints it sees."""
-    output = "position_id string, us bigint, hours bigint, cash double"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.since = handle.getValueState("since", "us bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        since, out = (self.since.get()[0] if self.since.exists() else None), []
-        for r in _rows(rows, ["us"]).itertuples():
-            since = int(r.opened_us) if since is None else since
-            hours = (int(r.us) - since) // 3_600_000_000
-            if hours >= 1:
-                sign = 1.0 if r.side == "short" else -1.0
-                out.append((key[0], int(r.us), hours, sign * float(r.rate) * abs(float(r.notional)) * hours))
-                since += hours * 3_600_000_000
-        if since is not None:
-            self.since.update((since,))
-        yield pd.DataFrame(out, columns=["position_id", "us", "hours", "cash"])
-
-    def close(self) -> None:
-        pass
-
-
 def apply(stream: DataFrame, keys: list[str], processor: StatefulProcessor, mode: str = "append", time_mode: str = "none") -> DataFrame:
     """Run a processor per key."""
     return stream.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.output, outputMode=mode, timeMode=time_mode)
