@@ -25,10 +25,8 @@ OP10 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS hos
     filled AS (SELECT rid, host, l, len(regexp_extract_all(l, {W})) AS n FROM lines WHERE regexp_matches(l, {W})),
     dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM filled GROUP BY 1),
     nl AS (SELECT rid, host, array_to_string(regexp_extract_all(regexp_replace({LOW}, '[1-9]', '0', 'g'), {W}), ' ') AS k, sum(n) AS words FROM filled GROUP BY 1, 2, 3),
-    h AS (SELECT *, substr(md5(k), 1, 16) AS x FROM nl), h1 AS (SELECT *, min(x) OVER (PARTITION BY rid) AS m1 FROM h),
-    h2 AS (SELECT *, min(CASE WHEN x > m1 THEN x END) OVER (PARTITION BY rid) AS m2 FROM h1),
-    c AS (SELECT host, k, CASE WHEN x = m1 THEN coalesce(m2, '') ELSE m1 END AS mark, count(*) AS n FROM h2 GROUP BY 1, 2, 3),
-    b AS (SELECT host, k FROM c GROUP BY 1, 2 HAVING sum(n) > 20 AND max(n) <= 0.5 * sum(n)),
+    pg AS (SELECT rid, md5(string_agg(k, chr(10) ORDER BY k)) AS page FROM nl GROUP BY 1),
+    b AS (SELECT host, k FROM nl JOIN pg USING (rid) GROUP BY 1, 2 HAVING count(DISTINCT page) > 20),
     hit AS (SELECT rid, count(*) AS nb, sum(words) AS bw FROM nl JOIN b ON nl.host IS NOT DISTINCT FROM b.host AND nl.k = b.k GROUP BY 1),
     o AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(length(array_to_string(ws, '')), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
       coalesce(dup.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words, coalesce(nb, 0) AS n_boilerplate, coalesce(bw, 0) AS boilerplate_words
