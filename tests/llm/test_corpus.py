@@ -339,7 +339,7 @@ def test_pipeline(spark, sf):
 
 def test_queries_are_registered():
     import __spark_entry__ as entry
-    assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and len(queries.QUERIES) == 13
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
