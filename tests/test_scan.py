@@ -86,3 +86,17 @@ def test_greedy_chain_is_the_sequential_walk(spark, gap):
     df = spark.createDataFrame(rows, "k string, s long, r long").withColumn("blk", scan.block_no("s", 64))
     got = {(r.k, r.s): r.accepted for r in scan.greedy_chain(df, ["k"], "blk", "s", "r").collect()}
     assert got == want
+
+
+def test_composed_maps_over_more_levels_than_two(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, i, float(a), float(b)) for k, n in (("hot", 150), ("cold", 3)) for i, (a, b) in enumerate(rng.uniform(-1, 1, (n, 2)))]
+    df = spark.createDataFrame(rows, "k string, n long, a double, b double").withColumn("blk", scan.block_no("n", 4))
+    affine = lambda p, q: F.struct((p["a"] * q["a"]).alias("a"), (q["a"] * p["b"] + q["b"]).alias("b"))
+    out = scan.compose_scan(df, ["k"], "blk", ["n"], F.struct("a", "b"), affine, "m", 4)  # 38 blocks, 10 groups, 3 groups of groups, 1
+    got = {(r.k, r.n): r.m.b for r in out.collect()}
+    assert set(out.columns) == {*df.columns, "m"} and len(got) == len(rows)
+    state = {}
+    for k, n, a, b in rows:
+        state[k] = a * state.get(k, 0.0) + b
+        assert got[k, n] == pytest.approx(state[k], abs=1e-12)
