@@ -48,6 +48,25 @@ def test_lots_over_many_blocks(spark, monkeypatch):
         assert (r.held, r.basis, r.entry_price) == pytest.approx(books[sym])
 
 
+def test_lots_and_scales_over_three_levels_of_blocks(spark, monkeypatch):
+    import random
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["buy", "sell"]), float(rng.randint(1, 9)), float(rng.randint(90, 110)), float(rng.randint(-1, 1))) for i in range(90)]
+    df = spark.createDataFrame(rows, "n int, side string, vol double, price double, pnl double").withColumns({"symbol": F.lit("hot"), "cost": F.col("vol") * F.col("price"), "fee": F.lit(0.5)})
+    monkeypatch.setattr(B, "MAP_ROWS", 4)
+    avg = {r.n: (r.held, r.basis, r.entry_price) for r in B.average_cost(df.drop("pnl"), ["symbol"], ["n"]).collect()}
+    scale = {r.n: r.risk_scale for r in B.risk_scale(df.select("symbol", "n", "pnl"), ["symbol"], ["n"]).collect()}
+    q, basis, entry, at = 0.0, 0.0, 0.0, 1.0
+    for n, side, vol, px, pnl in rows:
+        if side == "buy":
+            q, basis, entry = q + vol, basis + vol * px + 0.5, (entry * q + vol * px) / (q + vol)
+        else:
+            left = max(0.0, q - vol)
+            q, basis = left, basis * left / q if q else 0.0
+        at = min(2.0, at + 0.15) if pnl > 0 else max(0.5, at - 0.15) if pnl < 0 else at
+        assert avg[n] == pytest.approx((q, basis, entry)) and scale[n] == pytest.approx(at)
+
+
 def test_risk_gate_order(spark):
     one = spark.range(1)
     def gate(action="BUY", price=100.0, stop=95.0, equity=500.0, peak=500.0, today=0.0, last=None, exposure=0.0):
