@@ -23,50 +23,6 @@ def _rows(parts: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(frames).sort_values(order, kind="stable") if frames else pd.DataFrame()
 
 
-class GapFinder(StatefulProcessor):
-    """Follows trade ids per symbol in arrival order: emits a range when ids jump, and again when late trades have filled it.
-
-    What is missing is kept as exact ranges that late ids split, so a replayed id changes nothing.
-    """
-    output = "symbol string, lo bigint, hi bigint, status string, us bigint"
-
-    def __init__(self, order: str = "us") -> None:
-        self.order = order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "id bigint")
-        self.open = handle.getMapState("open", "lo bigint", "hi bigint, first bigint, last bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out, symbol = [], key[0]
-        last = self.last.get()[0] if self.last.exists() else None
-        for r in _rows(rows, [self.order, "trade_id"]).itertuples():
-            tid, us = int(r.trade_id), int(r.us)
-            if last is None or tid == last + 1:
-                last = tid
-            elif tid > last + 1:
-                out.append((symbol, last + 1, tid - 1, "open", us))
-                self.open.updateValue((last + 1,), (tid - 1, last + 1, tid - 1))
-                last = tid
-            else:
-                hit = next(((k, v) for k, v in self.open.iterator() if k[0] <= tid <= v[0]), None)
-                if hit:
-                    (lo,), (hi, first, end) = hit
-                    self.open.removeKey((lo,))
-                    if lo < tid:
-                        self.open.updateValue((lo,), (tid - 1, first, end))
-                    if tid < hi:
-                        self.open.updateValue((tid + 1,), (hi, first, end))
-                    if lo == hi and not any(v[1] == first for _, v in self.open.iterator()):
-                        out.append((symbol, first, end, "filled", us))
-        if last is not None:
-            self.last.update((last,))
-        yield pd.DataFrame(out, columns=["symbol", "lo", "hi", "status", "us"])
-
-    def close(self) -> None:
-        pass
-
-
 class BenchGate(StatefulProcessor):
     """Verdict after each closed trade of a key: benched for a time when the rolling upper bound is below zero.
 
