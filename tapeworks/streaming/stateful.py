@@ -6,6 +6,8 @@ needs the RocksDB state store; ``use_rocksdb`` sets it for a session.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import fsum
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,19 +34,21 @@ class BenchGate(StatefulProcessor):
 
     def __init__(self, window: int = 50, min_sample: int = 30, bench_s: int = 72 * 3600, conf: float = 0.90) -> None:
         self.window, self.min_sample, self.bench_s, self.conf = window, min_sample, bench_s, conf
+        self.quantile: dict[int, float] = {}  # by sample size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", "bps double")
         self.bench = handle.getValueState("bench", "until bigint")
 
     def upper(self, xs: list[float]) -> float | None:
-        from statistics import NormalDist, fmean, stdev
         n = len(xs)
         if n < 2:
             return None
-        z, df = NormalDist().inv_cdf(self.conf), n - 1
-        t = z + (z ** 3 + z) / 4 / df + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96 / df ** 2 + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384 / df ** 3
-        return fmean(xs) + t * stdev(xs) / n ** 0.5
+        if n not in self.quantile:
+            z, df = NormalDist().inv_cdf(self.conf), n - 1
+            self.quantile[n] = z + (z ** 3 + z) / 4 / df + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96 / df ** 2 + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384 / df ** 3
+        mean = fsum(xs) / n
+        return mean + self.quantile[n] * (fsum([(x - mean) ** 2 for x in xs]) / (n - 1) / n) ** 0.5
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         xs = [v[0] for v in self.recent.get()] if self.recent.exists() else []
