@@ -73,9 +73,9 @@ def fifo_pnl(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     """
     inv = inventory(fills, keys, order)
     buy, paid = F.col("side") == "buy", (F.col("vol") * F.col("price")).cast(EXACT)
-    c = running(inv, keys, "blk", order, {
+    c = pin(running(inv, keys, "blk", order, {
         "bought": ("sum", F.when(buy, F.col("vol")).otherwise(0.0)), "spent": ("sum", F.when(buy, paid).otherwise(0).cast(EXACT)),
-        "sold": ("sum", F.col("closed"))})
+        "sold": ("sum", F.col("closed"))}))
     lots = c.where(buy).select(*keys, (F.col("bought") - F.col("vol")).alias("from_unit"), (F.col("spent") - paid).alias("cost0"), "price")
     ends = c.where(~buy & (F.col("closed") > 0)).select(*keys, *order, F.col("closed"), F.col("price").alias("sell_px"),
                                                         F.explode(F.array(F.struct((F.col("sold") - F.col("closed")).alias("x"), F.lit(-1.0).alias("sign")),

@@ -42,6 +42,14 @@ def test_hot_key_is_cut_into_many_blocks(series):
     assert len(sizes) >= 6 and sizes.max() < 0.4 * sizes.sum()
 
 
+def test_range_blocks_stay_bounded_as_the_table_grows(spark, monkeypatch):
+    monkeypatch.setattr(scan, "RANGE_ROWS", 500)
+    for n in (4_000, 16_000):
+        b = scan.range_blocks(spark.range(n).select(F.lit("hot").alias("k"), F.col("id").alias("n")), ["k"], ["n"])
+        sizes = b.groupBy("blk").count().toPandas()["count"]
+        assert sizes.sum() == n and sizes.max() < 1_000
+
+
 def test_ordinals_and_previous(series):
     pdf, df = series
     b = df.withColumn("blk", scan.block_no("n", 10))
