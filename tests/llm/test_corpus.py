@@ -347,3 +347,67 @@ def test_query_matches_sql(spark, sf, name):
     from tests import oracle
     msg, _ = oracle.compare(spark, oracle.connect(sf), sf, queries.QUERIES[name], queries.ORACLES[name])
     assert not msg, msg
+
+
+def test_passage_links_are_counted_for_all_pairs(spark):
+    """Links are those of a search through all pairs of passages, also between two texts that are both linked to a third."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 10 ** 9, n)]
+    docs, w = [], 0
+    for g in range(12):
+        passage = fresh([70, 80, 100, 150][g % 4])
+        for k in range(4 if g else 9):
+            p = list(passage)
+            for at in range(30, len(p), 60) if k % 3 == 1 else ():
+                p[at:at + 1] = [] if k == 4 else fresh(1 + k // 4)
+            docs.append((w, " ".join(fresh(5 * k + 8) + p + fresh(30))))
+            w += 1
+    sets = [compact_windows.shingles(t) for _, t in docs]
+
+    def share(x, y):  # every passage of x that starts and ends in both texts' common part, against every one of y
+        i, j = ([k for k, v in enumerate(a.tolist()) if v in set(b.tolist())] for a, b in ((x, y), (y, x)))
+        if not i or not j:
+            return False
+        x, y = x[max(0, i[0] - 5):i[-1] + 6], y[max(0, j[0] - 5):j[-1] + 6]
+        near = lambda a, b: 1.8 * len(np.intersect1d(a, b)) >= 0.8 * (len(np.unique(a)) + len(np.unique(b)))
+        return any(near(x[a:b], y[a + s:b + e]) for a in range(len(x) - 45) for b in range(a + 46, len(x) + 1) for s in range(-2, 3) for e in range(-2, 3)
+                   if a + s >= 0 and a + s + 46 <= b + e <= len(y))
+
+    want = {d: 0 for d, _ in docs}
+    for a in range(len(docs)):
+        for b in range(a + 1, len(docs)):
+            hit = (a - 9) // 4 == (b - 9) // 4 if a >= 9 else b < 9
+            hit = hit and share(sets[a], sets[b])
+            want[a], want[b] = want[a] + hit, want[b] + hit
+    got = {r.doc_id: r.n_links for r in compact_windows.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and want[0] >= 5
+
+
+def test_passages_are_dealt_into_cells(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    fresh = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 10 ** 9, n))
+    docs = [(i, f"{fresh(9)} {PASSAGE} {fresh(40)}") for i in range(40)]
+    monkeypatch.setattr(compact_windows, "CELL", 7)
+    got = compact_windows.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.class_id, r.n_links, r.spans) for r in got} == {(0, 39, "9:79")}
+
+
+def test_passages_near_the_shortest_are_found():
+    """Passages of 50 to 70 words with up to three words put in, taken out or changed: more than nine of ten that are alike have a key, and all are verified."""
+    rng = np.random.default_rng(13)
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 10 ** 9, n)]
+    alike = keyed = 0
+    while alike < 400:
+        p = fresh(int(rng.integers(50, 71)))
+        q = list(p)
+        for _ in range(int(rng.integers(0, 4))):
+            at = int(rng.integers(0, len(q)))
+            q[at:at + 1] = [[], fresh(1), [q[at], *fresh(1)]][int(rng.integers(0, 3))]
+        a, b = (compact_windows.shingles(" ".join(w)) for w in (p, q))
+        if len(b) < 46 or 1.8 * len(np.intersect1d(a, b)) < 0.8 * (len(a) + len(b)):
+            continue
+        x, y = (compact_windows.shingles(" ".join(w)) for w in (fresh(40) + p + fresh(60), fresh(70) + q + fresh(33)))
+        keys, owner = compact_windows.window_keys([x, y])
+        alike, keyed = alike + 1, keyed + bool(len(np.intersect1d(keys[owner == 0], keys[owner == 1])))
+        assert compact_windows.passages(x, y)
+    assert keyed >= 0.92 * alike
