@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import only, per_row, settle, shingle_hashes, text_bytes, without, word_hashes
+from tapeworks.llm.common import only, packed, per_row, settle, shingle_hashes, text_bytes, without, word_hashes
 from tapeworks.llm.components import components
 
 SKETCH, RUNS, CELL, BROADCAST = 64, 20, 1024, 16 << 20
@@ -84,8 +84,8 @@ def _sides(pairs: DataFrame, values: DataFrame, long: str) -> DataFrame:
     Only nodes of these pairs are taken; they are broadcast if their arrays ``long`` hold up to BROADCAST bytes, else all is shuffled.
     """
     used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    own = settle(values.join(used, "node"))
-    few = 8 * (own.agg(F.sum(F.size(long) + 8)).first()[0] or 0) <= BROADCAST
+    own, seen = packed(values.join(used, "node"), longs=F.sum(F.size(long) + 8))
+    few = 8 * (seen["longs"] or 0) <= BROADCAST
     for x in "ba":
         side = own.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}{x}") for c in own.columns if c != "node"))
         pairs = pairs.join(F.broadcast(side) if few else side, x)
@@ -94,16 +94,16 @@ def _sides(pairs: DataFrame, values: DataFrame, long: str) -> DataFrame:
 
 def _may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and union sketch allow a link."""
-    both = _sides(settle(pairs), nodes.select("node", "n", "sketch"), "sketch").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    both = _sides(packed(pairs)[0], nodes.select("node", "n", "sketch"), "sketch").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     union = F.slice(F.array_sort(F.array_union("sketcha", "sketchb")), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect("sketcha", "sketchb"), F.col("u")))
     return both.withColumn("u", union).where(shared >= estimated(percent) * F.size("u")).select("a", "b")
 
 
-def _full_sets(used: DataFrame, docs: DataFrame, width: int, max_broadcast: int) -> DataFrame:
-    """(node, shingles) of the nodes in ``used`` (node, doc_id, set_hash); only their documents are read again."""
+def _full_sets(used: DataFrame, rows: int, docs: DataFrame, width: int, max_broadcast: int) -> DataFrame:
+    """(node, shingles) of the nodes in ``used`` (node, doc_id, set_hash), so many ``rows``; only their documents are read again."""
     wanted = used.select("doc_id").distinct()
-    wanted = F.broadcast(wanted) if used.count() <= max_broadcast else wanted
+    wanted = F.broadcast(wanted) if rows <= max_broadcast else wanted
 
     def sets(row: dict) -> tuple:
         s = shingle_set(row["text"], width)
@@ -117,10 +117,10 @@ def _full_sets(used: DataFrame, docs: DataFrame, width: int, max_broadcast: int)
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int, max_broadcast: int) -> DataFrame:
     """(a, b, shared, linked) of pairs (a, b), from their full sets."""
-    pairs = settle(pairs)
+    pairs, _ = packed(pairs)
     ids = nodes.select("node", "doc_id", "set_hash")
-    used = settle(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(ids, "node"))
-    full = _full_sets(used, docs, width, max_broadcast).dropDuplicates(["node"])
+    used, seen = packed(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(ids, "node"))
+    full = _full_sets(used, seen["rows"], docs, width, max_broadcast).dropDuplicates(["node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +134,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
                                              names=["a", "b", "shared", "linked"])
 
     both = _sides(pairs, full, "shingles").select("a", "b", "shinglesa", "shinglesb")
-    return settle(both.mapInArrow(compare, "a long, b long, shared long, linked boolean"))
+    return packed(both.mapInArrow(compare, "a long, b long, shared long, linked boolean"))[0]
 
 
 def _open_blocks(members: DataFrame) -> DataFrame:
@@ -148,26 +148,26 @@ def _across(members: DataFrame, nodes: DataFrame, known: DataFrame, docs: DataFr
 
     ``members``: p, node, c of all blocks; ``known``: a, b, shared of pairs compared before.
     """
-    members = settle(_open_blocks(members))
-    used = settle(members.select("node").distinct().join(nodes.select("node", "n", "doc_id", "set_hash"), "node"))
+    members, _ = packed(_open_blocks(members))
+    used, seen = packed(members.select("node").distinct().join(nodes.select("node", "n", "doc_id", "set_hash"), "node"))
     # Equal sets are one node and rows may repeat an id, so a shingle counts once per node.
-    each = _full_sets(used, docs, width, max_broadcast).select("node", F.explode("shingles").alias("s"))
+    each = _full_sets(used, seen["rows"], docs, width, max_broadcast).select("node", F.explode("shingles").alias("s"))
     lone = each.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("most")).where("node = most").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
     alive = used.select("node", "n").join(lone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0))).where((100 - percent) * F.col("n") >= percent * F.col("u"))
-    own = settle(_open_blocks(members.join(alive, "node")))
+    own, _ = packed(_open_blocks(members.join(alive, "node")))
     centre = own.groupBy("p").agg(F.min_by("node", F.struct("u", "node")).alias("q"))
-    own = settle(own.join(centre, "p").select(F.col("q").alias("p"), "node", "n", "u").where("p <> node").distinct()
-                 .withColumns({"a": F.least("p", "node"), "b": F.greatest("p", "node")}))
+    own, _ = packed(own.join(centre, "p").select(F.col("q").alias("p"), "node", "n", "u").where("p <> node").distinct()
+                    .withColumns({"a": F.least("p", "node"), "b": F.greatest("p", "node")}))
     rest = _verified(own.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), nodes, docs, percent, width, max_broadcast)
     known = known.unionByName(rest)
     seen = components(known.where("linked"))
     own = own.join(known.select("a", "b", F.col("shared").alias("near")), ["a", "b"]).drop("a", "b").join(seen, "node", "left")
-    own = settle(_open_blocks(own.withColumn("c", F.coalesce("component", "node")).drop("component")))
+    own, _ = packed(_open_blocks(own.withColumn("c", F.coalesce("component", "node")).drop("component")))
 
     # A node is also measured against the pivot of its largest block, which small blocks beside that one would miss.
     large = own.groupBy("p").agg(F.count(F.lit(1)).alias("m"))
     most = F.max_by(F.struct(F.col("p").alias("home"), F.col("near").alias("from_home")), F.struct("m", "p")).alias("h")
-    own = settle(own.join(own.join(large, "p").groupBy("node").agg(most).select("node", "h.home", "h.from_home"), "node"))
+    own, _ = packed(own.join(own.join(large, "p").groupBy("node").agg(most).select("node", "h.home", "h.from_home"), "node"))
 
     step = math.log(100 / percent)
     own = own.withColumn("cls", F.floor(F.log("n") / step + 1e-9))
@@ -210,16 +210,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     own = only(docs, doc_id=id, text=text)
     read = read_documents(own, width)
     sets = read.where("n > 0").groupBy("set_hash").agg(F.min("rid").alias("node"))
-    of = settle(read.select("rid", "doc_id", "tag", "set_hash", "n").join(sets, "set_hash", "left").select("rid", "doc_id", "tag", "n", "node"))
-    nodes = settle(read.join(of.where("rid = node").select("rid"), "rid", "left_semi").withColumnRenamed("rid", "node"))
+    of, _ = packed(read.select("rid", "doc_id", "tag", "set_hash", "n").join(sets, "set_hash", "left").select("rid", "doc_id", "tag", "n", "node"))
+    nodes, _ = packed(read.join(of.where("rid = node").select("rid"), "rid", "left_semi").withColumnRenamed("rid", "node"))
 
-    lists = settle(nodes.select("node", F.explode("keys").alias("key")))
+    lists = nodes.select("node", F.explode("keys").alias("key"))
     long = lists.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = settle(lists.join(long, "key"))
+    shared, _ = packed(lists.join(long, "key"))
     ranked = shared.join(shared.groupBy("node").agg(F.sum("m").alias("rank")), "node")
     pivots = ranked.groupBy("key").agg(F.max_by("node", F.struct("rank", -F.col("node"))).alias("p"))
-    members = settle(shared.select("key", "node").join(pivots, "key").select("p", "node").distinct())
-    stars = settle(members.where("p <> node").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct())
+    members, _ = packed(shared.select("key", "node").join(pivots, "key").select("p", "node").distinct())
+    stars = members.where("p <> node").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
     known = _verified(_may_link(stars, nodes, percent), nodes, own, percent, width, max_broadcast)
 
     seen = components(known.where("linked"))
@@ -236,11 +236,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
 
 def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each component; all columns stay. Of rows that repeat id and text one stays."""
-    found = settle(near_duplicates(docs, id, text, **options).groupBy("doc_id", "tag").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
+    found = near_duplicates(docs, id, text, **options).groupBy("doc_id", "tag").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    found, seen = packed(found, twice=F.count_if(F.expr("kept AND rows > 1")))
     tag = F.xxhash64(F.col(f"d.`{text}`"))
     twice = found.where("kept AND rows > 1")
     left = without(docs, found.where("NOT kept OR rows > 1"), id, tag)
-    if twice.limit(1).count() == 0:
+    if not seen["twice"]:
         return left
     same = (tag == F.col("m.tag")) & F.col(f"d.`{id}`").eqNullSafe(F.col("m.doc_id"))
     return left.unionByName(docs.alias("d").join(twice.alias("m"), same, "left_semi").dropDuplicates([id, text]))
