@@ -165,33 +165,50 @@ def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.append(starts, n))
 
 
+def _packed(batch: list[tuple[int | None, bool, np.ndarray]], number: int, model: Unigrams, parts: int) -> pa.RecordBatch:
+    """The rows of one batch, which is emptied on the way; its arrays go before the next one is read."""
+    batch.sort(key=lambda d: not d[1])  # training documents first
+    sizes, n_docs, n_train = np.array([len(w) + 1 for _, _, w in batch]), len(batch), sum(t for _, t, _ in batch)
+    ids = np.array([-1 if d is None else d for d, _, _ in batch], np.int64).tobytes() + np.array([d is None for d, _, _ in batch], np.uint8).tobytes()
+    end = np.array([END])
+    word = np.concatenate([x for _, _, w in batch for x in (w, end)])
+    batch.clear()
+    context = np.empty_like(word)
+    context[1:] = word[:-1] & SHORT
+    context[np.cumsum(sizes) - sizes] = START
+    part = (word % np.uint64(parts)).astype(np.uint32)
+    hot = np.flatnonzero(model.is_hot(word))
+    part[hot] = mix(word[hot], context[hot]) % np.uint64(parts)
+    order = np.lexsort((context, word, part))  # stable: equal pairs stay in the order of their documents
+    part, word = part[order], word[order]
+    context = context[order]
+    at = np.repeat(np.arange(n_docs, dtype=np.uint32), sizes)[order]
+    del order, hot
+    s = _runs(part, word, context, at)
+    times = _sizes(s, len(at)).astype(np.uint32)
+    part, word = part[s], word[s]
+    context, at = context[s], at[s]
+    del s
+    edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint32))
+    del part
+    out = []
+    for p in range(parts):
+        a, b = edges[p], edges[p + 1]
+        if a == b and p:
+            continue
+        w, c = word[a:b], context[a:b]
+        pair, first = _runs(w, c), _runs(w)
+        out.append((p, number, n_docs, n_train, ids if p == 0 else None, len(first), len(pair), b - a,
+                    pack(w[first]), pack(_sizes(np.searchsorted(pair, first), len(pair))), pack(c[pair]), pack(_sizes(pair, b - a)), pack(at[a:b]), pack(times[a:b])))
+    return _rows(_PAIRS, out)
+
+
 def pair_table(docs: DataFrame, model: Unigrams, parts: int) -> DataFrame:
     """The packed pairs of every batch of documents, by partition of the word."""
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(_batches(rows)):
-            batch.sort(key=lambda d: not d[1])  # training documents first
-            at = np.repeat(np.arange(len(batch), dtype=np.uint64), [len(w) + 1 for _, _, w in batch])
-            context = np.concatenate([np.append(START, w) for _, _, w in batch]) & SHORT
-            word = np.concatenate([np.append(w, END) for _, _, w in batch])
-            part = word % np.uint64(parts)
-            hot = model.is_hot(word)
-            part[hot] = mix(word[hot], context[hot]) % np.uint64(parts)
-            order = np.lexsort((at, context, word, part))
-            part, word, context, at = part[order], word[order], context[order], at[order]
-            s = _runs(part, word, context, at)
-            times, part, word, context, at = _sizes(s, len(at)), part[s], word[s], context[s], at[s]
-            edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-            ids = np.array([-1 if d is None else d for d, _, _ in batch], np.int64).tobytes() + np.array([d is None for d, _, _ in batch], np.uint8).tobytes()
-            n_train, out = sum(t for _, t, _ in batch), []
-            for p in range(parts):
-                a, b = edges[p], edges[p + 1]
-                if a == b and p:
-                    continue
-                w, c = word[a:b], context[a:b]
-                pair, first = _runs(w, c), _runs(w)
-                out.append((p, (TaskContext.get().partitionId() << 32) + k, len(batch), n_train, ids if p == 0 else None, len(first), len(pair), b - a,
-                            pack(w[first]), pack(_sizes(np.searchsorted(pair, first), len(pair))), pack(c[pair]), pack(_sizes(pair, b - a)), pack(at[a:b]), pack(times[a:b])))
-            yield _rows(_PAIRS, out)
+            yield _packed(batch, (TaskContext.get().partitionId() << 32) + k, model, parts)
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(read, _PAIRS_DDL)
 
@@ -236,18 +253,16 @@ def count_pairs(pairs: DataFrame, model: Unigrams, parts: int) -> DataFrame:
     """What each partition of the pair table knows: rows of kind documents, contexts and unseen."""
     def count(table: pa.Table) -> pa.Table:
         rows = [_Row(table, i) for i in range(table.num_rows)]
-        words, contexts, trained = [], [], []
-        for r in rows:
-            per_word = unpack(r["per_word"], r["n_words"]).astype(np.int64)
-            words.append(np.repeat(unpack(r["words"], r["n_words"]), per_word))
-            contexts.append(unpack(r["contexts"], r["n_pairs"]))
+        edges = np.cumsum([0] + [r["n_pairs"] for r in rows])
+        word, context, n = (np.empty(edges[-1], t) for t in (np.uint64, np.uint64, np.int32))
+        for r, a, b in zip(rows, edges, edges[1:]):
+            word[a:b] = np.repeat(unpack(r["words"], r["n_words"]), unpack(r["per_word"], r["n_words"]).astype(np.int64))
+            context[a:b] = unpack(r["contexts"], r["n_pairs"])
             pair, at, times = held(r)
-            trained.append(np.bincount(pair, times * (at < r["train"]), r["n_pairs"]).astype(np.int32))
-        edges = np.cumsum([0] + [len(w) for w in words])
-        word, context, n = np.concatenate(words), np.concatenate(contexts), np.concatenate(trained)
-        del words, contexts, trained
+            n[a:b] = np.bincount(pair, times * (at < r["train"]), r["n_pairs"])
         order = np.lexsort((context, word)).astype(np.int32)
-        word, context = word[order], context[order]
+        word = word[order]
+        context = context[order]
         s = _runs(word, context)
         of = np.empty(len(order), np.int32)
         of[order] = np.repeat(np.arange(len(s), dtype=np.int32), _sizes(s, len(order)))
@@ -258,18 +273,20 @@ def count_pairs(pairs: DataFrame, model: Unigrams, parts: int) -> DataFrame:
         word_counts = np.add.reduceat(counts, first) if len(first) else counts
         hot = model.is_hot(word[first])
         word_counts[hot] = model.hot_counts[np.searchsorted(model.hot, word[first][hot])]
-        total = np.repeat(word_counts, _sizes(first, len(word)))
-        p = model.p(total)
-        base = np.log10(total + 0.5)
         # All terms of a pair but the discounts and, for unseen ones, what hangs on the context.
-        term = -np.where((total > 0) & (word != END), np.log10(np.maximum(total, 1)), 0.0)
-        term += np.where(counts > K, np.log10(np.maximum(counts - TAIL, TAIL)), 0.0) + np.where(counts == 0, np.log10(p), 0.0)
+        kinds, per_kind = word[first], _sizes(first, len(word))    # a word's numbers are found once, then repeated for its pairs
         del word
+        p, known, base = (np.repeat(x, per_kind) for x in (model.p(word_counts), word_counts > 0, np.log10(word_counts + 0.5)))
+        term = np.repeat(-np.where((word_counts > 0) & (kinds != END), np.log10(np.maximum(word_counts, 1)), 0.0), per_kind)
+        many, none = np.flatnonzero(counts > K), np.flatnonzero(counts == 0)
+        term[many] += np.log10(counts[many] - TAIL)
+        term[none] += np.log10(p[none])
+        del many, none
         out = []
         for i, r in enumerate(rows):
             pair, at, times = held(r)
             g, d = of[edges[i]:edges[i + 1]][pair], r["docs"]
-            ints = [np.bincount(at, times, d), np.bincount(at, times * (total[g] > 0), d)]
+            ints = [np.bincount(at, times, d), np.bincount(at, times * known[g], d)]
             ints += [np.bincount(at, times * (counts[g] == k), d) for k in range(1, K + 1)]
             sums = (np.bincount(at, times * (x[g] + LIFT), d) for x in (base, term))
             sums = np.stack([np.rint(x * UNIT).astype(np.int64) for x in sums])
@@ -288,10 +305,13 @@ def count_pairs(pairs: DataFrame, model: Unigrams, parts: int) -> DataFrame:
             follow += [np.add.reduceat((c > K).astype(np.int64), s), np.add.reduceat((c == K + 1).astype(np.int64), s)]
             follow, mass, v = np.stack(follow, 1), np.add.reduceat(p, s), v[s]
             hot = model.is_hot_context(v)
-            sent = np.stack([_context_part(v, hot, salt, parts) for salt in range(SALT)])
+            sent, cold, warm = [], np.flatnonzero(~hot), np.flatnonzero(hot)
+            salted = np.stack([_context_part(v[warm], hot[warm], salt, parts) for salt in range(SALT)])
             for salt in range(SALT):  # once to each partition that any salt leads to
-                some = np.flatnonzero(~(sent[:salt] == sent[salt]).any(0))
-                for q, x in _by_part(sent[salt][some], parts):
+                some = np.flatnonzero(~(salted[:salt] == salted[salt]).any(0))
+                sent.append((warm[some], salted[salt][some]))
+            for some, q in ((cold, v[cold] % np.uint64(parts)), *sent):
+                for q, x in _by_part(q, parts):
                     x = some[x]
                     out.append(("contexts", q, 0, 0, 0, None, len(x), pack(v[x]), pack(follow[x].ravel()), mass[x].tobytes()))
             sums = follow.sum(0)
@@ -311,9 +331,9 @@ def back_off(found: DataFrame, r: np.ndarray) -> DataFrame:
         rows = table.to_pylist()
         known = [x for x in rows if x["kind"] != "unseen"]
         v = np.concatenate([unpack(x["keys"], x["n"]) for x in known] + [np.empty(0, np.uint64)])
-        follow = np.concatenate([unpack(x["ints"], x["n"] * _FOLLOW).reshape(-1, _FOLLOW) for x in known] + [np.empty((0, _FOLLOW), np.uint64)]).astype(np.float64)
+        follow = (unpack(x["ints"], x["n"] * _FOLLOW).reshape(-1, _FOLLOW).astype(np.float64) for x in known)
+        freed = np.concatenate([f[:, :K] @ (np.arange(1, K + 1) - r[1:]) + f[:, K] * TAIL for f in follow] + [np.empty(0)])
         mass = np.concatenate([np.frombuffer(x["floats"], np.float64) for x in known] + [np.empty(0)])
-        freed = follow[:, :K] @ (np.arange(1, K + 1) - r[1:]) + follow[:, K] * TAIL
         v, of = np.unique(v, return_inverse=True)
         weight = np.log10(np.bincount(of, freed, len(v))) - np.log10(1 - np.bincount(of, mass, len(v))) if len(v) else np.empty(0)
         out = []

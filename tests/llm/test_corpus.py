@@ -2,6 +2,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -117,6 +118,17 @@ def test_katz_against_brute_force(spark, sf):
         assert (g.n_tokens, g.n_known, g.train_tokens) == (len(pairs), sum(b in uni for _, b in pairs), n)
 
 
+def test_katz_packs_a_batch_in_little_memory():
+    rng, model = np.random.default_rng(1), katz.Unigrams(10, 5, [0] * 8, [(int(katz.END), 10)])
+    batch = [(k, k % 5 != 1, rng.integers(2, 50_000, 2000).astype(np.uint64)) for k in range(200)]
+    tracemalloc.start()
+    out = katz._packed(batch, 7, model, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch == [] and out.num_rows == 16
+    assert peak < 80 * 200 * 2001  # bytes a token; the arrays of a whole batch held together took 115
+
+
 def test_edit_counts_equal_full_encoding(hard, spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(hard.select("doc_id", "text"))
     state = edit_counts.build_trees(df).withColumn("edits", edit_counts.spread_edits())
