@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,9 +150,11 @@ def book_summary(marked: DataFrame, cash: float) -> DataFrame:
 
 # ---- reconciliation ----------------------------------------------------------------------
 
-def violation(cond: Column, rule: str, expected: Column, actual: Column) -> Column:
+def violations(*rules: tuple[Column, str, Column, Column]) -> tuple[Column, Column]:
+    """Whether any of the rules (condition, name, expected, actual) is broken, and the broken ones as a list of (rule, expected, actual)."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    return F.when(known(cond), F.struct(F.lit(rule).alias("rule"), text(expected).alias("expected"), text(actual).alias("actual")))
+    found = [F.when(known(c), F.struct(F.lit(rule).alias("rule"), text(e).alias("expected"), text(x).alias("actual"))) for c, rule, e, x in rules]
+    return reduce(Column.__or__, [known(c) for c, *_ in rules]), F.filter(F.array(*found), lambda v: v.isNotNull())
 
 
 def reconcile_orders(orders: DataFrame, fills: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -159,34 +162,43 @@ def reconcile_orders(orders: DataFrame, fills: DataFrame, ledger: DataFrame) ->
 
     ``orders(order_id, symbol, side, vol, cost, fee)``, ``fills(fill_id, order_id, symbol, side, vol, cost, fee)``,
     ``ledger(refid, leg, amount, fee)`` with one ``base`` and one ``quote`` leg per fill.
+
+    Amounts are judged where a fill meets its legs, totals where an order meets its fills in one
+    aggregate; only ids and what was found travel on to the orders. Texts are made for broken rules alone.
     """
     d = lambda c: F.col(c).cast(EXACT)
     legs = ledger.groupBy("refid").agg(
         F.count(F.lit(1)).alias("legs"), F.count_if(F.col("leg") == "base").alias("base_legs"), F.count_if(F.col("leg") == "quote").alias("quote_legs"),
         F.sum(F.when(F.col("leg") == "base", d("amount"))).alias("base_amount"), F.sum(F.when(F.col("leg") == "quote", d("amount"))).alias("quote_amount"),
         F.sum(F.when(F.col("leg") == "base", d("fee"))).alias("base_fee"), F.sum(F.when(F.col("leg") == "quote", d("fee"))).alias("quote_fee"))
-    ids = fills.groupBy("fill_id").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("order_id", "symbol", "side", "vol", "cost", "fee")).alias("f"))
+    # Copies are few: dealing fills out first spares a sort before the exchange.
+    ids = fills.repartition("fill_id").groupBy("fill_id").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("order_id", "symbol", "side", "vol", "cost", "fee")).alias("f"))
     o = orders.select("order_id", F.col("symbol").alias("o_symbol"), F.col("side").alias("o_side"))
-    j = (ids.select("fill_id", "copies", "f.*").join(legs, F.col("fill_id") == F.col("refid"), "full_outer").join(o, "order_id", "left"))
+    j = ids.select("fill_id", "copies", "f.*").join(legs, F.col("fill_id") == F.col("refid"), "full_outer")
     has, sign = F.col("fill_id").isNotNull(), F.when(F.col("side") == "buy", 1).otherwise(-1)
     one_one = (F.col("legs") == 2) & (F.col("base_legs") == 1) & (F.col("quote_legs") == 1)
-    per_fill = F.array(
-        violation(F.col("copies") > 1, "duplicate_fill", F.lit(1), F.col("copies")),
-        violation(has & F.col("o_symbol").isNull(), "fill_without_order", F.col("order_id"), F.lit(None)),
-        violation((F.col("o_symbol") != F.col("symbol")) | (F.col("o_side") != F.col("side")), "fill_attribution", F.concat_ws("/", "o_symbol", "o_side"), F.concat_ws("/", "symbol", "side")),
-        violation(~has, "ledger_without_fill", F.lit(None), F.col("refid")),
-        violation(has & ~known(one_one), "ledger_legs", F.lit(2), F.coalesce("legs", F.lit(0))),
-        violation(has & known(one_one) & (F.col("base_amount") != sign * d("vol")), "base_amount", sign * d("vol"), F.col("base_amount")),
-        violation(has & known(one_one) & (F.col("quote_amount") != -sign * d("cost")), "quote_amount", -sign * d("cost"), F.col("quote_amount")),
-        violation(has & known(one_one) & ((F.col("base_fee") != 0) | (F.col("quote_fee") != d("fee"))), "ledger_fee", d("fee"), F.col("quote_fee")))
-    a = j.select(F.coalesce(F.col("fill_id"), F.col("refid")).alias("key"), F.explode(F.filter(per_fill, lambda v: v.isNotNull())).alias("v"))
-    sums = fills.groupBy("order_id").agg(*[F.sum(d(c)).alias(f"f_{c}") for c in ("vol", "cost", "fee")], F.count(F.lit(1)).alias("n"))
-    t = orders.groupBy("order_id").agg(*[F.max(d(c)).alias(c) for c in ("vol", "cost", "fee")], F.count(F.lit(1)).alias("copies")).join(sums, "order_id", "left")
-    per_order = F.array(
-        violation(F.col("copies") > 1, "duplicate_order", F.lit(1), F.col("copies")),
-        violation(F.col("n").isNull() & (F.col("vol") > 0), "order_without_fills", F.col("vol"), F.lit(None)),
-        *[violation(F.col("n").isNotNull() & (F.col(c) != F.col(f"f_{c}")), f"total_{c}", F.col(c), F.col(f"f_{c}")) for c in ("vol", "cost", "fee")])
-    b = t.select(F.col("order_id").cast("string").alias("key"), F.explode(F.filter(per_order, lambda v: v.isNotNull())).alias("v"))
+    broken, found = violations(
+        (F.col("copies") > 1, "duplicate_fill", F.lit(1), F.col("copies")),
+        (~has, "ledger_without_fill", F.lit(None), F.col("refid")),
+        (has & ~known(one_one), "ledger_legs", F.lit(2), F.coalesce("legs", F.lit(0))),
+        (has & known(one_one) & (F.col("base_amount") != sign * d("vol")), "base_amount", sign * d("vol"), F.col("base_amount")),
+        (has & known(one_one) & (F.col("quote_amount") != -sign * d("cost")), "quote_amount", -sign * d("cost"), F.col("quote_amount")),
+        (has & known(one_one) & ((F.col("base_fee") != 0) | (F.col("quote_fee") != d("fee"))), "ledger_fee", d("fee"), F.col("quote_fee")))
+    j = j.select(F.coalesce("fill_id", "refid").alias("key"), has.alias("has"), "order_id", "symbol", "side", F.when(broken, found).alias("own")).join(o, "order_id", "left")
+    broken, found = violations(
+        (F.col("has") & F.col("o_symbol").isNull(), "fill_without_order", F.col("order_id"), F.lit(None)),
+        ((F.col("o_symbol") != F.col("symbol")) | (F.col("o_side") != F.col("side")), "fill_attribution", F.concat_ws("/", "o_symbol", "o_side"), F.concat_ws("/", "symbol", "side")))
+    a = j.where(F.col("own").isNotNull() | broken).select("key", F.explode(F.when(F.col("own").isNull(), found).otherwise(F.concat("own", found))).alias("v"))
+    amounts, none = ("vol", "cost", "fee"), F.lit(None).cast(EXACT)
+    both = orders.select("order_id", F.lit(True).alias("listed"), *[d(c).alias(c) for c in amounts], *[none.alias(f"f_{c}") for c in amounts]).unionByName(
+        fills.where("order_id IS NOT NULL").select("order_id", F.lit(False).alias("listed"), *[none.alias(c) for c in amounts], *[d(c).alias(f"f_{c}") for c in amounts]))
+    t = both.groupBy("order_id").agg(*[F.max(c).alias(c) for c in amounts], *[F.sum(f"f_{c}").alias(f"f_{c}") for c in amounts],
+                                     F.count_if("listed").alias("copies"), F.count_if(~F.col("listed")).alias("n"))
+    broken, found = violations(
+        (F.col("copies") > 1, "duplicate_order", F.lit(1), F.col("copies")),
+        ((F.col("n") == 0) & (F.col("vol") > 0), "order_without_fills", F.col("vol"), F.lit(None)),
+        *[((F.col("n") > 0) & (F.col(c) != F.col(f"f_{c}")), f"total_{c}", F.col(c), F.col(f"f_{c}")) for c in amounts])
+    b = t.where((F.col("copies") > 0) & broken).select(F.col("order_id").cast("string").alias("key"), F.explode(found).alias("v"))
     return a.select("key", "v.*").unionByName(b.select("key", "v.*"))
 
 

@@ -11,6 +11,7 @@ from tapeworks.operators import book as B
 from tapeworks.operators.scan import block_no, greedy_chain
 from tapeworks.plans.inputs import TABLES, Inputs
 from tapeworks.plans.registry import query
+from tapeworks.session import pin
 
 ORDER = ["ts", "l_orderkey", "l_linenumber"]
 
@@ -129,9 +130,9 @@ def order_book(x: Inputs):
     sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
     legs = F.array(F.struct(F.lit("base").alias("leg"), (sign * F.col("vol")).cast(B.EXACT).alias("amount"), F.lit(0).cast(B.EXACT).alias("fee")),
                    F.when(F.col("l_orderkey") % 107 != 0, F.struct(F.lit("quote").alias("leg"), (-sign * F.col("cost")).cast(B.EXACT).alias("amount"), F.col("fee").cast(B.EXACT).alias("fee"))))
-    led = f.select(F.col("fill_id").alias("refid"), "symbol", "l_orderkey", F.explode(F.filter(legs, lambda v: v.isNotNull())).alias("l")).select("refid", "symbol", "l_orderkey", "l.*")
+    led = f.select(F.col("fill_id").alias("refid"), "symbol", "l_orderkey", F.explode(legs).alias("l")).where("l IS NOT NULL").select("refid", "symbol", "l_orderkey", "l.*")
     led = led.withColumn("amount", F.when((F.col("leg") == "quote") & (F.col("l_orderkey") % 101 == 0), F.col("amount") + 1).otherwise(F.col("amount")))
-    return o, f, led
+    return pin(o), f, led
 
 
 TABLES["rf"] = ("fills", """SELECT l_orderkey || '-' || l_linenumber AS fill_id, l_orderkey || '-' || symbol || '-' || side AS order_id, l_orderkey, symbol, side, CAST(vol AS DECIMAL(28,8)) AS vol,
@@ -153,12 +154,13 @@ def faulty_book(x: Inputs):
     o = f.groupBy("order_id", "symbol", "side", "r").agg(*[F.sum(F.col(c).cast(B.EXACT)).alias(c) for c in ("vol", "cost", "fee")])
     for k, c in ((11, "vol"), (12, "cost"), (13, "fee")):
         o = o.withColumn(c, F.when(r == k, F.col(c) + 1).otherwise(F.col(c)))
-    ghost = o.where("r = 10").withColumn("order_id", F.concat("order_id", F.lit("-ghost")))
-    orders = o.where("r <> 2").withColumn("symbol", F.when(r == 3, "other").otherwise(F.col("symbol"))).withColumn("n", copies(9)).drop("n").unionByName(ghost)
+    listed = (F.when(r == 2, F.array().cast("array<string>")).when(r == 9, F.array("order_id", "order_id"))
+              .when(r == 10, F.array("order_id", F.concat("order_id", F.lit("-ghost")))).otherwise(F.array("order_id")))
+    orders = pin(o.withColumns({"symbol": F.when(r == 3, "other").otherwise(F.col("symbol")), "order_id": F.explode(listed)}))
     sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
     base = F.struct(F.lit("base").alias("leg"), (sign * F.col("vol") + F.when(r == 6, 1).otherwise(0)).cast(B.EXACT).alias("amount"), F.lit(0).cast(B.EXACT).alias("fee"))
     quote = F.struct(F.lit("quote").alias("leg"), (-sign * F.col("cost") + F.when(r == 7, 1).otherwise(0)).cast(B.EXACT).alias("amount"), (F.col("fee") + F.when(r == 8, 1).otherwise(0)).cast(B.EXACT).alias("fee"))
-    rows = f.select("fill_id", "r", F.explode(F.filter(F.array(base, F.when(r != 5, quote)), lambda v: v.isNotNull())).alias("l"))
+    rows = f.select("fill_id", "r", F.explode(F.array(base, F.when(r != 5, quote))).alias("l")).where("l IS NOT NULL")
     ref = F.explode(F.when(r == 4, F.array(F.col("fill_id"), F.concat("fill_id", F.lit("-ghost")))).otherwise(F.array("fill_id")))
     ledger = rows.select(ref.alias("refid"), "l.*")
     return orders, f.withColumn("n", copies(1)).drop("n"), ledger

@@ -12,6 +12,25 @@ from tapeworks.operators import book as B
 from tapeworks.operators import stats as S
 
 
+def test_reconcile_meets_each_side_once(spark):
+    """Odd books: absent ids, copies that differ, listings without fills; totals need no join of their own."""
+    cols = "order_id string, symbol string, side string, vol double, cost double, fee double"
+    orders = spark.createDataFrame([("a", "X", "buy", 3.0, 30.0, 0.3), ("b", "X", "buy", 1.0, 5.0, 0.1), ("b", "Y", "sell", 1.0, 5.0, 0.1),
+                                    ("c", "X", "buy", 2.0, 8.0, 0.0), (None, "X", "buy", 1.0, 1.0, 0.0), ("z", "X", "buy", 0.0, 0.0, 0.0)], cols)
+    fills = spark.createDataFrame([("f1", "a", "X", "buy", 1.0, 10.0, 0.1), ("f2", "a", "X", "buy", 2.0, 20.0, 0.2), ("f2", "a", "X", "buy", 2.0, 20.0, 0.2),
+                                   ("f3", "b", "X", "buy", 1.0, 5.0, 0.1), ("f4", None, "X", "buy", 1.0, 1.0, 0.0), ("f5", "nowhere", "X", "sell", 1.0, 1.0, 0.0)], f"fill_id string, {cols}")
+    legs = [(f, leg, x, fee) for f, v, c, fee in (("f1", 1.0, -10.0, 0.1), ("f2", 2.0, -20.0, 0.2), ("f3", 1.5, -5.0, 0.1), ("f4", 1.0, -1.0, 0.5), ("g", 1.0, 1.0, 0.0)) for leg, x, fee in (("base", v, 0.0), ("quote", c, fee))]
+    out = B.reconcile_orders(orders, fills, spark.createDataFrame(legs, "refid string, leg string, amount double, fee double"))
+    got = sorted((r.key or "", r.rule, r.expected, r.actual) for r in out.collect())
+    b = [("f3", "base_amount", "1.0000000", "1.50000000")] * 2  # once for each listing of its order
+    assert got == sorted([
+        ("", "order_without_fills", "1.00000000", "none"), ("a", "total_cost", "30.00000000", "50.00000000"), ("a", "total_fee", "0.30000000", "0.50000000"),
+        ("a", "total_vol", "3.00000000", "5.00000000"), ("b", "duplicate_order", "1", "2"), ("c", "order_without_fills", "2.00000000", "none"),
+        ("f2", "duplicate_fill", "1", "2"), *b, ("f3", "fill_attribution", "Y/sell", "X/buy"), ("f4", "fill_without_order", "none", "none"),
+        ("f4", "ledger_fee", "0.00000000", "0.50000000"), ("f5", "fill_without_order", "nowhere", "none"), ("f5", "ledger_legs", "2", "0"), ("g", "ledger_without_fill", "none", "g")])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2  # fills with legs, then with orders; there were three
+
+
 def test_lots_over_many_blocks(spark, monkeypatch):
     import random
     rng, rows = random.Random(4), []
