@@ -118,6 +118,21 @@ def test_katz_against_brute_force(spark, sf):
         assert (g.n_tokens, g.n_known, g.train_tokens) == (len(pairs), sum(b in uni for _, b in pairs), n)
 
 
+def test_texts_with_few_places_in_common_are_not_followed(monkeypatch):
+    """A line that one text repeats and another has once is no reason to follow the pair; real links stay."""
+    rng = np.random.default_rng(3)
+    line = rng.integers(1, 1 << 60, 5).astype(np.uint64)
+    fresh = lambda n: rng.integers(1, 1 << 60, n).astype(np.uint64)
+    body, other = fresh(60), fresh(70)
+    texts = [np.concatenate([fresh(20), line, other]), np.concatenate([np.tile(line, 20), fresh(9)]), np.concatenate([body, fresh(30), line]),
+             np.concatenate([np.tile(line, 12), body]), np.concatenate([other, fresh(7)])]
+    followed, real = [], compact_windows.passages
+    monkeypatch.setattr(compact_windows, "passages", lambda x, y, *a: followed.append((len(x), len(y))) or real(x, y, *a))
+    links, spans = compact_windows.linked(texts)
+    assert [tuple(p) for p in np.argwhere(np.triu(links)).tolist()] == [(0, 4), (1, 3), (2, 3)] and (0, 60) in spans[2] and (60, 120) in spans[3]
+    assert (95, 109) not in followed  # five places of the first text are in common, which make no passage
+
+
 def test_katz_packs_a_batch_in_little_memory():
     rng, model = np.random.default_rng(1), katz.Unigrams(10, 5, [0] * 8, [(int(katz.END), 10)])
     batch = [(k, k % 5 != 1, rng.integers(2, 50_000, 2000).astype(np.uint64)) for k in range(200)]
