@@ -183,12 +183,14 @@ def last_quarter(trades: DataFrame, keys: Sequence[str], order: Sequence[str], v
 # ---- rolling learner statistics ----------------------------------------------------------
 
 def rolling_bounds(trades: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "net_bps",
-                   window: int = WINDOW, rows: int = 4096) -> DataFrame:
-    """Count, mean and bounds of the last ``window`` closed trades at every trade."""
+                   window: int = WINDOW, rows: int = 4096, following: dict[str, str] | None = None) -> DataFrame:
+    """Count, mean and bounds of the last ``window`` closed trades at every trade; ``following``: values of the next trade, ``{source column: new name}``."""
     b = ordinals(range_blocks(trades, keys, order), keys, "blk", order).drop("blk")
-    h = with_halo(b, "i", window - 1, rows)
-    w = Window.partitionBy(*keys, "hblk").orderBy("i").rowsBetween(-(window - 1), 0)
+    h = with_halo(b, "i", window - 1, rows, ahead=1 if following else 0)
+    here = Window.partitionBy(*keys, "hblk").orderBy("i")
+    w = here.rowsBetween(-(window - 1), 0)
     cols = {f"live_{k}": c for k, c in mean_bounds(value, w).items()}
+    cols |= {name: F.lead(c).over(here) for c, name in (following or {}).items()}
     return h.withColumns(cols).where("home").drop("home", "hblk")
 
 
@@ -245,13 +247,17 @@ def gate_verdicts(trades: DataFrame, requests: DataFrame, keys: Sequence[str] =
     """
     keys, level = list(keys), [*keys, "scope"]
     scopes = F.explode(F.array(F.lit(""), F.col("regime"))).alias("scope")
-    r = pin(rolling_bounds(trades.select(*keys, scopes, "ts", "id", "net_bps"), level, ["ts", "id"]).withColumn("closed", F.col("i") + 1))
-    newest = r.groupBy(*level, "ts").agg(F.max_by(F.struct("closed", "live_n", "live_mean", "live_upper"), "i").alias("l"))
-    q = asof_join(requests.select(*keys, scopes, "now", "id"), newest, level, "now", "ts", ["l"])
-    closed = F.coalesce("l.closed", F.lit(0).cast("long"))
-    q = q.select(*level, "now", "id", closed.alias("closed"), F.coalesce("l.live_n", F.lit(0).cast("long")).alias("live_n"), "l.live_mean", "l.live_upper")
-    after = r.select(*level, F.col("i").alias("closed"), F.col("ts").alias("next_close"))
-    q = ordinals(range_blocks(q.join(after, [*level, "closed"], "left"), level, ["now", "id"]), level, "blk", ["now", "id"], "j").drop("blk")
+    r = pin(rolling_bounds(trades.select(*keys, scopes, "ts", "id", "net_bps"), level, ["ts", "id"], following={"ts": "next_close"}).withColumn("closed", F.col("i") + 1))
+    # What a request sees of the trades: the newest ones closed by then, and before the first one only when that closes.
+    # Pinned, as cutting blocks reads its input more than once.
+    seen = ("closed", "live_n", "live_mean", "live_upper", "next_close")
+    newest = r.groupBy(*level, "ts").agg(F.max_by(F.struct(*seen), "i").alias("l"))
+    none = r.where("i = 0").select(*level, F.lit(-(1 << 62)).alias("before"), F.col("ts").alias("next_close"), *[F.lit(0 if c in seen[:2] else None).cast(r.schema[c].dataType).alias(c) for c in seen[:4]])
+    newest = pin(newest.unionByName(none.select(*level, F.col("before").alias("ts"), F.struct(*seen).alias("l"))))
+    q = asof_join(requests.select(*keys, scopes, "now", "id"), newest, level, "now", "ts", ["l"], block="blk")
+    zero = F.lit(0).cast("long")
+    q = pin(q.select(*level, "now", "id", "blk", F.coalesce("l.closed", zero).alias("closed"), F.coalesce("l.live_n", zero).alias("live_n"), "l.live_mean", "l.live_upper", "l.next_close"))
+    q = ordinals(q, level, "blk", ["now", "id"], "j").drop("blk")
     span, never = bench_hours * 3600, 1 << 60
     bad = F.coalesce((F.col("live_n") >= min_sample) & (F.col("live_upper") < 0), F.lit(False))
     q = pin(q.withColumns({"bad": bad, "blk": block_no("j", rows), "ready": F.greatest(F.col("now") + span, F.coalesce("next_close", F.lit(never)))}))

@@ -108,3 +108,24 @@ def test_composed_maps_over_more_levels_than_two(spark):
     for k, n, a, b in rows:
         state[k] = a * state.get(k, 0.0) + b
         assert got[k, n] == pytest.approx(state[k], abs=1e-12)
+
+
+def test_next_trade_and_block_come_along(spark, monkeypatch):
+    """The next row's value across block edges, and blocks of an as-of join that follow one another in time."""
+    from tapeworks.operators import asof, scan, stats
+    rows = [("a" if k % 3 else "b", 10 * (k // 2), k, float(k % 7)) for k in range(60)]
+    trades = spark.createDataFrame(rows, "key string, ts long, id long, net_bps double")
+    cut = lambda d, k, o, name="blk": scan.range_blocks(d, k, o, name, blocks=5)
+    monkeypatch.setattr(stats, "range_blocks", cut)
+    monkeypatch.setattr(asof, "range_blocks", cut)
+    got = stats.rolling_bounds(trades, ["key"], ["ts", "id"], rows=8, following={"ts": "next"}).collect()
+    for key in "ab":
+        own = sorted((r for r in got if r.key == key), key=lambda r: r.i)
+        assert [r.i for r in own] == list(range(len(own))) and [r.next for r in own] == [r.ts for r in own[1:]] + [None]
+    ask = trades.select("key", (F.col("ts") + 5).alias("now"), "id")
+    hits = asof.asof_join(ask, trades.groupBy("key", "ts").agg(F.max("id").alias("last")), ["key"], "now", "ts", ["last"], block="b").collect()
+    for key in "ab":
+        own = sorted((r for r in hits if r.key == key), key=lambda r: r.now)
+        assert [r.b for r in own] == sorted(r.b for r in own) and len({(r.now, r.b) for r in own}) == len({r.now for r in own})
+        assert all(r.last == max(x[2] for x in rows if x[0] == key and x[1] <= r.now) for r in own)
+    assert len({r.b for r in hits}) > 1
