@@ -419,6 +419,33 @@ def test_passages_are_dealt_into_cells(spark, monkeypatch):
     assert {(r.class_id, r.n_links, r.spans) for r in got} == {(0, 39, "9:79")}
 
 
+def test_blocks_that_meet_are_moved_once(spark, monkeypatch):
+    """However many blocks a group has, each of its texts goes to one cell; copies and texts outside the group go to none."""
+    rng = np.random.default_rng(14)
+    fresh = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 10 ** 9, n))
+    docs = [(i, f"{fresh(9)} {PASSAGE} {fresh(40)}") for i in range(30)]
+    docs += [(100 + i, docs[0][1]) for i in range(5)] + [(200 + i, fresh(90)) for i in range(20)]
+    monkeypatch.setattr(compact_windows, "CELL", 4)
+    moved, real = spark.sparkContext.accumulator(0), compact_windows._of_cell
+    monkeypatch.setattr(compact_windows, "_of_cell", lambda table: moved.add(table.num_rows) or real(table))
+    got = {r.doc_id: r for r in compact_windows.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {got[i].n_links for i in range(1, 30)} == {29} and {got[i].n_links for i in (0, *range(100, 105))} == {34}
+    assert {r.class_id for i, r in got.items() if i < 200} == {0} and {r.n_links for i, r in got.items() if i >= 200} == {0}
+    assert moved.value == 30
+
+
+def test_forest_connects_what_the_links_connect():
+    rng = np.random.default_rng(16)
+    for _ in range(40):
+        a, b = rng.integers(-60, 60, (2, int(rng.integers(0, 90))))
+        least = {x: x for x in (*a.tolist(), *b.tolist())}
+        while any(least[x] != least[y] for x, y in zip(a.tolist(), b.tolist())):
+            for x, y in zip(a.tolist(), b.tolist()):
+                least[x] = least[y] = min(least[x], least[y])
+        root, node = compact_windows.forest(a, b)
+        assert dict(zip(node.tolist(), root.tolist())) == {x: y for x, y in least.items() if x != y}
+
+
 def test_passages_near_the_shortest_are_found():
     """Passages of 50 to 70 words with up to three words put in, taken out or changed: more than nine of ten that are alike have a key, and all are verified."""
     rng = np.random.default_rng(13)
