@@ -434,6 +434,23 @@ def test_blocks_that_meet_are_moved_once(spark, monkeypatch):
     assert moved.value == 30
 
 
+@pytest.mark.parametrize("max_broadcast", [10_000_000, 0])
+def test_what_passages_broadcast_is_less_than_a_row_per_text(spark, monkeypatch, max_broadcast):
+    rng = np.random.default_rng(15)
+    fresh = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 10 ** 9, n))
+    passages = [fresh(60) for _ in range(20)]
+    docs = [(i, f"{fresh(9)} {passages[i % 20]} {fresh(40)}") for i in range(100)] + [(200 + i, fresh(90)) for i in range(20)]
+    sent, real = [], F.broadcast
+    monkeypatch.setattr(compact_windows, "MAX_LABELS", 0, raising=False)
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or real(df))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in compact_windows.repeated_passages(df, max_broadcast=max_broadcast).collect()}
+    assert {(got[i].class_id, got[i].n_links, got[i].spans) for i in range(100)} == {(k, 4, "9:69") for k in range(20)}
+    assert {r.n_links for i, r in got.items() if i >= 200} == {0}
+    own = [df for df in sent if "component" in df.columns or "marks" in df.columns]
+    assert len(own) == (max_broadcast > 0) and all(df.count() == 1 for df in own)
+
+
 def test_forest_connects_what_the_links_connect():
     rng = np.random.default_rng(16)
     for _ in range(40):
